@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk, warc
+from . import hmm, jaccard, langid, mixing, topk, warc
 from .shared import load, written
 
 
@@ -24,4 +24,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_topk, op6_mixing)}
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(load(spark, sf_dir, "documents"), langid.in_fold(F.col("doc_id"), 7, 2))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.in_fold(F.col("doc_id"), 3, 1)
+    network = langid.train(docs, ~held_out)
+    return langid.identify(docs, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op4_topk, op6_mixing, op7_hmm, op9_langid, op10_jaccard)}
