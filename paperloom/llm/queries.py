@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, jaccard, langid, mixing, topk, warc
+from . import decontaminate, hmm, jaccard, langid, mixing, topk, toxicity, warc
 from .shared import load, written
 
 
@@ -16,6 +16,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and its distance."""
+    return decontaminate.find_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -28,6 +33,14 @@ def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(load(spark, sf_dir, "documents"), langid.in_fold(F.col("doc_id"), 7, 2))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    held_out = langid.in_fold(F.col("doc_id"), 3, 1)
+    lexicon = toxicity.learn(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.in_fold(F.col("doc_id"), 3, 1)
@@ -39,4 +52,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_topk, op6_mixing, op7_hmm, op9_langid, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_decontaminate, op4_topk, op6_mixing, op7_hmm, op8_toxicity, op9_langid, op10_jaccard)}
