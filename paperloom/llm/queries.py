@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, jaccard, langid, mixing, topk, toxicity, warc
+from . import chat, decontaminate, hmm, jaccard, langid, mixing, topk, toxicity, warc, wrapper
 from .shared import load, written
 
 
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(load(spark, sf_dir, "conversations"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and its distance."""
     return decontaminate.find_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -25,6 +29,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op5_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract_main_text(load(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,4 +60,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_decontaminate, op4_topk, op6_mixing, op7_hmm, op8_toxicity, op9_langid, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op3_decontaminate, op4_topk, op5_wrapper, op6_mixing, op7_hmm, op8_toxicity, op9_langid, op10_jaccard)}
