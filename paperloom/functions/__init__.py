@@ -1,0 +1,3 @@
+"""Column functions (native expressions unless said otherwise)."""
+
+from . import numbering, sheets, text  # noqa: F401

@@ -1,0 +1 @@
+"""Operators on the tables of decoded documents."""

@@ -1,0 +1 @@
+"""Registered queries of the document operators, with their SQL."""

@@ -1,0 +1 @@
+"""Files as tables: reading, detection and decoding."""
