@@ -15,8 +15,8 @@ Documents are coded once, chunk by chunk, against the chunk's own dictionary;
 counts of the whole corpus come back by `shards.count_and_reply`.  Each
 Baum-Welch round is one pass over the coded chunks whose expected counts are
 summed by class in the cluster.  Rounds start from a model fitted to a bounded
-sample (`SAMPLE_DOCS` documents of the smallest id hash, `SAMPLE_TOKENS` tokens
-of each at most); the rounds themselves cover every training document.
+sample (about `SAMPLE_DOCS` documents by the hash of their ids, `SAMPLE_TOKENS`
+tokens of each at most); the rounds themselves cover every training document.
 
 Words are identified by 64-bit fingerprints.
 """
@@ -37,7 +37,7 @@ STATES, WORDS, SHAPES = 8, 4096, 2048
 ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS, SAMPLE_TOKENS = 3, 25, 1024, 400
 CHUNK_BYTES, WINDOW, GROUP_TOKENS = 8 << 20, 512, 1 << 18
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
-_PRIOR = 20.0
+_PRIOR, STAT_GROUPS = 20.0, 32
 
 
 def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -78,13 +78,9 @@ def _code(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         no, parts, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            data, offsets = K.text_buffers(batch.column(1))
-            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            at = 0
-            while at < len(ids):  # batches are cut so that a chunk stays near CHUNK_BYTES
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
-                piece, cut = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        for whole in batches:
+            for batch in K.pieces(whole, 1):
+                piece, cut = K.text_buffers(batch.column(1))
                 starts, ends = K.word_spans(piece, cut)
                 first = np.searchsorted(starts, cut)
                 sizes = np.diff(first) + 1
@@ -95,9 +91,8 @@ def _code(docs: DataFrame) -> DataFrame:
                 keys, shapes = np.full(n, END), np.zeros(n, np.uint16)
                 keys[word] = K.fingerprints(piece, starts, ends)
                 shapes[word] = _shapes(piece, starts, ends)
-                parts.append((ids[at:to], held[at:to], sizes.astype(np.int64), keys, shapes))
+                parts.append((batch.column(0).to_pylist(), batch.column(2).to_pylist(), sizes.astype(np.int64), keys, shapes))
                 size += len(piece)
-                at = to
                 if size >= CHUNK_BYTES:
                     yield close(no, parts)
                     no, parts, size = no + 1, [], 0
@@ -155,12 +150,20 @@ class Classes:
     """Corpus totals and the map from words to classes; its size is fixed by `n_words` and SHAPES."""
 
     def __init__(self, replies: DataFrame, n_words: int):
-        by_shape = replies.where("shape_keys is not null").select(F.posexplode(F.arrays_zip("shape_keys", "shape_weight")).alias("shape", "s")).groupBy("shape").agg(F.sum("s.shape_keys").alias("keys"), F.sum("s.shape_weight").alias("weight")).collect()
-        top = replies.where("top is not null").select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("weight"), "key").limit(n_words).collect()
-        self.keys_of, self.weight_of = np.zeros(SHAPES), np.zeros(SHAPES)
-        for r in by_shape:
-            self.keys_of[r["shape"]], self.weight_of[r["shape"]] = r["keys"], r["weight"]
+        def add(table: pa.Table) -> pa.Table:
+            total = lambda name: np.sum([c.values.to_numpy() for c in table.column(name)], axis=0)
+            return pa.table({"keys": pa.array([total("shape_keys").tobytes()], pa.binary()), "weight": pa.array([total("shape_weight").tobytes()], pa.binary())})
+
+        # STAT_GROUPS rows of fixed size, whatever the number of shards.
+        stats = replies.where("shape_keys is not null").select((F.col("shard") % STAT_GROUPS).alias("g"), "shape_keys", "shape_weight")
+        parts = stats.groupBy("g").applyInArrow(add, "keys binary, weight binary").collect()
+        total = lambda name: sum((np.frombuffer(r[name], np.int64) for r in parts), np.zeros(SHAPES, np.int64)).astype(float)
+        self.keys_of, self.weight_of = total("keys"), total("weight")
         self.train_tokens, self.vocabulary = int(self.weight_of.sum()), int(self.keys_of.sum())
+        # At most 16 * n_words words have this count, so what comes to the driver is bounded.
+        least = max(1, self.train_tokens // (16 * n_words))
+        top = replies.where("top is not null").select(F.explode(F.filter("top", lambda t: t["weight"] >= least)).alias("t")).select("t.*").collect()
+        top = sorted(top, key=lambda r: (-r["weight"], r["key"]))[:n_words]
         own = np.array([r["key"] for r in top], dtype=np.int64).view(np.uint64)
         weight = np.array([r["weight"] for r in top], dtype=np.float64)
         for r in top:  # what has a class of its own leaves the class of its shape
@@ -320,18 +323,21 @@ def _windows(symbols: np.ndarray, sizes: np.ndarray, use: np.ndarray):
 def _first_model(coded: DataFrame, classes: Classes, states: int, seed: int) -> Model:
     """A model fitted on the driver to the bounded sample."""
 
+    n_docs = coded.agg(F.sum(F.size(F.filter("held", lambda h: ~h)).cast("long"))).first()[0] or 0
+    below = np.uint64(int(min(1.0, SAMPLE_DOCS / max(n_docs, 1)) * ((1 << 63) - 1)))
+
     def pick(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 sizes, symbols = np.frombuffer(row["sizes"], np.int64), _unpress_classes(row["classes"])
                 ends = np.cumsum(sizes)
                 rank = K._mix(np.array([i or 0 for i in row["ids"]], dtype=np.int64).view(np.uint64) + np.uint64(seed)) >> np.uint64(1)
-                rank[np.array(row["held"], dtype=bool)] = np.uint64(1 << 63)
-                for i in np.argsort(rank, kind="stable")[:SAMPLE_DOCS].tolist():
-                    if not row["held"][i]:
-                        yield pa.RecordBatch.from_arrays([pa.array([int(rank[i])], pa.int64()), pa.array([symbols[ends[i] - sizes[i] : ends[i]][:SAMPLE_TOKENS].tobytes()], pa.binary())], names=["rank", "symbols"])
+                chosen = np.flatnonzero((rank <= below) & ~np.array(row["held"], dtype=bool)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(rank[chosen].astype(np.int64)), pa.array([symbols[ends[i] - sizes[i] : ends[i]][:SAMPLE_TOKENS].tobytes() for i in chosen], pa.binary())], names=["rank", "symbols"])
 
-    sample = coded.select("ids", "held", "sizes", "classes").mapInArrow(pick, "rank long, symbols binary").orderBy("rank", "symbols").limit(SAMPLE_DOCS).collect()
+    drawn = coded.select("ids", "held", "sizes", "classes").mapInArrow(pick, "rank long, symbols binary")
+    # Rows with one id have one rank: the limit holds the bound where many do.
+    sample = sorted(drawn.limit(4 * SAMPLE_DOCS).collect(), key=lambda r: (r["rank"], bytes(r["symbols"])))
     docs = [np.frombuffer(r["symbols"], "<u2").astype(np.int64) for r in sample]
     rng = np.random.default_rng(seed)
     emit = classes.background[:, None] * rng.gamma(2.0, 0.5, size=(classes.n, states))

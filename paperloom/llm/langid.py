@@ -253,8 +253,7 @@ def identify(docs: DataFrame, network: Network, id_col="doc_id", text_col="text"
     def run(batches):
         net = told.value
         for big in batches:
-            for at in range(0, big.num_rows, 2000):
-                batch = big.slice(at, 2000)
+            for batch in K.pieces(big):
                 known = np.asarray(batch.column(1)) & bool(net.languages)
                 p = pooled(batch.column(0), net)
                 if net.languages:

@@ -67,6 +67,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batch: pa.RecordBatch, column: int = 0, limit: int = 2 << 20):
+    """Slices of a batch with about `limit` bytes of text in `column` (one row at least)."""
+    _, offsets = text_buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte positions of all words; texts never share a word."""
     if not len(data):
