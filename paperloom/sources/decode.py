@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from . import csvdoc, detect, encoding, legacy, odf, ooxml, pdf
+from . import crypto, csvdoc, detect, encoding, legacy, odf, ooxml, pdf
 from .tree import ELEMENT_SCHEMA, ELEMENTS, Tree, ref
 
 
@@ -27,6 +27,7 @@ class Options:
     max_file_bytes: int = 1 << 30
     pages: tuple[int, int] | None = None
     sheets: tuple[int, int] | None = None
+    password: str | None = None
 
 
 class Unsupported(ValueError):
@@ -112,8 +113,8 @@ class _Xml:
 class _Pdf:
     """A paragraph for each line of each page."""
 
-    def __init__(self, data: bytes, pages: tuple[int, int] | None):
-        file = pdf.File(data)
+    def __init__(self, data: bytes, pages: tuple[int, int] | None, password: str | None = None):
+        file = pdf.File(data, (password or "").encode("latin-1", "replace"))
         if file.encrypted:
             raise Unsupported("encrypted pdf")
         self.kind, self.tree, self.cells, self.sheets = "text", Tree(), [], []
@@ -146,18 +147,24 @@ def _open_as(kind: str, data: bytes, options: Options):
         import io
 
         if detect.odf_encrypted(zipfile.ZipFile(io.BytesIO(data))):
-            raise Unsupported("encrypted document")
+            if options.password is None:
+                raise Unsupported("encrypted document")
+            data = crypto.decrypt_odf(data, options.password)
         return odf.Reader(data)
     if kind in ("docx", "pptx", "xlsx"):
         return ooxml.reader(kind)(data)
     if kind in ("doc", "ppt", "xls"):
         return {"doc": legacy.TextDocument, "ppt": legacy.Presentation, "xls": legacy.Workbook}[kind](data)
+    if kind == "ooxml_encrypted":
+        if options.password is None:
+            raise Unsupported("encrypted document")
+        return open_document(crypto.decrypt_ooxml(data, options.password), options)[1]
     if kind == "csv":
         return _Delimited(data, options.csv)
     if kind in ("xml", "svg"):
         return _Xml(data)
     if kind == "pdf":
-        return _Pdf(data, options.pages)
+        return _Pdf(data, options.pages, options.password)
     if kind in ("txt", "json"):
         return _Plain(data)
     raise Unsupported(f"{kind} is named, not decoded")
