@@ -96,6 +96,38 @@ def parse_measure(text: Column) -> Column:
     return F.when(number != "", F.struct(number.try_cast("double").alias("magnitude"), F.trim(F.regexp_extract(text, pattern, 2)).alias("unit")))
 
 
+#: Points, inches and percent of one unit of office formats.
+UNITS = {"half_point": (0.5, "pt"), "hundredth_point": (0.01, "pt"), "emu": (1 / 914400, "in"), "twip": (1 / 1440, "in"), "fiftieth_percent": (1 / 50, "%")}
+
+
+def office_measure(value: Column, unit: str) -> Column:
+    """struct(magnitude, unit) of a whole number in one of UNITS; null if it is no number."""
+    factor, name = UNITS[unit]
+    number = value.cast("string").try_cast("double")
+    return F.when(number.isNotNull(), F.struct((number * F.lit(factor)).alias("magnitude"), F.lit(name).alias("unit")))
+
+
+def office_width(value: Column, kind: Column) -> Column:
+    """Table width by its type: twips, fiftieths of a percent (or a percentage as written); auto and nil are null."""
+    percent = F.when(value.endswith("%"), F.struct(F.regexp_replace(value, "%$", "").try_cast("double").alias("magnitude"), F.lit("%").alias("unit"))).otherwise(office_measure(value, "fiftieth_percent"))
+    return F.when(kind == "dxa", office_measure(value, "twip")).when(kind == "pct", percent)
+
+
+def on_off(value: Column) -> Column:
+    """A toggle: false only for 0, false and off."""
+    return ~F.coalesce(value, F.lit("true")).isin("0", "false", "off")
+
+
+#: Colours of the highlight palette.
+COLORS = {"black": "000000", "blue": "0000ff", "cyan": "00ffff", "darkBlue": "000080", "darkCyan": "008080", "darkGray": "808080", "darkGreen": "008000", "darkMagenta": "800080", "darkRed": "800000", "darkYellow": "808000", "green": "00ff00", "lightGray": "c0c0c0", "magenta": "ff00ff", "red": "ff0000", "white": "ffffff", "yellow": "ffff00"}
+
+
+def office_color(value: Column) -> Column:
+    """#rrggbb of a named colour or six hex digits; auto and none are null."""
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in COLORS.items() for x in pair]), value)
+    return F.concat(F.lit("#"), F.coalesce(named, F.when(value.rlike("^[0-9A-Fa-f]{6}$"), F.lower(value))))
+
+
 def print_number(value: Column) -> Column:
     """Seven significant digits, positional, without trailing zeros."""
     whole = F.abs(value)

@@ -320,6 +320,19 @@ def pdf_segments(files: DataFrame, pages: tuple[int, int] | None = None) -> Data
     return _pdf_rows(files, schema, "file_id long, page_ix int, seg_ix int, text string, x double, y double, end_x double, end_y double, size double", rows)
 
 
+def pdf_images(files: DataFrame) -> DataFrame:
+    """Images named by the pages of PDF files; the bytes of those that pass through."""
+    schema = pa.schema([("file_id", pa.int64()), ("page_ix", pa.int32()), ("name", pa.string()), *[(c, pa.int32()) for c in ("width", "height", "bits")], *[(c, pa.string()) for c in ("color_space", "filter", "mimetype")], ("content", pa.binary())])
+
+    def rows(file_id, data):
+        file = pdf.File(data)
+        for n, page in enumerate([] if file.encrypted else file.pages()):
+            for image in pdf.images(file, page):
+                yield {"file_id": file_id, "page_ix": n, **image}
+
+    return _pdf_rows(files, schema, "file_id long, page_ix int, name string, width int, height int, bits int, color_space string, filter string, mimetype string, content binary", rows)
+
+
 def pdf_links(files: DataFrame) -> DataFrame:
     schema = pa.schema([("file_id", pa.int64()), ("page_ix", pa.int32()), ("kind", pa.string()), ("target", pa.string())])
 

@@ -253,7 +253,7 @@ class File:
 
     def __init__(self, data: bytes, password: bytes = b""):
         self.data, self.offsets, self.packed, self.cache, self.trailer = data, {}, {}, {}, {}
-        self.key = None
+        self.key, self.method = None, "None"
         try:
             self._read_tables()
             if not isinstance(self.get(self.trailer.get("Root")), dict):
@@ -404,48 +404,87 @@ class File:
         return data
 
     def _unlock(self, password: bytes) -> bool:
-        """Keys of the standard handler with RC4; true if the file stays closed."""
-        spec = self.get(self.trailer.get("Encrypt"))
+        """Keys of the standard handler, revisions 2, 3, 4 and 6; true if the file stays closed."""
+        own = self.trailer.get("Encrypt")
+        spec = self.get(own)
         if not isinstance(spec, dict):
             return False
+        spec = {k: self.get(v) for k, v in spec.items()}
         revision = spec.get("R", 0)
-        if spec.get("Filter") != "Standard" or revision not in (2, 3):
+        if spec.get("Filter") != "Standard" or revision not in (2, 3, 4, 6):
             return True
+        self.method = "V2"
+        if revision >= 4:
+            filters, name = spec.get("CF") or {}, str(spec.get("StmF", "Identity"))
+            chosen = self.get(filters.get(name)) or {}
+            self.method = "None" if name == "Identity" else str(self.get(chosen.get("CFM", "None")))
+        key = self._key_of_6(spec, password) if revision == 6 else self._key_of_4(spec, password, revision)
+        if key is None:
+            return True
+        self.key = key
+        self.cache = {own[0]: spec} if isinstance(own, Ref) else {}
+        return False
+
+    def _key_of_4(self, spec: dict, password: bytes, revision: int) -> bytes | None:
         pad = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
         ids = self.get(self.trailer.get("ID")) or [b""]
-        n = spec.get("Length", 40) // 8 if revision >= 3 else 5
-        key = hashlib.md5((password + pad)[:32] + spec["O"][:32] + (spec["P"] & 0xFFFFFFFF).to_bytes(4, "little") + ids[0]).digest()
+        n = spec.get("Length", 128 if revision == 4 else 40) // 8 if revision >= 3 else 5
+        more = b"\xff\xff\xff\xff" if revision == 4 and spec.get("EncryptMetadata") is False else b""
+        key = hashlib.md5((password + pad)[:32] + spec["O"][:32] + (spec["P"] & 0xFFFFFFFF).to_bytes(4, "little") + ids[0] + more).digest()
         if revision >= 3:
             for _ in range(50):
                 key = hashlib.md5(key[:n]).digest()
         key = key[:n]
         if revision == 2:
-            ok = rc4(key, pad) == spec["U"][:32]
-        else:
-            check = rc4(key, hashlib.md5(pad + ids[0]).digest())
-            for i in range(1, 20):
-                check = rc4(bytes(b ^ i for b in key), check)
-            ok = check == spec["U"][:16]
-        if not ok:
-            return True
-        self.key, own = key, self.trailer.get("Encrypt")
-        self.cache = {own[0]: spec} if isinstance(own, Ref) else {}
-        return False
+            return key if rc4(key, pad) == spec["U"][:32] else None
+        check = rc4(key, hashlib.md5(pad + ids[0]).digest())
+        for i in range(1, 20):
+            check = rc4(bytes(b ^ i for b in key), check)
+        return key if check == spec["U"][:16] else None
+
+    @staticmethod
+    def _key_of_6(spec: dict, password: bytes) -> bytes | None:
+        from .crypto import aes_cbc_decrypt, aes_cbc_encrypt
+
+        def digest(salt: bytes) -> bytes:
+            k, i = hashlib.sha256(password + salt).digest(), 0
+            while True:
+                e = aes_cbc_encrypt(k[:16], k[16:32], (password + k) * 64)
+                k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[sum(e[:16]) % 3](e).digest()
+                i += 1
+                if i >= 64 and e[-1] <= i - 32:
+                    return k[:32]
+
+        user = spec["U"]
+        if digest(user[32:40]) != user[:32]:
+            return None
+        return aes_cbc_decrypt(digest(user[40:48]), bytes(16), spec["UE"])
 
     def _decrypted(self, value, ref: Ref):
-        if self.key is None:
+        if self.key is None or self.method == "None":
             return value
-        key = hashlib.md5(self.key + ref[0].to_bytes(4, "little")[:3] + ref[1].to_bytes(4, "little")[:2]).digest()[: min(16, len(self.key) + 5)]
+        key = self.key
+        if self.method != "AESV3":
+            salt = b"sAlT" if self.method == "AESV2" else b""
+            key = hashlib.md5(key + ref[0].to_bytes(4, "little")[:3] + ref[1].to_bytes(4, "little")[:2] + salt).digest()[: min(16, len(key) + 5)]
+
+        def plain(raw: bytes) -> bytes:
+            if self.method == "V2":
+                return rc4(key, raw)
+            from .crypto import aes_cbc_decrypt
+
+            out = aes_cbc_decrypt(key, raw[:16], raw[16:])
+            return out[: -out[-1]] if out and 0 < out[-1] <= 16 else out
 
         def walk(v):
             if isinstance(v, bytes):
-                return rc4(key, v)
+                return plain(v)
             if isinstance(v, list):
                 return [walk(x) for x in v]
             if isinstance(v, dict):
                 return {k: walk(x) for k, x in v.items()}
             if isinstance(v, Stream):
-                return v if v.head.get("Type") == "XRef" else Stream(walk(v.head), rc4(key, v.raw))
+                return v if v.head.get("Type") == "XRef" else Stream(walk(v.head), plain(v.raw))
             return v
 
         return walk(value)
@@ -746,6 +785,65 @@ class Page:
         return out
 
 
+def images(file: File, page: dict) -> list[dict]:
+    """Image objects of a page's resources: size, bits, colours, filter, and the bytes of JPEG and JPEG 2000 as they are."""
+    out = []
+    for name, ref in (file.get((file.get(page.get("Resources")) or {}).get("XObject")) or {}).items():
+        found = file.get(ref)
+        if not isinstance(found, Stream) or file.get(found.head.get("Subtype")) != "Image":
+            continue
+        names = file.get(found.head.get("Filter")) or []
+        names = [str(file.get(n)) for n in (names if isinstance(names, list) else [names])]
+        last = _SHORT.get(names[-1], names[-1]) if names else None
+        mime = {"DCTDecode": "image/jpeg", "JPXDecode": "image/jp2"}.get(last)
+        space = file.get(found.head.get("ColorSpace"))
+        head = found.head
+        if mime:
+            raw = file.decode(Stream({**head, "Filter": names[:-1], "DecodeParms": None}, found.raw))
+        else:
+            raw = None
+        out.append({"name": name, "width": file.get(head.get("Width")), "height": file.get(head.get("Height")), "bits": file.get(head.get("BitsPerComponent")), "color_space": str(file.get(space[0]) if isinstance(space, list) else space) if space else None, "filter": last, "mimetype": mime, "content": raw})
+    return out
+
+
+def to_rgb(file: File, space, values: list[float]) -> tuple[float, float, float]:
+    """sRGB of a colour: device, calibrated, ICC by its alternate or count, indexed, separation, Lab."""
+    space = file.get(space)
+    name, rest = (str(file.get(space[0])), space[1:]) if isinstance(space, list) else (str(space), [])
+    cut = lambda v: min(max(v, 0.0), 1.0)
+    if name in ("DeviceGray", "G", "CalGray"):
+        return (cut(values[0]),) * 3
+    if name in ("DeviceRGB", "RGB", "CalRGB"):
+        return tuple(map(cut, values[:3]))
+    if name in ("DeviceCMYK", "CMYK"):
+        c, m, y, k = map(cut, values[:4])
+        return (1 - c) * (1 - k), (1 - m) * (1 - k), (1 - y) * (1 - k)
+    if name == "ICCBased":
+        head = file.get(rest[0]).head
+        other = head.get("Alternate")
+        return to_rgb(file, other if other is not None else {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}[file.get(head.get("N"))], values)
+    if name in ("Indexed", "I"):
+        base, table = rest[0], file.get(rest[2])
+        table = file.decode(table) if isinstance(table, Stream) else table
+        inner = file.get(base)
+        n = {"DeviceGray": 1, "DeviceCMYK": 4}.get(str(inner), 3) if not isinstance(inner, list) else {1: 1, 4: 4}.get(file.get(file.get(inner[1]).head.get("N")) if file.get(inner[0]) == "ICCBased" else 3, 3)
+        at = int(values[0]) * n
+        return to_rgb(file, base, [b / 255 for b in table[at : at + n]])
+    if name in ("Separation", "DeviceN"):
+        return to_rgb(file, rest[1], functions_eval(file, rest[2], values))
+    if name == "Lab":
+        spec = file.get(rest[0])
+        white = [float(file.get(v)) for v in file.get(spec.get("WhitePoint"))]
+        m = (values[0] + 16) / 116
+        g = lambda t: t**3 if t >= 6 / 29 else 108 / 841 * (t - 4 / 29)
+        x, y, z = white[0] * g(m + values[1] / 500), white[1] * g(m), white[2] * g(m - values[2] / 200)
+        linear = (3.2406 * x - 1.5372 * y - 0.4986 * z, -0.9689 * x + 1.8758 * y + 0.0415 * z, 0.0557 * x - 0.2040 * y + 1.0570 * z)
+        return tuple(cut(12.92 * v if v <= 0.0031308 else 1.055 * max(v, 0) ** (1 / 2.4) - 0.055) for v in linear)
+    if name == "Pattern":
+        return (0.0, 0.0, 0.0)
+    raise ValueError(f"colour space {name}")
+
+
 def links(file: File, page: dict) -> list[tuple[str, str]]:
     """(kind, target) of the link annotations of a page: addresses with a usual scheme, and destinations."""
     out = []
