@@ -57,7 +57,7 @@ _CSS = {
     "style:font-name": "font-family", "fo:font-family": "font-family", "fo:text-align": "text-align", "fo:margin-top": "margin-top", "fo:margin-bottom": "margin-bottom",
     "fo:margin-left": "margin-left", "fo:margin-right": "margin-right", "fo:padding": "padding", "fo:border": "border", "fo:line-height": "line-height",
     "style:column-width": "width", "style:row-height": "height", "style:vertical-align": "vertical-align", "font_size": "font-size", "font_weight": "font-weight",
-    "font_style": "font-style", "font_color": "color", "font_name": "font-family", "width": "width", "height": "height", "x": "left", "y": "top",
+    "font_style": "font-style", "font_color": "color", "font_name": "font-family", "fo:border-left": "border-left", "fo:border-right": "border-right", "fo:border-top": "border-top", "fo:border-bottom": "border-bottom", "width": "width", "height": "height", "x": "left", "y": "top",
 }
 
 
@@ -292,6 +292,15 @@ def html_resources(entries: DataFrame) -> DataFrame:
     return images.select("file_id", F.substring("entry_path", 2, 1 << 20).alias("path"), "mimetype", "content").dropDuplicates(["file_id", "path"])
 
 
+def locate(resources: DataFrame, config: HtmlConfig = HtmlConfig()) -> DataFrame:
+    """`resources` with href: embedded ones as data URLs, others by their path."""
+    from pyspark.sql import functions as F
+
+    from ..functions.text import data_url
+
+    return resources.withColumn("href", data_url(F.col("content"), F.col("mimetype")) if config.embed_images else F.col("path"))
+
+
 def bring_offline(views: DataFrame, uri: str) -> DataFrame:
     """Write every view below `uri`/<file_id>/<path>; what was written. A repeated task writes the same bytes again."""
 

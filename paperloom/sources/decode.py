@@ -238,6 +238,8 @@ def styles(files: DataFrame, options: Options = Options()) -> DataFrame:
             rows = document.style_rows()
         elif isinstance(document, ooxml.Text):
             rows = [(n, r["family"], r["parent"], document.styles.resolve(n)) for n, r in document.styles.named.items()]
+        elif isinstance(document, ooxml.Workbook):
+            rows = [(str(i), "cell", None, look) for i, look in enumerate(document.formats)]
         else:
             rows = []
         if rows:

@@ -163,7 +163,7 @@ class Text:
         elif tag == "w:tab":
             self.tree.text(parent, "\t")
         elif tag == "w:p":
-            at = self.tree.add(parent, "paragraph", style_name=_value(_child(node, "pPr"), "pStyle"))
+            at = self.tree.add(parent, "paragraph", style_name=_value(_child(node, "pPr"), "pStyle"), attrs=paragraph_properties(_child(node, "pPr")) or None)
             for child in node:
                 self.element(child, at)
         elif tag == "w:r":
@@ -243,6 +243,26 @@ def run_properties(node) -> dict[str, str]:
     return out
 
 
+def paragraph_properties(node) -> dict[str, str]:
+    """Direct paragraph properties: alignment, spacing, indents."""
+    out: dict[str, str] = {}
+    if node is None:
+        return out
+    align = _value(node, "jc")
+    if align:
+        out["fo:text-align"] = {"both": "justify", "start": "left", "end": "right"}.get(align, align)
+    spacing, indent = _child(node, "spacing"), _child(node, "ind")
+    for part, key, name in ((spacing, "before", "fo:margin-top"), (spacing, "after", "fo:margin-bottom"), (indent, "left", "fo:margin-left"), (indent, "start", "fo:margin-left"), (indent, "right", "fo:margin-right"), (indent, "end", "fo:margin-right")):
+        value = twips(_get(part, key)) if part is not None else None
+        if value:
+            out[name] = value
+    if spacing is not None and _get(spacing, "line") and (_get(spacing, "lineRule") or "auto") == "auto":
+        out["fo:line-height"] = f"{int(_get(spacing, 'line')) / 240:g}"
+    if on_off(_child(node, "contextualSpacing")):
+        out["contextual_spacing"] = "true"
+    return out
+
+
 class Cascade:
     """Styles of a text document: defaults, then the chain of basedOn, then direct properties."""
 
@@ -251,11 +271,12 @@ class Cascade:
         self.default: dict[str, str] = {}
         for node in root if root is not None else ():
             if local(node.tag) == "docDefaults":
-                self.default = run_properties(_child(_child(node, "rPrDefault"), "rPr"))
+                self.default = paragraph_properties(_child(_child(node, "pPrDefault"), "pPr")) | run_properties(_child(_child(node, "rPrDefault"), "rPr"))
             elif local(node.tag) == "style":
-                self.named[_get(node, "styleId") or ""] = {"family": _get(node, "type"), "parent": _value(node, "basedOn"), "properties": run_properties(_child(node, "rPr"))}
+                self.named[_get(node, "styleId") or ""] = {"family": _get(node, "type"), "parent": _value(node, "basedOn"), "properties": paragraph_properties(_child(node, "pPr")) | run_properties(_child(node, "rPr"))}
 
     def resolve(self, name: str | None) -> dict[str, str]:
+        """Properties of a style; a cycle ends where it closes."""
         chain, seen = [], set()
         while name and name in self.named and name not in seen:
             seen.add(name)
@@ -329,6 +350,72 @@ class Presentation:
         return {k: v for k, v in out.items() if v} or None
 
 
+class CellStyles:
+    """Cell formats of a workbook: fonts, fills, borders and alignment by format index."""
+
+    def __init__(self, root):
+        part = lambda name: list(_child(root, name)) if _child(root, name) is not None else []
+        fonts, fills, borders = ([f(n) for n in part(name)] for name, f in (("fonts", self._font), ("fills", self._fill), ("borders", self._border)))
+        self.formats: list[dict[str, str]] = []
+        for node in part("cellXfs") if root is not None else []:
+            out: dict[str, str] = {}
+            for table, key in ((fonts, "fontId"), (fills, "fillId"), (borders, "borderId")):
+                at = int(node.get(key) or 0)
+                if at < len(table):
+                    out |= table[at]
+            align = _child(node, "alignment")
+            if align is not None:
+                if align.get("horizontal") in ("left", "right", "center", "justify"):
+                    out["fo:text-align"] = align.get("horizontal")
+                if align.get("vertical"):
+                    out["style:vertical-align"] = {"center": "middle"}.get(align.get("vertical"), align.get("vertical"))
+                if on_off_value(align.get("wrapText")):
+                    out["wrap"] = "true"
+            self.formats.append(out)
+
+    @staticmethod
+    def _color(node) -> str | None:
+        value = node.get("rgb") if node is not None else None
+        return "#" + value[-6:].lower() if value and re.fullmatch("[0-9A-Fa-f]{6,8}", value) else None
+
+    def _font(self, node) -> dict[str, str]:
+        out = {}
+        if _value(node, "sz"):
+            out["font_size"] = f"{float(_value(node, 'sz')):g}pt"
+        if _value(node, "name"):
+            out["font_name"] = _value(node, "name")
+        for tag, key, on in (("b", "font_weight", "bold"), ("i", "font_style", "italic")):
+            if on_off(_child(node, tag)):
+                out[key] = on
+        if _child(node, "u") is not None and _value(node, "u") != "none":
+            out["underline"] = "true"
+        if on_off(_child(node, "strike")):
+            out["line_through"] = "true"
+        if self._color(_child(node, "color")):
+            out["font_color"] = self._color(_child(node, "color"))
+        return out
+
+    def _fill(self, node) -> dict[str, str]:
+        pattern = _child(node, "patternFill")
+        color = self._color(_child(pattern, "fgColor")) if pattern is not None and pattern.get("patternType") == "solid" else None
+        return {"fo:background-color": color} if color else {}
+
+    def _border(self, node) -> dict[str, str]:
+        widths = {"thin": "0.75pt", "medium": "1.5pt", "thick": "2.25pt", "hair": "0.25pt"}
+        out = {}
+        for side in ("left", "right", "top", "bottom"):
+            edge = _child(node, side)
+            style = edge.get("style") if edge is not None else None
+            if style and style != "none":
+                line = style if style in ("dashed", "dotted", "double") else "solid"
+                out[f"fo:border-{side}"] = f"{widths.get(style, '0.75pt')} {line} {self._color(_child(edge, 'color')) or '#000000'}"
+        return out
+
+
+def on_off_value(value: str | None) -> bool:
+    return value is not None and value not in ("0", "false", "off")
+
+
 _REF = re.compile(r"^\$?([A-Z]+)\$?([0-9]+)$")
 
 
@@ -349,6 +436,7 @@ class Workbook:
     def __init__(self, data: bytes):
         self.package = Package(data)
         root, relations = self.package.xml("xl/workbook.xml"), self.package.relations("xl/workbook.xml")
+        self.formats = CellStyles(self.package.xml("xl/styles.xml")).formats
         strings = self.package.xml("xl/sharedStrings.xml")
         self.strings = ["".join(t.text or "" for t in si.iter() if local(t.tag) == "t") for si in strings] if strings is not None else []
         self.tree, self.cells, self.sheets, self.kind = Tree(), [], [], "spreadsheet"
@@ -371,7 +459,8 @@ class Workbook:
             for cell in (c for c in row if local(c.tag) == "c"):
                 col_no, own_row = parse_ref(cell.get("r")) if cell.get("r") else (col_no + 1, row_no)
                 text, kind = self._text(cell)
-                found[own_row, col_no] = [text, kind, 1, 1, False]
+                own = cell.get("s")
+                found[own_row, col_no] = [text, kind, 1, 1, False, int(own) if own and own.isdigit() else None]
         merges = _child(root, "mergeCells")
         for node in merges if merges is not None else ():
             a, _, b = (node.get("ref") or "").partition(":")
@@ -389,8 +478,13 @@ class Workbook:
             for key in inside:
                 if key != (r0, c0):
                     found[key][4] = True
-        for (r, c), (text, kind, down, across, covered) in sorted(found.items()):
-            box = self.tree.add(at, "sheet_cell", ref=ref(c, r), name=ref(c, r), value_type=kind, row_span=down, col_span=across, is_covered=covered)
+        columns = _child(root, "cols")
+        for column in columns if columns is not None else ():
+            if column.get("width"):
+                self.tree.add(at, "table_column", name=f"{column.get('min')}-{column.get('max')}", attrs={"width": f"{float(column.get('width')):g}ch"})
+        for (r, c), (text, kind, down, across, covered, own) in sorted(found.items()):
+            look = self.formats[own] if own is not None and own < len(self.formats) else None
+            box = self.tree.add(at, "sheet_cell", ref=ref(c, r), name=ref(c, r), value_type=kind, row_span=down, col_span=across, is_covered=covered, style_name=str(own) if own is not None else None, attrs=look or None)
             self.tree.text(box, text)
             number = None
             if kind == "float":

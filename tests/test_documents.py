@@ -335,3 +335,51 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT list_number(4, 'roman_lower') AS r").first().r == "iv"
     assert [r.text for r in spark.sql("SELECT * FROM csv_records('a;\"b;c\"', ';')").collect()] == ["a", "b;c"]
     assert spark.sql("SELECT detect_file_types(cast('a,b\n1,2' AS binary)) AS t").first().t == ["txt", "csv"]
+
+
+def test_workbook_looks(spark):
+    source = zipfile.ZipFile(io.BytesIO(builders.xlsx([["a"]])))
+    styles = f'<styleSheet {builders._S}><fonts><font/><font><b/><sz val="14"/><color rgb="FFFF0000"/></font></fonts><fills><fill/><fill><patternFill patternType="solid"><fgColor rgb="FF00FF00"/></patternFill></fill></fills><borders><border><left style="thin"/></border></borders><cellXfs><xf/><xf fontId="1" fillId="1"><alignment horizontal="center"/></xf></cellXfs></styleSheet>'
+    parts = [(n, source.read(n).replace(b'r="A1"', b'r="A1" s="1"'), 6) for n in source.namelist()] + [("xl/styles.xml", styles.encode(), 6)]
+    made = containers.write_zip(parts)
+    look = decode.elements(table(spark, made)).where("element_type = 'sheet_cell'").first().attrs
+    assert (look["font_weight"], look["font_size"], look["font_color"], look["fo:background-color"], look["fo:text-align"]) == ("bold", "14pt", "#ff0000", "#00ff00", "center")
+    assert "font-weight:bold" in html.views_of(made)[1][2] and decode.styles(table(spark, made)).count() == 2
+
+
+def test_paragraph_cascade(spark):
+    styles = f'<w:styles {builders._W}><w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="20"/></w:rPr></w:rPrDefault></w:docDefaults><w:style w:type="paragraph" w:styleId="A"><w:pPr><w:jc w:val="both"/><w:spacing w:before="1440"/></w:pPr></w:style><w:style w:type="paragraph" w:styleId="B"><w:basedOn w:val="A"/><w:rPr><w:b/></w:rPr></w:style></w:styles>'
+    made = containers.write_zip([("word/document.xml", f'<w:document {builders._W}><w:body><w:p/></w:body></w:document>'.encode(), 6), ("word/styles.xml", styles.encode(), 6)])
+    rows = {r.style_name: r.resolved for r in decode.styles(table(spark, made)).collect()}
+    assert rows["B"] == {"font_size": "10pt", "fo:text-align": "justify", "fo:margin-top": "1in", "font_weight": "bold"}
+
+
+def cff():
+    index = lambda *items: struct.pack(">HB", len(items), 1) + bytes(1 + sum(map(len, items[:i])) for i in range(len(items) + 1)) + b"".join(items) if items else b"\0\0"
+    number = lambda n: b"\x1c" + struct.pack(">h", n)
+    programs = index(b"\x0e", number(50) + number(0) + number(0) + b"\x15\x0e")
+    private = number(500) + b"\x14" + number(600) + b"\x15"
+    make = lambda glyphs, priv: b"\1\0\4\1" + index(b"Mini") + index(number(glyphs) + b"\x11" + number(len(private)) + number(priv) + b"\x12") + index() + index()
+    size = len(make(0, 0))
+    return make(size, size + len(programs)) + programs + private
+
+
+def type1():
+    def lock(data, key):
+        out = bytearray()
+        for b in data:
+            c = b ^ key >> 8
+            key = (c + key) * 52845 + 22719 & 0xFFFF
+            out.append(c)
+        return bytes(out)
+
+    program = lock(b"\0\0\0\0" + bytes([139, 139 + 100, 13, 14]), 4330)
+    private = b"\0\0\0\0/CharStrings 1 dict dup begin /A %d RD " % len(program) + program + b" ND end"
+    return b"%!PS-AdobeFont-1.0\n/FontName /Tiny def\ncurrentfile eexec\n" + lock(private, 55665).hex().encode()
+
+
+def test_cff_and_type1(spark):
+    rows = fonts.fonts(table(spark, cff(), type1())).orderBy("file_id").collect()
+    assert [(r.format, r.name, r.n_glyphs) for r in rows] == [("cff", "Mini", 2), ("type1", "Tiny", 1)]
+    font = fonts.Cff(cff())
+    assert [font.width(0), font.width(1)] == [500, 650] and fonts.Type1(type1()).widths == {"A": 100}
