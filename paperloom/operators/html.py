@@ -113,7 +113,7 @@ class Renderer:
         kind, at = row["element_type"], row["element_id"]
         style = self._style(row)
         if kind == "text":
-            path = f' data-odr-path="{row["path"]}" contenteditable="true"' if self.config.editable and row.get("is_editable") else ""
+            path = f' data-path="{row["path"]}" contenteditable="true"' if self.config.editable and row.get("is_editable") else ""
             return f"<x-s{path}>{escape_text(row['text'])}</x-s>"
         if kind == "line_break":
             return "<br>"
@@ -168,7 +168,7 @@ class Renderer:
                     line.append("<td></td>")
                     continue
                 taken |= {(r + i, c + j) for i in range(box.get("row_span") or 1) for j in range(box.get("col_span") or 1)}
-                kind = ' class="odr-value-type-float"' if box.get("value_type") == "float" else ""
+                kind = ' class="value-type-float"' if box.get("value_type") == "float" else ""
                 line.append(f"<td{kind}{_spans(box)}{self._style(box)}>{self.inner(box['element_id'])}</td>")
             body.append(f"<tr>{''.join(line)}</tr>")
         return f"<table class=\"sheet\"><thead>{head}</thead><tbody>{''.join(body)}</tbody></table>"

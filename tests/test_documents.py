@@ -206,7 +206,7 @@ def test_html_views(spark):
     rows = {(r.file_id, r.view_ix): r for r in html.html_views(table(spark, *made)).collect()}
     assert "<x-p><x-s>&nbsp;a &lt;b&gt;</x-s></x-p><x-p><br></x-p>" in rows[0, 0].html
     assert '<div class="line" data-line="2">&nbsp;y &nbsp;z</div>' in rows[1, 0].html
-    assert '<td class="odr-value-type-float"><x-s>2</x-s></td>' in rows[2, 1].html and rows[2, 1].path == "sheet0.html"
+    assert '<td class="value-type-float"><x-s>2</x-s></td>' in rows[2, 1].html and rows[2, 1].path == "sheet0.html"
     assert '&lt;r&gt;\n  &lt;a k="1"&gt;t&lt;/a&gt;\n  &lt;b&gt;\n    &lt;c/&gt;\n  &lt;/b&gt;\n&lt;/r&gt;' in rows[3, 0].html
     assert "data:image/png;base64," in rows[4, 0].html and rows[5, 0].error
     assert "sheet" in html.views_of(made[2], html.HtmlConfig(sheet_limit=(1, 1)))[1][1]
