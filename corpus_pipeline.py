@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate, jaccard, langid, mixing, toxicity
-from paperloom.llm.shared import load, shared_dir
+from paperloom.llm.shared import load, shared_dir, text_batches
 
 #: Documents at or above this toxicity go; documents below this language probability go.
 TOXIC, CERTAIN = 0.7, 0.5
@@ -21,21 +21,18 @@ TOXIC, CERTAIN = 0.7, 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 8: learns from all labels, drops documents that score TOXIC or more."""
     lexicon = toxicity.learn(docs, load(spark, sf_dir, "labels"))
-    names = [c for c in docs.columns if c != "doc_id"]
-    kept = toxicity.score(docs, lexicon, keep=names).where(F.col("score") < TOXIC)
-    return kept.select(*docs.columns)
+    return toxicity.drop_toxic(docs, lexicon, TOXIC)
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 9: drops documents without a determined language."""
-    network = langid.train(docs, F.lit(True))
-    names = [c for c in docs.columns if c != "doc_id"]
-    kept = langid.identify(docs, network, keep=names).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= CERTAIN))
-    return kept.select(*docs.columns)
+    text_batches(spark)
+    return langid.drop_undetermined(docs, langid.train(docs, F.lit(True)), CERTAIN)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 10: of each group of near-duplicates the document with the smallest id stays; documents without words stay."""
+    text_batches(spark)
     return jaccard.drop_near_copies(docs)
 
 

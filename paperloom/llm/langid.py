@@ -179,6 +179,8 @@ def _segments(data: np.ndarray, offsets: np.ndarray):
 
 def pooled(column: pa.Array, network: Network) -> np.ndarray:
     """Document probabilities, texts x languages; texts without letters get equal ones."""
+    if not network.languages:
+        return np.zeros((len(column), 0))
     data, offsets = K.text_buffers(column)
     starts, lengths, owner = _segments(data, offsets)
     total, letters = np.zeros((len(column), len(network.languages))), np.zeros(len(column))
@@ -193,8 +195,8 @@ def pooled(column: pa.Array, network: Network) -> np.ndarray:
         np.add.at(total, o, network.label(block, weight, ready))
         np.add.at(letters, o, weight.sum(axis=0))
     mean = total / np.maximum(letters, 1)[:, None]
-    p = np.exp(mean - mean.max(axis=1, keepdims=True)) if len(network.languages) else mean
-    return p / p.sum(axis=1, keepdims=True) if len(network.languages) else p
+    p = np.exp(mean - mean.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def train(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, windows: int = WINDOWS, seed: int = 13) -> Network:
@@ -267,6 +269,22 @@ def identify(docs: DataFrame, network: Network, id_col="doc_id", text_col="text"
     return rows.mapInArrow(run, schema)
 
 
+def drop_undetermined(docs: DataFrame, network: Network, certain: float = 0.5, text_col="text") -> DataFrame:
+    """The rows of `docs` (all columns, whatever their names) whose text has a letter and a language of probability `certain` at least."""
+    told, names = docs.sparkSession.sparkContext.broadcast(network), docs.columns
+    place = names.index(text_col)
+    letters = docs.where(F.col(text_col).rlike(r"\p{L}"))
+
+    def run(batches):
+        net = told.value
+        for big in batches:
+            for batch in K.pieces(big, place):
+                best = pooled(batch.column(place), net).max(axis=1) if net.languages else np.zeros(batch.num_rows)
+                yield batch.filter(pa.array(best >= certain))
+
+    return letters.mapInArrow(run, docs.schema)
+
+
 def in_fold(id_col: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text (null: empty) leaves this remainder."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

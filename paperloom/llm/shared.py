@@ -43,5 +43,19 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows and bytes of one Arrow batch between Spark and Python; texts are long, so the defaults hold tens of MB a task.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes where they are larger."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -265,6 +265,20 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, words: dict) -> list[str]:
     return [r["phrase"] for r in harmless]
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col="text") -> DataFrame:
+    """The rows of `docs` (all columns, whatever their names) that score below the threshold."""
+    told, place = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index(text_col)
+
+    def run(batches):
+        lex = told.value
+        a = lex.automaton()
+        for batch in batches:
+            got = (lex.features(t or "", a) for t in batch.column(place).to_pylist())
+            yield batch.filter(pa.array([lex.score(g[0], g[2]) < threshold for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, lexicon: Lexicon, id_col="doc_id", text_col="text", keep: list[str] | None = None) -> DataFrame:
     """doc_id (and `keep`), score, n_matches, n_words for every row of `docs`.
 
