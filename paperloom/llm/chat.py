@@ -38,10 +38,10 @@ class Costs:
     """Of merging a turn into the one before, of relabelling it (by given and new role), of an empty turn."""
 
     merge: float = 1.0
-    relabel: float = 1.5
+    relabel: float = 3.0
     relabel_system: float = 1.25
     unknown: float = 0.5
-    insert: float = 2.0
+    insert: float = 1.5
 
 
 @dataclass(frozen=True)

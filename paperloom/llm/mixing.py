@@ -1,13 +1,14 @@
 """Mixing sources to target weights by hash-threshold histograms (native expressions only).
 
-Every row has a 60-bit hash of its id.  Sizes are summed by source and hash
+Every row has a 60-bit hash of its id and text.  Sizes are summed by source and hash
 bucket; the bucket in which a source's budget ends is the only one refined by
 the next 12 bits, and so on.  A row is then taken or not by comparing its hash
 with its source's threshold: no sort of rows, no row leaves its partition, and
 a hot source is pre-aggregated to at most `2**bits` rows per task.
 
-Rows whose hash equals the threshold cell (36 bits: one row, or rows with equal
-or null ids) share what is left of the budget in proportion to their sizes.
+Rows whose hash equals the threshold cell (36 bits: one row, or repeated rows)
+share what is left of the budget in proportion to their sizes, each rounded
+down to words.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(id_col: Column) -> Column:
-    """60 bits of MD5 of the id as text (null: empty), as a long."""
-    digest = F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
+def row_hash(id_col: Column, text: Column) -> Column:
+    """60 bits of MD5 of the id as text, a bar and the text (null: empty), as a long."""
+    digest = F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -107,10 +108,9 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int
     """doc_id, source, size, source_size, target, taken for every row of `docs`.
 
     Null text: size 0, taken 0.  A null source is a source of its own, the
-    last.  Rows with equal ids (repeated rows, null ids) have one hash and are
-    taken alike.  An empty table gives no rows.  Extra columns are ignored.
+    last.  Rows equal in id and text have one hash and are taken alike.  An empty table gives no rows.  Extra columns are ignored.
     """
-    sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")))
+    sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col)).alias("hash")))
     return apply_plan(sized, mix_plan(sized, weights, share, cap)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -121,6 +121,6 @@ def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: i
     results are replaced.
     """
     docs = docs.drop("size", "hash", "source_size", "target", "taken")
-    keyed = docs.withColumns({"size": word_count(F.col("text")), "hash": id_hash(F.col("doc_id"))})
+    keyed = docs.withColumns({"size": word_count(F.col("text")), "hash": row_hash(F.col("doc_id"), F.col("text"))})
     plan = mix_plan(materialise(keyed.select("source", "size", "hash")), weights, share, cap)
     return apply_plan(keyed, plan).where(F.col("taken") > 0).drop("hash")

@@ -27,7 +27,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 MIX = """
 d AS (
   SELECT *, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT >> 24 AS cell
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT >> 24 AS cell
   FROM {docs}
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, list_element([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE], ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INTEGER) AS w
