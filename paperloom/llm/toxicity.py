@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding undoes disguises: letters lose case and accents, look-alike letters of
-other scripts and digit substitutions become plain letters (i, l and 1 are one
-letter), everything else ends a word.  Lexicon entries are word beginnings with
+Folding undoes disguises: letters lose case, look-alike letters of other scripts
+and digit substitutions become plain letters (i, l and 1 are one letter),
+everything else ends a word.  Accents tell words apart in many languages, so
+they stay; entries of weight STRONG or more match the bare letters as well.  Lexicon entries are word beginnings with
 a weight, the log ratio of their rates in toxic and clean words; a match inside
 an exception phrase does not count.  A document's summed weight is normalised
 by its length in a logistic score.
@@ -31,7 +32,7 @@ SHORTEST, LONGEST, PER_DOC = 3, 10, 6
 SEED_TERMS = ("idiot", "stupid", "moron", "loser", "scum", "imbecile", "worthless", "pathetic", "disgusting")
 #: Phrases in which a seed term is harmless.
 SEED_EXCEPTIONS = ("sore loser",)
-_SEED_OCCURRENCES = 2.0
+_SEED_OCCURRENCES, STRONG = 2.0, 5.0
 
 #: Look-alikes: each group of characters reads as the letter before it.
 _LOOKALIKES = {
@@ -52,6 +53,8 @@ def _fold_table() -> dict:
             table[code] = None
         elif not any(c.isalnum() for c in base):
             table[code] = None if unicodedata.category(chr(code)) in ("Cf", "Mn") else " "
+        elif len(base) == 1 and len(plain) > 1:
+            table[code] = chr(code).lower()  # an accent tells words apart
         elif base != chr(code):
             table[code] = base
     for letter, group in _LOOKALIKES.items():
@@ -65,6 +68,17 @@ def _fold_table() -> dict:
     return {k: v for k, v in table.items() if v != chr(k)}
 
 
+@lru_cache(maxsize=1)
+def _bare_table() -> dict:
+    """Accented letters to bare ones, character by character."""
+    table = {}
+    for code in range(0xC0, 0x2000):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            table[code] = _fold_table().get(ord(base), base)
+    return table
+
+
 def fold(text: str) -> str:
     """Folded text with a space at both ends."""
     return f" {text.translate(_fold_table())} "
@@ -99,12 +113,17 @@ class Lexicon:
             return []
         found: dict[int, tuple[int, float]] = {}
         spared: list[tuple[int, int]] = []
-        for last, (length, weight) in a.iter(" ".join(fold(text).split(" "))):
-            start = last - length + 1
-            if weight is None:
-                spared.append((start, last))
-            elif start not in found or found[start][0] < length:
-                found[start] = (length, weight)
+        folded = fold(text)
+        bare = folded if folded.isascii() else folded.translate(_bare_table())
+        for shown, least in ((folded, -1.0), (bare, STRONG)):
+            if least > 0 and shown == folded:
+                break
+            for last, (length, weight) in a.iter(shown):
+                start = last - length + 1
+                if weight is None:
+                    spared.append((start, last))
+                elif weight >= least and (start not in found or found[start][0] < length):
+                    found[start] = (length, weight)
         if spared:
             found = {s: x for s, x in found.items() if not any(lo <= s < hi for lo, hi in spared)}
         return [(s + 1, s + n, w) for s, (n, w) in sorted(found.items())]
