@@ -5,9 +5,9 @@ reaches the threshold.  If they link, then under any common order of shingles
 their l-prefixes (the first |A| - ceil(t |A|) + l shingles) share l shingles at
 least.  The join uses that twice:
 
-1.  In hash order, every document sends its l-prefix with l = 1 + |A| // 10 to
+1.  In hash order, every document sends its l-prefix with l = 1 + |A| // 5 to
     shards.  A document with fewer than l shingles that any other set has in
-    its prefix links with nothing and leaves.  This moves about a third of the
+    its prefix links with nothing and leaves.  This moves under half of the
     shingles, four bytes each, and costs the same however often one occurs.
 2.  Among the rest, shingles are counted, and prefixes are taken in order of
     frequency, rarest first.  Each document lengthens its prefix by the cost
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shards import bounds, count_and_reply, in_key_order, shard_count
+from .shards import count_and_reply, in_key_order, shard_count
 from .shared import materialise, written
 
 WIDTH, THRESHOLD = 5, 75
@@ -39,6 +39,8 @@ WIDTH, THRESHOLD = 5, 75
 SMALL = 6
 PIVOT_ROUNDS = 2
 LEVELS, VERIFY_COST = 8, 16
+#: Shared shingles of a prefix up to this number travel with each of them, to meet a partner once.
+CARRIED = 256
 CHUNK_SHINGLES = 1 << 18
 
 
@@ -72,12 +74,13 @@ def describe_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text) to doc_id, text_hash, n, cls: one narrow row per document."""
 
     def run(batches):
-        for batch in batches:
-            n, cls = [], []
-            for s in _sets(batch.column(1), width):
-                n.append(len(s))
-                cls.append(_class_of(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "text_hash", "n", "cls"])
+        for whole in batches:
+            for batch in K.pieces(whole, 1):
+                n, cls = [], []
+                for s in _sets(batch.column(1), width):
+                    n.append(len(s))
+                    cls.append(_class_of(s))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "text_hash", "n", "cls"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, cls long")
 
@@ -86,27 +89,28 @@ def shared_counts(docs: DataFrame, width: int, percent: int, n_shards: int) -> D
     """(cls, shared): how many shingles of a set's hash-order prefix another set has in its own."""
 
     def post(batches):
-        for batch in batches:
-            tokens, classes = [], []
-            for s in _sets(batch.column(0), width):
-                if n := len(s):
-                    tokens.append(s[: n - _need(n, percent) + 1 + n // 10])
-                    classes.append(_class_of(s))
-            if not tokens:
-                continue
-            owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-            mixed = K._mix(np.concatenate(tokens))
-            shard = ((mixed >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)
-            order = np.argsort(shard.astype(np.uint32), kind="stable")
-            shard, low, owner = shard[order], mixed[order].astype(np.uint32), owner[order]
-            ids = np.array(classes, dtype=np.int64)
-            cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
-            rows = []
-            for a, b in zip(cut[:-1], cut[1:]):
-                own = owner[a:b]
-                runs = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                rows.append((int(shard[a]), low[a:b].tobytes(), ids[own[runs]].tobytes(), np.diff(np.r_[runs, b - a]).astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "tokens", "classes", "runs"])
+        for whole in batches:
+            for batch in K.pieces(whole):
+                tokens, classes = [], []
+                for s in _sets(batch.column(0), width):
+                    if n := len(s):
+                        tokens.append(s[: n - _need(n, percent) + _first_level(n)])
+                        classes.append(_class_of(s))
+                if not tokens:
+                    continue
+                owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+                mixed = K._mix(np.concatenate(tokens))
+                shard = (((mixed >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)).astype(np.uint32)
+                order = np.argsort(shard, kind="stable")
+                shard, low, owner = shard[order], mixed[order].astype(np.uint32), owner[order]
+                ids = np.array(classes, dtype=np.int64)
+                cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+                rows = []
+                for a, b in zip(cut[:-1], cut[1:]):
+                    own = owner[a:b]
+                    runs = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    rows.append((int(shard[a]), low[a:b].tobytes(), ids[own[runs]].tobytes(), np.diff(np.r_[runs, b - a]).astype(np.uint32).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "tokens", "classes", "runs"])
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column(name)])
@@ -125,8 +129,45 @@ def shared_counts(docs: DataFrame, width: int, percent: int, n_shards: int) -> D
     return posted.groupBy("shard").applyInArrow(meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
-def _chunk_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(text, cls) rows, one per class, to chunks: chunk, classes, sizes, shingles, keys, weights."""
+def _first_level(n: int) -> int:
+    return 1 + n // 5
+
+
+def _passing(live: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit map of the hashes in column `h`, of 16 bits a row up to 2**27 bits, and the number of its bits.
+
+    It only thins what is sent to the join; false hits end there.
+    """
+    bits = 1 << min(27, max(16, (16 * live.count()).bit_length()))
+    place = F.pmod(F.col("h"), F.lit(bits))
+    cells = live.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) & 63 AS int))")).alias("word")).toArrow()
+    words = np.zeros(bits >> 6, dtype=np.int64)
+    words[np.asarray(cells.column("cell"))] = np.asarray(cells.column("word"))
+    return words, bits
+
+
+def live_sets(docs: DataFrame, live: DataFrame, width: int, n_shards: int) -> DataFrame:
+    """(cls, shingles) of the representatives in `live` (cls, rep_id, rep_hash), dealt by cls."""
+    h = lambda a, b: F.xxhash64(F.coalesce(a, F.lit(0)), b)
+    words, bits = _passing(live.select(h(F.col("rep_id"), F.col("rep_hash")).alias("h")))
+    told = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        for whole in batches:
+            place = np.asarray(whole.column(3)) % bits
+            whole = whole.filter(pa.array((told.value[place >> 6] >> (place & 63)) & 1 == 1))
+            for batch in K.pieces(whole, 1):
+                sets = list(_sets(batch.column(1), width))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "text_hash", "cls", "shingles"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), h(F.col("doc_id"), F.xxhash64("text")).alias("h"))
+    found = rows.mapInArrow(run, "doc_id long, text_hash long, cls long, shingles binary").repartition(n_shards, "cls")
+    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))
+    return found.join(live, "cls").where(same).select("cls", "shingles").dropDuplicates(["cls"])
+
+
+def _chunk_sets(sets: DataFrame) -> DataFrame:
+    """(cls, shingles) rows to chunks: chunk, classes, sizes, values; the same ones each time, as `sets` is written."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -134,23 +175,21 @@ def _chunk_sets(docs: DataFrame, width: int) -> DataFrame:
         no, held, classes, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def close():
-            flat = np.concatenate(held)
-            keys, weights = np.unique(flat, return_counts=True)
-            cells = [no, np.array(classes, np.int64).tobytes(), np.array([len(s) for s in held], np.int64).tobytes(), flat.tobytes(), keys.tobytes(), weights.astype(np.int64).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([cells[0]], pa.int64()), *[pa.array([c], pa.binary()) for c in cells[1:]]], names=["chunk", "classes", "sizes", "shingles", "keys", "weights"])
+            cells = [np.array(classes, np.int64).tobytes(), np.array([len(s) for s in held], np.int64).tobytes(), np.concatenate(held).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), *[pa.array([c], pa.binary()) for c in cells]], names=["chunk", "classes", "sizes", "values"])
 
         for batch in batches:
-            for s, cls in zip(_sets(batch.column(0), width), batch.column(1).to_pylist()):
-                held.append(s)
+            for cls, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append(np.frombuffer(shingles.as_buffer(), np.uint64))
                 classes.append(cls)
-                size += len(s)
+                size += len(held[-1])
                 if size >= CHUNK_SHINGLES:
                     yield close()
                     no, held, classes, size = no + 1, [], [], 0
         if held:
             yield close()
 
-    return docs.mapInArrow(run, "chunk long, classes binary, sizes binary, shingles binary, keys binary, weights binary")
+    return sets.select("cls", "shingles").mapInArrow(run, "chunk long, classes binary, sizes binary, values binary")
 
 
 def _level(df: np.ndarray, n: int, percent: int) -> tuple[int, int]:
@@ -164,20 +203,21 @@ def _level(df: np.ndarray, n: int, percent: int) -> tuple[int, int]:
 
 
 def _postings(chunks: DataFrame, replies: DataFrame, percent: int) -> DataFrame:
-    """(token, cls, n, level, large, many): shared shingles of each class's prefix in frequency order.
+    """(token, cls, n, level, large, rare, many): shared shingles of each class's prefix in frequency order.
 
     `many`: the shingle's bucket is larger than SMALL; `large`: how many such
-    shingles the class's prefix has.
+    shingles the class's prefix has; `rare`: how many others it has, those of
+    this class alone included.
     """
-    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("level", pa.int32()), ("large", pa.int32()), ("many", pa.bool_())])
+    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("level", pa.int32()), ("large", pa.int32()), ("rare", pa.int64()), ("many", pa.bool_())])
 
     def run(chunk: pa.Table, reply: pa.Table) -> pa.Table:
         out = []
         for row in chunk.to_pylist():
             read = lambda name, kind: np.frombuffer(row[name], dtype=kind)  # noqa: E731, B023
             totals = in_key_order(reply)
-            flat = read("shingles", np.uint64)
-            df = totals[np.searchsorted(read("keys", np.uint64), flat)]
+            flat = read("values", np.uint64)
+            df = totals[np.unique(flat, return_inverse=True)[1]]
             at = 0
             for cls, n in zip(read("classes", np.int64).tolist(), read("sizes", np.int64).tolist()):
                 order = np.lexsort((flat[at : at + n], df[at : at + n]))
@@ -188,25 +228,11 @@ def _postings(chunks: DataFrame, replies: DataFrame, percent: int) -> DataFrame:
                 if shared.any():
                     token, many = token[:length][shared], count[:length][shared] > SMALL
                     k = len(token)
-                    out.append((_signed(token), np.full(k, cls), np.full(k, n), np.full(k, level, np.int32), np.full(k, many.sum(), np.int32), many))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 6
+                    out.append((_signed(token), np.full(k, cls), np.full(k, n), np.full(k, level, np.int32), np.full(k, many.sum(), np.int32), np.full(k, length - many.sum()), many))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 7
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    slim = chunks.select("chunk", "classes", "sizes", "shingles", "keys")
-    return slim.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, "token long, cls long, n long, level int, large int, many boolean")
-
-
-def _exploded(chunks: DataFrame) -> DataFrame:
-    """Chunks to one row per class: cls, shingles."""
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes, flat = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["shingles"], np.uint64)
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["classes"], np.int64)), pa.array([flat[e - n : e].tobytes() for n, e in zip(sizes, ends)], pa.binary())], names=["cls", "shingles"])
-
-    return chunks.select("classes", "sizes", "shingles").mapInArrow(run, "cls long, shingles binary")
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, "token long, cls long, n long, level int, large int, rare long, many boolean")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,6 +282,18 @@ def _sized(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _possible(x: str, y: str, percent: int):
+    """Whether two members of a large bucket can link if no small bucket holds both.
+
+    A linking pair shares a shingle of both prefixes.  If that is in a large
+    bucket, both prefixes reach large buckets, so all of their rare shingles
+    (which come first) are in the prefixes; a rare shingle in common would be a
+    small bucket of both.  So the overlap is what neither has as rare.
+    """
+    overlap = F.least(F.col(f"{x}n") - F.col(f"{x}rare"), F.col(f"{y}n") - F.col(f"{y}rare"))
+    return overlap * 100 >= (F.col(f"{x}n") + F.col(f"{y}n") - overlap) * percent
+
+
 def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the classes that link with another."""
     x, y = posts.alias("x"), posts.alias("y")
@@ -263,11 +301,13 @@ def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFra
     # A linking pair shares min(level) shingles of its prefixes; those in large buckets are not counted here.
     met = few.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("x.level", "y.level")).alias("l"), F.first(F.least("x.large", "y.large")).alias("large"))
     pairs = met.where("c + large >= l").select("a", "b")
-    members = materialise(posts.where("many").select("token", "cls", "n").withColumn("comp", F.col("cls")))
+    members = posts.where("many").where(f"(n - rare) * 100 >= n * {percent}").select("token", "cls", "n", "rare").withColumn("comp", F.col("cls"))
+    members = materialise(members)
     tried = links = None
     for _ in range(PIVOT_ROUNDS):
-        pivot = members.groupBy("token").agg(F.min(F.struct("cls", "n", "comp")).alias("p"))
-        star = members.join(pivot, "token").where((F.col("cls") != F.col("p.cls")) & (F.col("comp") != F.col("p.comp")) & _sized("n", "p.n", percent))
+        # The pivot has the least share of rare shingles: of copies with edits, the one nearest to what they have in common.
+        pivot = members.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "cls", "n", "rare", "comp")).alias("p"))
+        star = members.join(pivot, "token").where((F.col("cls") != F.col("p.cls")) & (F.col("comp") != F.col("p.comp")) & _possible("", "p.", percent))
         new = star.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
         new = new if tried is not None else new.unionByName(pairs).distinct()
         new = new.join(tried, ["a", "b"], "left_anti") if tried is not None else new
@@ -276,13 +316,20 @@ def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFra
         found = materialise(_verify(new, sets, percent))
         links = found if links is None else links.unionByName(found)
         comps = connected(links)
-        left = members.join(pivot, "token").where(F.col("cls") != F.col("p.cls")).select("token", "cls", "n")
-        left = left.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("comp"))
+        left = members.join(pivot, "token").where(F.col("cls") != F.col("p.cls")).select("token", "cls", "n", "rare")
+        left = left.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "rare", F.coalesce("root", "cls").alias("comp"))
         # Buckets all of whose members are joined are done.
         open_ = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         members = materialise(left.join(open_, "token"))
+    # What pivots left open is compared pair by pair, each pair at the first shingle that both share, if they share enough.
+    own = posts.where("many").groupBy("cls").agg(F.collect_list("token").alias("own"), F.first("level").alias("level")).where(F.size("own") <= CARRIED)
+    members = members.join(own, "cls", "left")
     x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & _sized("x.n", "y.n", percent))
+    shared = F.array_intersect("x.own", "y.own")
+    once = (F.array_min(shared) == F.col("x.token")) & (F.size(shared) >= F.least("x.level", "y.level"))
+    once = F.when(F.col("x.own").isNull() | F.col("y.own").isNull(), F.lit(True)).otherwise(once)
+    open_pair = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & _possible("x.", "y.", percent)
+    rest = x.join(y, F.col("x.token") == F.col("y.token")).where(open_pair & once)
     rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = materialise(_verify(rest, sets, percent))
     if found.isEmpty():
@@ -290,6 +337,30 @@ def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return connected(links.unionByName(found))
 
 
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, text) to doc_id, text_hash, n, root, component_id; root: a class of the component, null for empty sets."""
+    n_shards = shard_count(docs)
+    narrow = written(describe_sets(docs, width), "sets")
+    full = narrow.where("n > 0")
+    classes = full.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+    shared = shared_counts(docs, width, percent, n_shards)
+    # The least level of any set that this one can link to.
+    level = 1 + F.expr(f"((n * {percent} + 99) div 100) div 5")
+    live = materialise(classes.join(shared, "cls").where(F.col("shared") >= level).select(F.col("cls"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
+    sets = materialise(live_sets(docs, live, width, n_shards))
+    chunks = _chunk_sets(sets)
+    posts = materialise(_postings(chunks, count_and_reply(chunks, n_shards), percent))
+    comps = class_components(posts, sets, percent)
+    rooted = classes.select("cls", "min_id").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    component = rooted.groupBy("root").agg(F.min("min_id").alias("component_id"))
+    by_class = rooted.join(component, "root").select("cls", "root", "component_id")
+    return narrow.join(by_class, "cls", "left")
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
@@ -299,24 +370,24 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = THRES
     null).  Repeated rows and equal texts have equal sets and share a
     component.  An empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    narrow = written(describe_sets(docs, width), "sets")
-    full = narrow.where("n > 0")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
-    shared = shared_counts(docs, width, percent, shard_count(docs))
-    level = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
-    live = materialise(classes.join(shared, "cls").where(F.col("shared") >= level).select(F.col("cls"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
-    reps = docs.join(live, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash")))
-    reps = reps.select("cls", "text").dropDuplicates(["cls"]).select("text", "cls")
-    chunks = written(_chunk_sets(reps, width), "chunks")
-    posts = materialise(_postings(chunks, count_and_reply(chunks, shard_count(docs)), percent))
-    comps = class_components(posts, _exploded(chunks), percent)
-    rooted = classes.select("cls", "min_id").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    component = rooted.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    by_class = rooted.join(component, "root").select("cls", "component_id")
-    out = narrow.join(by_class, "cls", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return _labelled(_plain(docs, id_col, text_col), width, percent).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-__all__ = ["bounds", "class_components", "connected", "jaccard_components"]
+def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
+    """`docs` (all columns) with one row of each component: of the smallest id, null last, then of the smallest text hash.
+
+    Rows without words all stay.  Of rows equal in id and text one stays.
+    """
+    labelled = _labelled(_plain(docs, id_col, text_col), width, percent).where("n > 0")
+    keyed = labelled.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    stays = keyed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "copies")).alias("s"))
+    stays = materialise(stays.select(F.col("s.doc_id").alias("_stay_id"), F.col("s.text_hash").alias("_stay_hash"), F.col("s.copies").alias("_copies")))
+    this_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    wordless = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = this_id.eqNullSafe(F.col("_stay_id")) & (F.xxhash64(text) == F.col("_stay_hash"))
+    out = docs.where(wordless).unionByName(docs.where(~wordless).join(stays.where("_copies = 1"), same, "left_semi"))
+    repeated = stays.where("_copies > 1")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(docs.where(~wordless).join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))

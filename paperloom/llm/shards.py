@@ -26,8 +26,9 @@ def bounds(n: int) -> np.ndarray:
 
 
 def count_and_reply(chunks: DataFrame, n_shards: int) -> DataFrame:
-    """Rows (chunk, keys, weights): sorted distinct uint64 keys and int64 weights as binaries.
+    """Rows (chunk, values): uint64 values as a binary, whose sorted distinct ones are the chunk's keys.
 
+    A key weighs as often as it occurs.
     Returns one row per chunk and shard that met: `totals`, int64, aligned with
     the chunk's keys in that shard; `shard_keys` and `shard_weight`: the
     shard's keys of positive weight and their sum.  Replies of a chunk in shard
@@ -37,9 +38,8 @@ def count_and_reply(chunks: DataFrame, n_shards: int) -> DataFrame:
 
     def split(batches):
         for batch in batches:
-            for chunk, keys, weights in zip(*(batch.column(i) for i in range(3))):
-                k = np.frombuffer(keys.as_buffer(), dtype=np.uint64)
-                w = np.frombuffer(weights.as_buffer(), dtype=np.int64)
+            for chunk, values in zip(batch.column(0), batch.column(1)):
+                k, w = np.unique(np.frombuffer(values.as_buffer(), dtype=np.uint64), return_counts=True)
                 cut = np.r_[np.searchsorted(k, lower), len(k)]
                 some = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
@@ -74,7 +74,7 @@ def count_and_reply(chunks: DataFrame, n_shards: int) -> DataFrame:
             }
         )
 
-    pieces = chunks.select("chunk", "keys", "weights").mapInArrow(split, "shard int, chunk long, keys binary, weights binary")
+    pieces = chunks.select("chunk", "values").mapInArrow(split, "shard int, chunk long, keys binary, weights binary")
     return pieces.groupBy("shard").applyInArrow(count, REPLY_SCHEMA)
 
 
