@@ -41,7 +41,9 @@ PIVOT_ROUNDS = 2
 LEVELS, VERIFY_COST = 8, 16
 #: Shared shingles of a prefix up to this number travel with each of them, to meet a partner once.
 CARRIED = 256
-CHUNK_SHINGLES = 1 << 18
+EDGES_A_PARTITION = 250_000
+#: Shingles of one chunk, and those posted at once to the shards (12 MB).
+CHUNK_SHINGLES, POST_SHINGLES = 1 << 18, 1 << 20
 
 
 def _need(n, percent: int):
@@ -89,28 +91,34 @@ def shared_counts(docs: DataFrame, width: int, percent: int, n_shards: int) -> D
     """(cls, shared): how many shingles of a set's hash-order prefix another set has in its own."""
 
     def post(batches):
+        tokens, classes, held = [], [], 0
         for whole in batches:
             for batch in K.pieces(whole):
-                tokens, classes = [], []
                 for s in _sets(batch.column(0), width):
                     if n := len(s):
                         tokens.append(s[: n - _need(n, percent) + _first_level(n)])
                         classes.append(_class_of(s))
-                if not tokens:
-                    continue
-                owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-                mixed = K._mix(np.concatenate(tokens))
-                shard = (((mixed >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)).astype(np.uint32)
-                order = np.argsort(shard, kind="stable")
-                shard, low, owner = shard[order], mixed[order].astype(np.uint32), owner[order]
-                ids = np.array(classes, dtype=np.int64)
-                cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
-                rows = []
-                for a, b in zip(cut[:-1], cut[1:]):
-                    own = owner[a:b]
-                    runs = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    rows.append((int(shard[a]), low[a:b].tobytes(), ids[own[runs]].tobytes(), np.diff(np.r_[runs, b - a]).astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "tokens", "classes", "runs"])
+                        held += len(tokens[-1])
+                if held >= POST_SHINGLES:
+                    yield deal(tokens, classes)
+                    tokens, classes, held = [], [], 0
+        if tokens:
+            yield deal(tokens, classes)
+
+    def deal(tokens: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        mixed = K._mix(np.concatenate(tokens))
+        shard = (((mixed >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)).astype(np.uint32)
+        order = np.argsort(shard, kind="stable")
+        shard, low, owner = shard[order], mixed[order].astype(np.uint32), owner[order]
+        ids = np.array(classes, dtype=np.int64)
+        cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+        rows = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            own = owner[a:b]
+            runs = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            rows.append((int(shard[a]), low[a:b].tobytes(), ids[own[runs]].tobytes(), np.diff(np.r_[runs, b - a]).astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "tokens", "classes", "runs"])
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column(name)])
@@ -254,28 +262,36 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _laid(df: DataFrame, rows: int) -> DataFrame:
+    """Few rows in few partitions: one partition needs no shuffle at all, many rows stay spread."""
+    return df.coalesce(max(1, -(-rows // EDGES_A_PARTITION)))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for all nodes of links (a, b); root: the smallest node of its component.
 
     Alternating large-star and small-star steps: O(log^2 n) rounds whatever the
-    shape, each one shuffle by node; edges stay in the cluster.
+    shape, joins and sums by node; edges stay in the cluster, in partitions of
+    EDGES_A_PARTITION.
     """
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    known = None
+    edge = lambda u, v: F.struct(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+    edges = materialise(links.where("a <> b").select(edge("a", "b").alias("e")).select("e.*").distinct())
+    rows, known = edges.count(), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = _laid(edges, rows)
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        small = large.join(low, "u").select(F.explode(F.array(edge("v", "m"), edge("u", "m"))).alias("e")).select("e.*")
+        edges = materialise(small.where("u <> v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
+        rows = state[0]
         if state == known:
             break
         known = state
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return materialise(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))
+    star = _laid(edges, rows).select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root")))).alias("e"))
+    return materialise(star.select("e.*").distinct())
 
 
 def _sized(a: str, b: str, percent: int):
@@ -303,7 +319,14 @@ def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFra
     pairs = met.where("c + large >= l").select("a", "b")
     members = posts.where("many").where(f"(n - rare) * 100 >= n * {percent}").select("token", "cls", "n", "rare").withColumn("comp", F.col("cls"))
     members = materialise(members)
-    tried = links = None
+    tried = comps = None
+
+    def joined(found: DataFrame) -> DataFrame:
+        """Components with new links: what is known enters as stars, so few rounds are left."""
+        if comps is None:
+            return connected(found)
+        return comps if found.isEmpty() else connected(found.unionByName(comps.toDF("a", "b")))
+
     for _ in range(PIVOT_ROUNDS):
         # The pivot has the least share of rare shingles: of copies with edits, the one nearest to what they have in common.
         pivot = members.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "cls", "n", "rare", "comp")).alias("p"))
@@ -313,9 +336,7 @@ def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFra
         new = new.join(tried, ["a", "b"], "left_anti") if tried is not None else new
         new = materialise(new)
         tried = new if tried is None else tried.unionByName(new)
-        found = materialise(_verify(new, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        comps = connected(links)
+        comps = joined(materialise(_verify(new, sets, percent)))
         left = members.join(pivot, "token").where(F.col("cls") != F.col("p.cls")).select("token", "cls", "n", "rare")
         left = left.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "rare", F.coalesce("root", "cls").alias("comp"))
         # Buckets all of whose members are joined are done.
@@ -331,10 +352,7 @@ def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFra
     open_pair = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & _possible("x.", "y.", percent)
     rest = x.join(y, F.col("x.token") == F.col("y.token")).where(open_pair & once)
     rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    found = materialise(_verify(rest, sets, percent))
-    if found.isEmpty():
-        return comps
-    return connected(links.unionByName(found))
+    return joined(materialise(_verify(rest, sets, percent)))
 
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:

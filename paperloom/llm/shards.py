@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-REPLY_SCHEMA = "chunk long, shard int, totals binary, shard_keys long, shard_weight long"
+REPLY_SCHEMA = "chunk long, shard int, totals binary"
 
 
 def shard_count(df: DataFrame) -> int:
@@ -28,11 +28,9 @@ def bounds(n: int) -> np.ndarray:
 def count_and_reply(chunks: DataFrame, n_shards: int) -> DataFrame:
     """Rows (chunk, values): uint64 values as a binary, whose sorted distinct ones are the chunk's keys.
 
-    A key weighs as often as it occurs.
-    Returns one row per chunk and shard that met: `totals`, int64, aligned with
-    the chunk's keys in that shard; `shard_keys` and `shard_weight`: the
-    shard's keys of positive weight and their sum.  Replies of a chunk in shard
-    order line up with its keys.
+    A key weighs as often as it occurs.  Returns one row per chunk and shard
+    that met: `totals`, int64, aligned with the chunk's keys in that shard.
+    Replies of a chunk in shard order line up with its keys.
     """
     lower = bounds(n_shards)
 
@@ -63,14 +61,11 @@ def count_and_reply(chunks: DataFrame, n_shards: int) -> DataFrame:
         totals = np.empty(len(keys), dtype=np.int64)
         totals[order] = sums[np.cumsum(new) - 1]
         ends = np.cumsum([len(p) for p in parts])
-        n = len(parts)
         return pa.table(
             {
                 "chunk": table.column("chunk"),
                 "shard": table.column("shard"),
                 "totals": pa.array([totals[e - len(p) : e].tobytes() for p, e in zip(parts, ends)], pa.binary()),
-                "shard_keys": pa.array(np.full(n, int((sums > 0).sum()), dtype=np.int64)),
-                "shard_weight": pa.array(np.full(n, int(sums.sum()), dtype=np.int64)),
             }
         )
 
