@@ -26,23 +26,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path, partitionBy=partition_by)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table that `written` made; only for tables that nothing lazy reads any more."""
-    jvm, files = df.sparkSession._jvm, df.inputFiles()
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in files}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 #: Rows and bytes of one Arrow batch between Spark and Python; texts are long, so the defaults hold tens of MB a task.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
