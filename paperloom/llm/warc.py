@@ -180,7 +180,7 @@ def export_archives(archives: DataFrame, uri: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with store.open_output_stream(f"{base}/{name}") as out:
+                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                     out.write(content.as_buffer())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c.as_py()) for c in batch.column(1)], pa.int64())], names=["archive", "size"])
 

@@ -56,7 +56,7 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 class Node:
     """An element: tag, class and id, ordered parts (text or nodes)."""
 
-    __slots__ = ("tag", "cls", "drop", "parts", "depth", "label", "own", "kids", "index", "weights")
+    __slots__ = ("tag", "cls", "drop", "parts", "depth", "label", "own", "kids", "index", "chars")
 
     def __init__(self, tag: str, attrs: str = "", depth: int = 0):
         self.tag, self.parts, self.depth, self.cls, self.drop = tag, [], depth, "", tag in _DROP
@@ -131,10 +131,11 @@ def _clean(parts: list[str]) -> str:
 
 
 def outline(root: Node) -> list[Node]:
-    """Block nodes in page order, each with label, own (hash of its text, 0 if none), kids and index."""
+    """Block nodes in page order, each with label, own (hash of its text, 0 if none), chars (0 in dropped parts), kids and index."""
     found: list[Node] = []
 
-    def visit(node: Node) -> None:
+    def visit(node: Node, dropped: bool) -> None:
+        dropped = dropped or node.drop
         node.index = len(found)
         found.append(node)
         node.label = f"{node.tag}.{node.cls}" if node.cls else node.tag
@@ -142,6 +143,7 @@ def outline(root: Node) -> list[Node]:
         _inline(node, texts)
         text = "" if node.tag in ("script", "style") else _clean(texts)
         node.own = zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1 if text else 0
+        node.chars = 0 if dropped else len(text)
         node.kids = []
         inner = list(node.parts)
         while inner:
@@ -153,9 +155,9 @@ def outline(root: Node) -> list[Node]:
             else:
                 inner[:0] = part.parts
         for kid in node.kids:
-            visit(kid)
+            visit(kid, dropped)
 
-    visit(root)
+    visit(root, False)
     return found
 
 
@@ -246,8 +248,8 @@ def votes(root: Node, reference: Reference) -> list[tuple[int, bool]]:
     """(reference node, equal text) of the aligned text nodes; none if the page mostly repeats the reference."""
     outline(root)
     matched = [(a, b) for a, b in align(root, reference.root) if a.own and b.own]
-    prose = [a.own == b.own for a, b in matched if a.tag in _PROSE]
-    if prose and sum(prose) * 2 > len(prose):
+    prose = [(a.chars, a.own == b.own) for a, b in matched if a.tag in _PROSE]
+    if sum(n for n, equal in prose if equal) * 2 > sum(n for n, _ in prose):
         return []
     return [(b.index, a.own == b.own) for a, b in matched]
 

@@ -14,7 +14,7 @@ def brute(rows, k):
     for a, (q, u) in enumerate(ok):
         if q % 20:
             continue
-        scored = sorted((-sum(x * y for x, y in zip(u, v)), c) for b, (c, v) in enumerate(ok) if b != a)
+        scored = sorted((-min(sum(x * y for x, y in zip(u, v)), 2**63 - 1), c) for b, (c, v) in enumerate(ok) if b != a)
         out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
