@@ -316,7 +316,7 @@ def bring_offline(views: DataFrame, uri: str) -> DataFrame:
                 full = f"{base}/{file_id}/{path}"
                 store.create_dir(full.rpartition("/")[0], recursive=True)
                 raw = html.encode("utf-8", "replace")
-                with store.open_output_stream(full) as out:
+                with store.open_output_stream(full, compression=None) as out:
                     out.write(raw)
                 paths.append(full)
                 sizes.append(len(raw))
