@@ -2,8 +2,10 @@
 
 An item that occurs with at most k errors keeps one of k + 1 pieces unchanged.
 All pieces of all items go into one Aho-Corasick automaton; a hit names the
-stretch of the document where the whole item would have to lie, stretches of
-an item that overlap are joined, and Myers' bit-parallel search decides there.
+stretch of the document where the whole item would have to lie.  Stretches of
+an item that overlap are joined; those that lack more of its q-grams than k
+errors can spoil are passed over, and Myers' bit-parallel search decides in the
+others.
 Documents are read once for each block of items; items travel in blocks of
 `BLOCK_CHARS`, documents do not move.
 """
@@ -18,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Errors allowed for each character of an item; items shorter than MIN_CHARS after folding identify no passage.
-ERROR_RATE, MIN_CHARS = 0.07, 32
-BLOCK_CHARS = 1 << 21
+ERROR_RATE, MIN_CHARS = 0.09, 32
+BLOCK_CHARS, GRAM = 1 << 21, 5
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -73,6 +75,9 @@ class Items:
             cuts = [round(p * len(text) / (k + 1)) for p in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 places.setdefault(text[a:b], []).append((n, a))
+        #: Distinct q-grams of each item and how many of them any occurrence keeps: an error spoils GRAM at most.
+        grams = [{t[i : i + GRAM] for i in range(len(t) - GRAM + 1)} for _, t, _ in self.items]
+        self.grams = [(g, len(g) - GRAM * k) for g, (_, _, k) in zip(grams, self.items)]
         self.pieces = ahocorasick.Automaton()
         for piece, where in places.items():
             self.pieces.add_word(piece, (len(piece), where))
@@ -107,6 +112,9 @@ class Items:
                 part = text[lo:hi]
                 if len(part) < len(item) - k:
                     continue
+                grams, least = self.grams[n]
+                if least > 0 and len(grams.intersection({part[i : i + GRAM] for i in range(len(part) - GRAM + 1)})) < least:
+                    continue
                 if n not in self.forward:
                     self.forward[n], self.backward[n] = masks(item), masks(item[::-1])
                 distance, end = myers_ends(self.forward[n], len(item), part, k)
