@@ -47,7 +47,10 @@ def per_row(df: DataFrame, make: Callable[..., bytes], *columns: str, key: str)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contents, pa.binary())], names=["file_id", "content"])
 
-    return df.select(F.col(key).cast("long"), *columns).mapInArrow(run, "file_id long, content binary")
+    rows, tasks = df.select(F.col(key).cast("long"), *columns), df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < tasks:  # a small table in one split: decoding is worth a shuffle
+        rows = rows.repartition(tasks)
+    return rows.mapInArrow(run, "file_id long, content binary")
 
 
 def whole_table(df: DataFrame, order: str, make: Callable[[list], bytes], file_id: int = 0) -> DataFrame:

@@ -12,6 +12,9 @@ from functools import lru_cache
 _SPACE, _DELIM = b"\x00\t\n\x0c\r ", b"()<>[]{}/%"
 
 
+_PLAIN, _OCTAL = re.compile(rb"[^()\\]+"), re.compile(rb"[0-7]{1,3}")
+
+
 class Name(str):
     """A name object."""
 
@@ -112,12 +115,17 @@ class Lexer:
         self.at += 1
         escapes = {0x6E: 10, 0x72: 13, 0x74: 9, 0x62: 8, 0x66: 12}
         while self.at < len(data):
+            plain = _PLAIN.match(data, self.at)
+            if plain:
+                out += plain.group()
+                self.at = plain.end()
+                continue
             c = data[self.at]
             self.at += 1
             if c == 0x5C and self.at < len(data):
                 c = data[self.at]
                 self.at += 1
-                m = re.compile(rb"[0-7]{1,3}").match(data, self.at - 1)
+                m = _OCTAL.match(data, self.at - 1)
                 if m:
                     out.append(int(m.group(), 8) & 255)
                     self.at = m.end()
@@ -647,6 +655,8 @@ class Font:
                 elif isinstance(item, int):
                     at = item
 
+        self.shown, self.wide = [self.text.get(c, "") for c in range(256)], [self.widths.get(c, self.default) for c in range(256)]
+
     def codes(self, raw: bytes):
         """(text, width in thousandths, is a one-byte space) of each code of a string."""
         if self.composite:
@@ -690,9 +700,14 @@ class Page:
             if font is None:
                 return
             start = _times((1, 0, 0, 1, 0, state["Ts"]), _times(tm, state["ctm"]))
-            for part, width, space in font.codes(raw):
-                text.append(part)
-                across += (width / 1000 * size + state["Tc"] + (state["Tw"] if space else 0)) * state["Tz"]
+            if font.composite or font.cmap:
+                for part, width, space in font.codes(raw):
+                    text.append(part)
+                    across += width / 1000 * size + state["Tc"] + (state["Tw"] if space else 0)
+            else:
+                text.append("".join(map(font.shown.__getitem__, raw)))
+                across = sum(map(font.wide.__getitem__, raw)) / 1000 * size + state["Tc"] * len(raw) + state["Tw"] * raw.count(32)
+            across *= state["Tz"]
             tm = _times((1, 0, 0, 1, across, 0), tm)
             end = _times((1, 0, 0, 1, 0, state["Ts"]), _times(tm, state["ctm"]))
             shown = "".join(text)
