@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: A node is template if this share of at least MIN_VOTES voting pages agrees.
 AGREE, MIN_VOTES = 0.6, 3
+#: Main or content blocks with less than this share of the body's text are not the article.
+SHARE = 0.5
 #: Nesting beyond this depth is read as siblings (no text is lost).
 MAX_DEPTH = 120
 #: References below this many bytes in all are broadcast; else they are joined by host.
@@ -254,35 +256,35 @@ def votes(root: Node, reference: Reference) -> list[tuple[int, bool]]:
     return [(b.index, a.own == b.own) for a, b in matched]
 
 
-def _article(root: Node) -> list[Node]:
-    """The outermost article elements that are not reader comments; else main; else a content block; else the body."""
+def _articles(root: Node) -> list[list[Node]]:
+    """Places of the main text, best first: the outermost article elements that are not reader comments; main; content blocks; the body."""
     articles, mains, blocks, bodies = [], [], [], []
 
-    def visit(node: Node, inside: bool) -> None:
+    def visit(node: Node, article: bool, main: bool, block: bool, body: bool) -> None:
         for part in node.parts:
             if isinstance(part, str):
                 continue
             comment = part.drop and part.tag in ("article", "section", "aside", "div", "ul", "ol", "li") and re.search(r"comment|repl|respond|related|recommended|teaser", part.cls, re.I)
             if comment or part.tag in ("script", "style", "head"):
                 continue
-            if part.tag == "article" and not part.drop and not inside:
-                articles.append(part)
-                visit(part, True)
-                continue
-            if part.tag == "main":
-                mains.append(part)
-            elif part.tag in ("div", "section", "td") and part.cls and not part.drop and _CONTENT_CLASS.search(part.cls):
-                blocks.append(part)
-            elif part.tag == "body":
-                bodies.append(part)
-            visit(part, inside)
+            own_article = part.tag == "article" and not part.drop
+            own_block = part.tag in ("div", "section", "td") and bool(part.cls) and not part.drop and bool(_CONTENT_CLASS.search(part.cls))
+            for own, inside, found in ((own_article, article, articles), (part.tag == "main", main, mains), (own_block, block, blocks), (part.tag == "body", body, bodies)):
+                if own and not inside:
+                    found.append(part)
+            visit(part, article or own_article, main or part.tag == "main", block or own_block, body or part.tag == "body")
 
-    visit(root, False)
-    return articles or mains[:1] or blocks[:1] or bodies[:1] or [root]
+    visit(root, False, False, False, False)
+    if articles:
+        return [articles]
+    return [found for found in (mains, blocks) if found] + [bodies or [root]]
 
 
 def extract(root: Node, template: set[int]) -> str:
-    """Main text of a parsed and outlined page; `template`: id() of nodes whose own text is template."""
+    """Main text of a parsed and outlined page; `template`: id() of nodes whose own text is template.
+
+    Main and content blocks count all together, and only where they hold SHARE of the body's text.
+    """
     blocks: list[str] = []
 
     def walk(node: Node, held: list[str]) -> None:
@@ -309,12 +311,16 @@ def extract(root: Node, template: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    for top in _article(root):
-        inside_article = top.tag in ("article", "main")
-        held: list[str] = []
-        walk(top, held)
-        flush(held)
-    return "\n\n".join(blocks)
+    texts = []
+    for tops in _articles(root):
+        blocks.clear()
+        for top in tops:
+            inside_article = top.tag in ("article", "main")
+            held: list[str] = []
+            walk(top, held)
+            flush(held)
+        texts.append("\n\n".join(blocks))
+    return next(t for t in texts if len(t) >= SHARE * len(texts[-1]))
 
 
 def host_of(url):

@@ -45,6 +45,15 @@ def test_broken_markup():
     assert wrapper.extract(deep, set()) == "deep"
 
 
+def test_all_content_blocks_are_the_article():
+    read = lambda body: wrapper.extract(wrapper.parse(f"<html><body>{body}</body></html>"), set())
+    assert read("<div class=entry-title>T</div><div class=entry-content><p>one<p>two</div>") == "T\n\none\n\ntwo"
+    assert read("<div class=content><p>one</div><div class=ad>buy</div><div class=content><div class=content>two</div></div>") == "one\n\ntwo"
+    assert read("<main><p>one</main><main><p>two</main><p>by") == "one\n\ntwo"
+    assert read("<div class=main-image>x</div><div class=c7><p>the text of the page</div>") == "x\n\nthe text of the page"
+    assert read("<main><p>-</main><div class=content><p>the text of the page</div><p>by") == "the text of the page"
+
+
 def test_matching_is_a_maximum():
     a, b = wrapper.parse("<body><p>x</p><div>k</div><p>y</p></body>"), wrapper.parse("<body><p>x</p><p>z</p><p>y</p></body>")
     wrapper.outline(a), wrapper.outline(b)
