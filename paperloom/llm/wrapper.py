@@ -7,9 +7,13 @@ text.  Nodes constant over most pages are template.  A page's text is what
 lies in varying slots of its article, without the parts that their element or
 its class names as menus, notices, adverts, forms or reader comments.
 
-A page that repeats most of the reference's text (a copy) is no evidence for a
-template and does not vote.  Votes are summed by host and node after partial
-aggregation, so a host may have any share of the pages.
+What the reference lacks is found by place: a text at the same label path on
+most of the host's pages is template too, whatever page has it.
+
+A page that repeats most of the reference's text (a copy), or of the texts that
+most pages share, is no evidence for a template and does not vote.  Votes are
+summed by host and node after partial aggregation, so a host may have any share
+of the pages.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 class Node:
     """An element: tag, class and id, ordered parts (text or nodes)."""
 
-    __slots__ = ("tag", "cls", "drop", "parts", "depth", "label", "own", "kids", "index", "chars")
+    __slots__ = ("tag", "cls", "drop", "parts", "depth", "label", "own", "kids", "index", "chars", "path")
 
     def __init__(self, tag: str, attrs: str = "", depth: int = 0):
         self.tag, self.parts, self.depth, self.cls, self.drop = tag, [], depth, "", tag in _DROP
@@ -133,14 +137,15 @@ def _clean(parts: list[str]) -> str:
 
 
 def outline(root: Node) -> list[Node]:
-    """Block nodes in page order, each with label, own (hash of its text, 0 if none), chars (0 in dropped parts), kids and index."""
+    """Block nodes in page order, each with label, path (hash of the labels down to it), own (hash of its text, 0 if none), chars (0 in dropped parts), kids and index."""
     found: list[Node] = []
 
-    def visit(node: Node, dropped: bool) -> None:
+    def visit(node: Node, dropped: bool, path: int) -> None:
         dropped = dropped or node.drop
         node.index = len(found)
         found.append(node)
         node.label = f"{node.tag}.{node.cls}" if node.cls else node.tag
+        node.path = zlib.crc32(f"/{node.label}".encode("utf-8", "surrogatepass"), path)
         texts: list[str] = []
         _inline(node, texts)
         text = "" if node.tag in ("script", "style") else _clean(texts)
@@ -157,12 +162,21 @@ def outline(root: Node) -> list[Node]:
             else:
                 inner[:0] = part.parts
         for kid in node.kids:
-            visit(kid, dropped)
+            visit(kid, dropped, node.path)
 
-    visit(root, False)
+    visit(root, False, 0)
     return found
 
 
+def places(nodes: list[Node]) -> dict[int, list[Node]]:
+    """The text nodes outside dropped parts by place: label path, text and how often the page has it there."""
+    same: dict[tuple[int, int], list[Node]] = {}
+    for node in nodes:
+        if node.own and node.chars:
+            same.setdefault((node.path, node.own), []).append(node)
+    return {(zlib.crc32(b"%d" % len(found), path) << 32 | own) - (1 << 63): found for (path, own), found in same.items()}
+
+
 def skeleton(root: Node) -> str:
     """The outline of a reference as JSON: [label, own, kids]."""
     outline(root)
@@ -348,8 +362,57 @@ def _with_hosts(pages: DataFrame, hosts: DataFrame, size: int) -> DataFrame:
     return pages.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left")
 
 
+def _common(pages: DataFrame) -> DataFrame:
+    """(host, common): the places of each host that most of its pages have, by the votes of pages that are mostly their own."""
+    from .shared import materialise
+
+    def read(batches):
+        for batch in batches:
+            hosts, keys, chars, rest = batch.column(0), [], [], []
+            for text in batch.column(1).to_pylist():
+                nodes = outline(parse(text))
+                held = places(nodes)
+                keys.append(list(held))
+                chars.append([sum(n.chars for n in found if n.tag in _PROSE) for found in held.values()])
+                rest.append(sum(n.chars for n in nodes if n.own and n.tag in _PROSE))
+            yield pa.RecordBatch.from_arrays([hosts, pa.array(keys, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int32())), pa.array(rest, pa.int64())], names=["host", "keys", "chars", "prose"])
+
+    told = materialise(pages.where("host is not null and html is not null").select("host", "html").mapInArrow(read, "host string, keys array<long>, chars array<int>, prose long"))
+
+    def shared(counted: DataFrame, totals: DataFrame) -> DataFrame:
+        # At most 1 / AGREE times the places of one page are left of a host.
+        few = counted.where(F.col("n") >= MIN_VOTES).join(totals, "host").where(F.col("n") >= AGREE * F.col("total"))
+        return materialise(few.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("common")))
+
+    totals = told.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= MIN_VOTES)
+    candidates = shared(told.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")), totals)
+
+    def vote(batches):
+        voters: Counter = Counter()
+        tally: Counter = Counter()
+        for batch in batches:
+            for host, keys, chars, prose, common in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                known = set(common)
+                if 2 * sum(n for k, n in zip(keys, chars) if k in known) <= prose:
+                    voters[host] += 1
+                    tally.update((host, k) for k in keys if k in known)
+            if len(tally) > 200_000:
+                yield emit(voters, tally)
+                voters.clear(), tally.clear()
+        yield emit(voters, tally)
+
+    def emit(voters, tally):
+        rows = [(h, None, n) for h, n in voters.items()] + [(h, k, n) for (h, k), n in tally.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "key", "n"])
+
+    size = 8 * (candidates.agg(F.sum(F.size("common").cast("long"))).first()[0] or 0)
+    asked = _with_hosts(told, candidates, size).where("common is not null").select("host", "keys", "chars", "prose", "common")
+    counted = materialise(asked.mapInArrow(vote, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n")))
+    return shared(counted.where("key is not null"), counted.where("key is null").select("host", F.col("n").alias("total")))
+
+
 def induce(pages: DataFrame) -> tuple[DataFrame, int]:
-    """(host, skeleton, constant): the template of each host, and the bytes of them all."""
+    """(host, skeleton, constant, common): the template of each host, and the bytes of them all."""
     from .shared import materialise
 
     references = materialise(_references(pages))
@@ -378,7 +441,8 @@ def induce(pages: DataFrame) -> tuple[DataFrame, int]:
     seen = _with_hosts(pages.where("html is not null"), references, size).where("skeleton is not null").select("host", "html", "skeleton")
     counted = seen.mapInArrow(run, "host string, node int, met long, equal long").groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("equal").alias("equal"))
     constant = counted.where((F.col("met") >= MIN_VOTES) & (F.col("equal") >= AGREE * F.col("met"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
-    return materialise(references.join(constant, "host", "left")), size
+    templates = materialise(references.join(constant, "host", "left").join(_common(pages), "host", "left"))
+    return templates, size + 8 * (templates.agg(F.sum(F.greatest(F.size("common"), F.lit(0)).cast("long"))).first()[0] or 0)
 
 
 def extract_main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -396,19 +460,22 @@ def extract_main_text(pages: DataFrame, id_col="page_id", url_col="url", html_co
         cache: dict[str, Reference] = {}
         for batch in batches:
             ids, urls, texts = batch.column(0), batch.column(1), []
-            for host, text, packed, constant in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            for host, text, packed, constant, common in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
                 root = parse(text or "")
                 template: set[int] = set()
+                nodes = outline(root) if constant or common else []
                 if constant:
                     if host not in cache:
                         if len(cache) >= 256:
                             cache.clear()
                         cache[host] = Reference(packed)
-                    outline(root)
                     known = set(constant)
                     template = {id(a) for a, b in align(root, cache[host].root) if b.index in known and a.own == b.own}
+                if common:
+                    held = places(nodes)
+                    template |= {id(n) for k in held.keys() & set(common) for n in held[k]}
                 texts.append(extract(root, template))
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = _with_hosts(pages, templates, size).select("page_id", "url", "host", "html", "skeleton", "constant")
+    rows = _with_hosts(pages, templates, size).select("page_id", "url", "host", "html", "skeleton", "constant", "common")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -37,6 +37,24 @@ def test_copies_on_one_host_keep_their_text(spark):
     assert len(got) == 10 and all(text[0] in r.text and text[2] in r.text for r in got)
 
 
+def test_template_is_what_most_pages_have_not_one(spark):
+    rng = np.random.default_rng(2)
+    bodies = [[prose(rng, 20) for _ in range(4)] for _ in range(20)]
+    # The shortest page is the reference and lacks the notice; cells may repeat.
+    table = "<table><tr>" + "<td>1</td>" * 3 + "<tr><td>2</td></table>"
+    rows = [(i, f"http://hot.example/{i}", page(f"T{i}", [*ps, *([] if i % 10 else [prose(rng, 5)])], notice="<p>Prices may change</p>" if i > 1 else "", extra="" if i else "<!-- x -->")) for i, ps in enumerate(bodies)]
+    rows[0] = (0, "http://hot.example/0", page("T0", [prose(rng, 3)], notice=""))
+    rows += [(100 + i, f"http://few.example/{i}", page(f"F{i}", bodies[i], notice=f"<p>Prices may change</p>{table[: -10 * i] if i else table}")) for i in range(3)]
+    # Near copies that are not copies of the reference keep their text.
+    rows += [(200 + i, f"http://near.example/{i}", page(f"N{i}", [*bodies[5], prose(rng, 4)], notice="")) for i in range(8)]
+    rows += [(300 + i, f"http://near.example/x{i}", page(f"X{i}", [prose(rng, 6)], notice="")) for i in range(3)]
+    got = {r.page_id: r.text for r in wrapper.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not [i for i, t in got.items() if "Prices" in t]
+    assert all(p in got[i] for i in range(1, 20) for p in bodies[i])
+    assert all(p in got[100 + i] for i in range(3) for p in bodies[i])
+    assert all(p in got[200 + i] for i in range(8) for p in bodies[5])
+
+
 def test_broken_markup():
     text = "<article><p>one<b>two<p>three &lt;x&gt; &#233;<script>var a='</p>'</script><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><form><input><p>no</p></form><!-- c --> tail<br>end"
     root = wrapper.parse(text)
