@@ -14,9 +14,9 @@ have a fixed size while the vocabulary grows with the corpus.
 Documents are coded once, chunk by chunk, against the chunk's own dictionary;
 counts of the whole corpus come back by `shards.count_and_reply`.  Each
 Baum-Welch round is one pass over the coded chunks whose expected counts are
-summed by class in the cluster.  Rounds start from a model fitted to a bounded
-sample (about `SAMPLE_DOCS` documents by the hash of their ids, `SAMPLE_TOKENS`
-tokens of each at most); the rounds themselves cover every training document.
+summed by class in the cluster.  Rounds start from a random model and cover
+every training document from its start to its end, until two rounds in turn
+raise the log-likelihood by less than `SETTLED` a token.
 
 Words are identified by 64-bit fingerprints.
 """
@@ -34,8 +34,10 @@ from .shards import bounds, in_key_order, shard_count
 from .shared import written
 
 STATES, WORDS, SHAPES = 8, 4096, 2048
-ROUNDS, SAMPLE_ROUNDS, SAMPLE_DOCS, SAMPLE_TOKENS = 3, 25, 1024, 400
-CHUNK_BYTES, WINDOW, GROUP_TOKENS = 8 << 20, 512, 1 << 18
+#: Natural logarithm units a token.
+SETTLED = 1e-3
+#: Sequences are passed in groups; those beyond LONG tokens wait for each other, as each step in time costs the same for few.
+CHUNK_BYTES, LONG, GROUP_TOKENS = 8 << 20, 2048, 1 << 20
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PRIOR, STAT_GROUPS = 20.0, 32
 
@@ -269,6 +271,11 @@ def log10_likelihood(symbols: np.ndarray, sizes: np.ndarray, model: Model) -> np
 
 def expected_counts(symbols: np.ndarray, sizes: np.ndarray, begins: np.ndarray, model: Model, n_classes: int):
     """Baum-Welch counts (start, move, emit) of sequences; those not in `begins` go on from elsewhere."""
+    return _expectations(symbols, sizes, begins, model, n_classes)[:3]
+
+
+def _expectations(symbols: np.ndarray, sizes: np.ndarray, begins: np.ndarray, model: Model, n_classes: int):
+    """The expected counts and the log-likelihood under `model`."""
     order, rows, offset, place = _by_time(sizes)
     in_time = np.empty(len(symbols), np.int64)
     in_time[place] = symbols
@@ -299,88 +306,78 @@ def expected_counts(symbols: np.ndarray, sizes: np.ndarray, begins: np.ndarray,
             beta[:n] = e @ move.T
     start = gamma[: len(sizes)][begins].sum(axis=0, dtype=np.float64) if len(sizes) else np.zeros(k)
     counts = np.stack([np.bincount(in_time, weights=gamma[:, j], minlength=n_classes) for j in range(k)], axis=1)
-    return start, moved * model.move, counts
-
-
-def _windows(symbols: np.ndarray, sizes: np.ndarray, use: np.ndarray):
-    """Training sequences cut to WINDOW tokens, in groups of about GROUP_TOKENS: (symbols, sizes, begins)."""
-    ends = np.cumsum(sizes)
-    held, lengths, begins, n = [], [], [], 0
-    for i in np.flatnonzero(use).tolist():
-        doc = symbols[ends[i] - sizes[i] : ends[i]]
-        for at in range(0, len(doc), WINDOW):
-            held.append(doc[at : at + WINDOW])
-            lengths.append(len(held[-1]))
-            begins.append(at == 0)
-            n += lengths[-1]
-            if n >= GROUP_TOKENS:
-                yield np.concatenate(held), np.array(lengths), np.array(begins)
-                held, lengths, begins, n = [], [], [], 0
-    if held:
-        yield np.concatenate(held), np.array(lengths), np.array(begins)
-
-
-def _first_model(coded: DataFrame, classes: Classes, states: int, seed: int) -> Model:
-    """A model fitted on the driver to the bounded sample."""
-
-    n_docs = coded.agg(F.sum(F.size(F.filter("held", lambda h: ~h)).cast("long"))).first()[0] or 0
-    below = np.uint64(int(min(1.0, SAMPLE_DOCS / max(n_docs, 1)) * ((1 << 63) - 1)))
-
-    def pick(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes, symbols = np.frombuffer(row["sizes"], np.int64), _unpress_classes(row["classes"])
-                ends = np.cumsum(sizes)
-                rank = K._mix(np.array([i or 0 for i in row["ids"]], dtype=np.int64).view(np.uint64) + np.uint64(seed)) >> np.uint64(1)
-                chosen = np.flatnonzero((rank <= below) & ~np.array(row["held"], dtype=bool)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(rank[chosen].astype(np.int64)), pa.array([symbols[ends[i] - sizes[i] : ends[i]][:SAMPLE_TOKENS].tobytes() for i in chosen], pa.binary())], names=["rank", "symbols"])
-
-    drawn = coded.select("ids", "held", "sizes", "classes").mapInArrow(pick, "rank long, symbols binary")
-    # Rows with one id have one rank: the limit holds the bound where many do.
-    sample = sorted(drawn.limit(4 * SAMPLE_DOCS).collect(), key=lambda r: (r["rank"], bytes(r["symbols"])))
-    docs = [np.frombuffer(r["symbols"], "<u2").astype(np.int64) for r in sample]
+    return start, moved * model.move, counts, np.log(scale).sum(dtype=np.float64)
+
+
+def _sequences(rows):
+    """Whole training sequences of coded chunks, in groups of about GROUP_TOKENS: (symbols, sizes)."""
+    pools: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
+    for row in rows:
+        sizes, symbols = np.frombuffer(row["sizes"], np.int64), _unpress_classes(row["classes"])
+        ends = np.cumsum(sizes)
+        for i in np.flatnonzero(~np.array(row["held"], dtype=bool)).tolist():
+            docs, lengths = pool = pools[bool(sizes[i] > LONG)]
+            docs.append(symbols[ends[i] - sizes[i] : ends[i]].copy())
+            lengths.append(int(sizes[i]))
+            if len(docs) % 64 == 0 or sizes[i] > LONG:
+                if sum(lengths) >= GROUP_TOKENS:
+                    yield np.concatenate(docs), np.array(lengths)
+                    pool[0].clear(), pool[1].clear()
+    for docs, lengths in pools.values():
+        if docs:
+            yield np.concatenate(docs), np.array(lengths)
+
+
+def _first_model(classes: Classes, states: int, seed: int) -> Model:
+    """A random model around the classes' frequencies."""
     rng = np.random.default_rng(seed)
     emit = classes.background[:, None] * rng.gamma(2.0, 0.5, size=(classes.n, states))
     move = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(move, 0.9)
-    model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
-    if not docs:
-        return model
-    symbols, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
-    for _ in range(SAMPLE_ROUNDS):
-        model = Model.from_counts(*expected_counts(symbols, sizes, np.ones(len(sizes), bool), model, classes.n), classes.background)
-    return model
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def _round(coded: DataFrame, classes: Classes, model: Model) -> Model:
-    """One Baum-Welch round over all training documents."""
+def _round(coded: DataFrame, classes: Classes, model: Model) -> tuple[Model, float]:
+    """One Baum-Welch round over all training documents: the next model, and the log-likelihood under `model`."""
     k, n = len(model.start), classes.n
     told = coded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        sums = [np.zeros(k), np.zeros((k, k)), np.zeros((n, k))]
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes, symbols = np.frombuffer(row["sizes"], np.int64), _unpress_classes(row["classes"])
-                for part in _windows(symbols, sizes, ~np.array(row["held"], dtype=bool)):
-                    for total, more in zip(sums, expected_counts(*part, told.value, n)):
-                        total += more
-        table = np.concatenate([sums[2], sums[1], sums[0][None, :]])
+        sums = [np.zeros(k), np.zeros((k, k)), np.zeros((n, k)), np.zeros(k)]
+        for symbols, sizes in _sequences(row for batch in batches for row in batch.to_pylist()):
+            *counts, likelihood = _expectations(symbols, sizes, np.ones(len(sizes), bool), told.value, n)
+            for total, more in zip(sums, counts):
+                total += more
+            sums[3][0] += likelihood
+        table = np.concatenate([sums[2], sums[1], sums[0][None, :], sums[3][None, :]])
         some = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(table[some, j]) for j in range(k)]], names=["row", *[f"s{j}" for j in range(k)]])
 
     fields = [f"s{j}" for j in range(k)]
     counts = coded.select("held", "sizes", "classes").mapInArrow(run, "row long, " + ", ".join(f"{f} double" for f in fields))
-    table = np.zeros((n + k + 1, k))
+    table = np.zeros((n + k + 2, k))
     for r in counts.groupBy("row").agg(*[F.sum(f).alias(f) for f in fields]).collect():
         table[r["row"]] = [r[f] for f in fields]
-    return Model.from_counts(table[-1], table[n:-1], table[:n], classes.background)
+    told.unpersist()
+    return Model.from_counts(table[-2], table[n:-2], table[:n], classes.background), table[-1][0]
+
+
+def _fit(coded: DataFrame, classes: Classes, states: int, rounds: int | None, seed: int) -> tuple[Model, list[float]]:
+    """The model after `rounds` rounds (None: until the likelihood settles), and the log-likelihoods a token before each."""
+    model, found = _first_model(classes, states, seed), []
+    while len(found) != rounds and classes.train_tokens:
+        model, likelihood = _round(coded, classes, model)
+        found.append(likelihood / classes.train_tokens)
+        if rounds is None and len(found) > 2 and found[-1] - found[-2] < SETTLED and found[-2] - found[-3] < SETTLED:
+            break
+    return model, found
 
 
-def score_texts(docs: DataFrame, held_out, states: int = STATES, n_words: int = WORDS, rounds: int = ROUNDS, seed: int = 7, id_col="doc_id", text_col="text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out, states: int = STATES, n_words: int = WORDS, rounds: int | None = None, seed: int = 7, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    Learns from the rows where `held_out` is false (null: false).  A null text
+    Learns from the rows where `held_out` is false (null: false), in `rounds`
+    rounds or until the likelihood settles.  A null text
     is empty: one token, the end.  Null and repeated ids are rows like others.
     Without training rows every count is 0 and the scores are those of the
     priors.  An empty table gives no rows; other columns are ignored.
@@ -390,9 +387,7 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, n_words: int =
     replies = written(_totals(chunks, shard_count(docs), n_words), "replies")
     classes = Classes(replies, n_words)
     coded = written(_classify(chunks, replies, classes), "coded")
-    model = _first_model(coded, classes, states, seed)
-    for _ in range(rounds):
-        model = _round(coded, classes, model)
+    model, _ = _fit(coded, classes, states, rounds, seed)
     told = docs.sparkSession.sparkContext.broadcast((model, classes.train_tokens))
 
     def run(batches):

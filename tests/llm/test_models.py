@@ -72,6 +72,24 @@ def test_rounds_do_not_lower_the_likelihood():
         last, model = now, hmm.Model.from_counts(*hmm.expected_counts(symbols, sizes, np.ones(20, bool), model, 6), background)
 
 
+def test_rounds_read_whole_sequences():
+    """The end of a long text trains the model like its beginning, and as one sequence."""
+    rng = np.random.default_rng(4)
+    docs = [np.r_[rng.integers(0, 3, 3000), rng.integers(3, 6, 2000)], rng.integers(0, 6, 40), rng.integers(0, 6, 7)]
+    sizes = np.array([len(d) for d in docs])
+    row = {"sizes": sizes.tobytes(), "classes": hmm._press_classes(np.concatenate(docs)), "held": [False, True, False]}
+    got = sorted((part.tolist() for symbols, n in hmm._sequences([row]) for part in np.split(symbols, np.cumsum(n)[:-1])), key=len)
+    assert got == [docs[2].tolist(), docs[0].tolist()]
+
+
+def test_rounds_go_on_until_the_likelihood_settles(spark, monkeypatch):
+    seen, fit = [], hmm._fit
+    monkeypatch.setattr(hmm, "_fit", lambda *a: seen.append(fit(*a)) or seen[-1])
+    hmm.score_texts(spark.createDataFrame(corpus(60), SCHEMA), F.lit(False))
+    gains = np.diff(seen[0][1])
+    assert len(gains) >= 2 and (gains[-2:] < hmm.SETTLED).all() and seen[0][1][-1] > seen[0][1][0]
+
+
 def test_model_on_empty_and_unlabelled_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert hmm.score_texts(empty, F.lit(False)).count() == 0
