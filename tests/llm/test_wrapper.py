@@ -79,5 +79,92 @@ def test_matching_is_a_maximum():
     assert sum(1 for x, y in pairs if x.own and x.own == y.own) == 2
 
 
+def nameless(i, rng, paragraphs):
+    """A page whose elements tell nothing: links, a varying notice, the text, a varying advert and readers' words."""
+    links = "".join(f"<div><a href=/{w}>{w}</a></div>" for w in prose(rng, int(rng.integers(2, 6))).split())
+    body = "".join(f"<div>{p}</div>" for p in paragraphs)
+    return f"<html><title>Head {i} - Site</title><body><div class=a1>{links}</div><div class=a2>{prose(rng, 4)}</div><div class=a3>Head {i}</div><div class=x{i} id=n{i}><div>Prices may change</div>{body}</div><div class=a4><div>{prose(rng, 3)}</div><div>{prose(rng, 5)}</div></div></body></html>"
+
+
+def test_the_template_alone_finds_the_text(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for i in range(15):
+        ps = [prose(rng, 25) for _ in range(int(rng.integers(2, 6)))]
+        rows.append((i, f"http://plain.example/{i}", nameless(i, rng, ps)))
+        want[i] = "\n\n".join([f"Head {i}", *ps])
+    df = spark.createDataFrame(rows, SCHEMA)
+    for names in (False, True):
+        got = {r.page_id: r.text for r in wrapper.extract_main_text(df, names=names).collect()}
+        assert got == want
+    # The same pages with telling names elsewhere: the slot wins over an article element beside it.
+    df = spark.createDataFrame([(i, u, h.replace("<div class=a2>", "<article class=a2>").replace("</div><div class=a3>", "</article><div class=a3>")) for i, u, h in rows], SCHEMA)
+    assert {r.page_id: r.text for r in wrapper.extract_main_text(df).collect()} == want
+
+
+def test_articles_are_found_without_names(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"http://one.example/{i}", page(f"Title {i}", [prose(rng, 20) for _ in range(4)])) for i in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    read = lambda names: {r.page_id: r.text for r in wrapper.extract_main_text(df, names=names).collect()}
+    assert read(False) == read(True)
+
+
+def tree_matching(a, b):
+    """Simple tree matching by trying every way to pair the first kids."""
+    if a.label != b.label:
+        return 0
+
+    def lists(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(lists(xs[1:], ys), lists(xs, ys[1:]), lists(xs[1:], ys[1:]) + tree_matching(xs[0], ys[0]))
+
+    return 1 + (a.own == b.own != 0) + lists(a.kids, b.kids)
+
+
+def random_page(rng, depth=0):
+    kids = "".join(random_page(rng, depth + 1) for _ in range(int(rng.integers(0, 4)))) if depth < 3 else ""
+    tag = ("div", "section", "ul")[int(rng.integers(0, 3))]
+    return f"<{tag}>{('', 'x', 'y')[int(rng.integers(0, 3))]}{kids}</{tag}>"
+
+
+def test_alignment_weighs_what_brute_force_finds(monkeypatch):
+    rng = np.random.default_rng(7)
+    for small, large in ((1 << 10, 1 << 22), (0, 1 << 22), (0, 2)):
+        monkeypatch.setattr(wrapper, "SMALL_TABLE", small), monkeypatch.setattr(wrapper, "LARGE_TABLE", large)
+        for _ in range(40):
+            a, b = wrapper.parse(random_page(rng)), wrapper.parse(random_page(rng))
+            wrapper.outline(a), wrapper.outline(b)
+            b = wrapper.Reference(wrapper.skeleton(b)).root
+            pairs = wrapper.align(a, b)
+            assert sum(1 + (x.own == y.own != 0) for x, y in pairs) == wrapper._weigh(a, b, {}) == tree_matching(a, b)
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for markup in ("<a b ", "<a \"'>", "<b>", "<!--", "< ", "<li>a", "<div>", "<script>", "</script ", "<b></x>", "<i>x</i>", "<p><i>"):
+        root = wrapper.parse(markup * (1_000_000 // len(markup)))
+        wrapper.outline(root)
+        wrapper.extract(root, set())
+    a, b = ("<div>" + "<p>x</p>" * n + "</div>" for n in (3000, 2500))
+    a, b = wrapper.parse(a), wrapper.parse(b)
+    wrapper.outline(a), wrapper.outline(b)
+    assert len(wrapper.align(a, b)) == 2502
+    assert time.perf_counter() - start < 60
+
+
+def test_deep_elements_close_where_they_end():
+    shown = wrapper.parse("<div>" * 125 + "<aside>advert<div>inner</div></aside>text" + "</div>" * 125 + "<p>after")
+    assert wrapper.extract(shown, set()) == "text\n\nafter"
+
+
+def test_unclosed_tag_is_no_text():
+    assert wrapper.extract(wrapper.parse("<p>text</p><a href='x"), set()) == "text"
+
+
 def test_empty_table(spark):
     assert wrapper.extract_main_text(spark.createDataFrame([], SCHEMA)).count() == 0
