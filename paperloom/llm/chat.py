@@ -9,11 +9,18 @@ states finds the cheapest repair.
 Costs add along a conversation and the states are four, so a stretch of turns
 is a 4 x 4 matrix of cheapest costs from state to state, and stretches combine
 by (min, +) products.  Turns are dealt to tasks by ranges of (conversation,
-turn): a conversation of any length is spread over tasks, only the matrices of
-the stretches at task borders (two a task at most) meet on the driver, and each
-task then retraces its own stretches between the states given to it.  The
-result is a row per turn and inserted turn; joined in order they are the
-rendered conversation.
+turn): a conversation of any length is spread over tasks.  Only the stretches
+at task borders (two a task at most) meet on the driver: first their matrices,
+from which come the cheapest costs at every border; then, for each state at a
+stretch's end, the state at its start that retracing leads to; so every task
+retraces its stretches between known states.
+
+Of repairs of equal cost one is chosen by a rule that looks at whole
+conversations only: retracing from the end takes the first step, in the fixed
+order of steps, that reaches the cheapest cost from the conversation's start.
+Costs are whole millionths, hence exact, and the result is the same however
+turns are dealt.  It is a row per turn and inserted turn; joined in order they
+are the rendered conversation.
 """
 
 from __future__ import annotations
@@ -30,7 +37,11 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 _ROLES = ("system", "user", "assistant")
 #: Other names of the roles.
 ALIASES = {"human": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
-_INF = float("inf")
+_INF = 1 << 60
+#: Costs are counted in this part of one.
+UNIT = 1_000_000
+#: Characters of a text that place it among turns equal in number and role.
+PREFIX = 64
 
 
 @dataclass(frozen=True)
@@ -60,14 +71,19 @@ def normal_role(role: str | None) -> str:
     return name if name in _ROLES else "unknown"
 
 
+def _units(cost: float) -> int:
+    return round(cost * UNIT)
+
+
 def _steps(role: str, costs: Costs):
-    """(from state, to state, cost, new role, merged, inserted roles before), cheapest and simplest first."""
+    """(from state, to state, cost in units, new role, merged, inserted roles before), cheapest and simplest first."""
     out = []
+    merge, insert = _units(costs.merge), _units(costs.insert)
     for state in range(4):
         for to, new in ((SYSTEM, "system"), (USER, "user"), (ASSISTANT, "assistant")):
-            base = 0.0 if new == role else costs.unknown if role == "unknown" else costs.relabel_system if role == "system" else costs.relabel
+            base = _units(0 if new == role else costs.unknown if role == "unknown" else costs.relabel_system if role == "system" else costs.relabel)
             if state == to:
-                out.append((state, to, base + costs.merge, new, True, ()))
+                out.append((state, to, base + merge, new, True, ()))
             if to == SYSTEM:
                 between = () if state == START else None
             elif to == USER:
@@ -75,7 +91,7 @@ def _steps(role: str, costs: Costs):
             else:
                 between = ("user",) if state in (START, SYSTEM, ASSISTANT) else ()
             if between is not None:
-                out.append((state, to, base + costs.insert * len(between), new, False, between))
+                out.append((state, to, base + insert * len(between), new, False, between))
     return sorted(out, key=lambda s: (s[2], len(s[5]), s[4], s[0], s[1]))
 
 
@@ -83,20 +99,24 @@ def step_table(costs: Costs) -> dict[str, list]:
     return {role: _steps(role, costs) for role in (*_ROLES, "unknown")}
 
 
-def ending(state: int, costs: Costs) -> tuple[float, tuple[str, ...]]:
+def ending(state: int, costs: Costs) -> tuple[int, tuple[str, ...]]:
     """Cost and turns to insert so that a conversation may end."""
     after = {START: (), SYSTEM: ("user", "assistant"), USER: ("assistant",), ASSISTANT: ()}[state]
-    return costs.insert * len(after), after
+    return _units(costs.insert) * len(after), after
+
 
+#: Cheapest costs at the start of a conversation.
+BEGIN = (0, _INF, _INF, _INF)
 
-def block_matrix(roles: list[str], table: dict) -> list[list[float]]:
+
+def block_matrix(roles: list[str], table: dict) -> list[list[int]]:
     """Cheapest cost from each state to each state over a stretch of turns."""
-    return [_forward(roles, s, table)[-1] for s in range(4)]
+    return [_forward(roles, [_INF if t != s else 0 for t in range(4)], table)[-1] for s in range(4)]
 
 
-def _forward(roles: list[str], start: int, table: dict) -> list[list[float]]:
-    now = [_INF] * 4
-    now[start] = 0.0
+def _forward(roles: list[str], before, table: dict) -> list[list[int]]:
+    """Cheapest costs at every state before the first turn, after it, and so on."""
+    now = list(before)
     rows = [now]
     for role in roles:
         new = [_INF] * 4
@@ -108,20 +128,20 @@ def _forward(roles: list[str], start: int, table: dict) -> list[list[float]]:
     return rows
 
 
-def trace(roles: list[str], start: int, end: int, table: dict) -> list[tuple]:
-    """The steps of a cheapest way over a stretch between two states; of equal ones the first in order."""
-    rows = _forward(roles, start, table)
+def trace(roles: list[str], before, end: int, table: dict, rows=None) -> list[tuple]:
+    """The steps that lead to state `end` at cheapest costs, given those before the stretch; of equal ones the first in order, from the end on."""
+    rows = rows or _forward(roles, before, table)
     steps, state = [], end
     for i in range(len(roles), 0, -1):
         for step in table[roles[i - 1]]:
-            if step[1] == state and rows[i - 1][step[0]] + step[2] == rows[i][state]:
+            if step[1] == state and rows[i - 1][step[0]] + step[2] == rows[i][state] < _INF:
                 steps.append(step)
                 state = step[0]
                 break
     return steps[::-1]
 
 
-def best_end(costs_at_end: list[float], costs: Costs) -> int:
+def best_end(costs_at_end: list[int], costs: Costs) -> int:
     return min(range(4), key=lambda s: (costs_at_end[s] + ending(s, costs)[0], s))
 
 
@@ -129,52 +149,77 @@ def repair(roles: list[str | None], costs: Costs = Costs()) -> tuple[float, list
     """(cost, steps) of one conversation in memory; the end's inserted turns are not among the steps."""
     table = step_table(costs)
     names = [normal_role(r) for r in roles]
-    last = _forward(names, START, table)[-1]
-    end = best_end(last, costs)
-    return last[end] + ending(end, costs)[0], trace(names, START, end, table)
+    rows = _forward(names, BEGIN, table)
+    end = best_end(rows[-1], costs)
+    return (rows[-1][end] + ending(end, costs)[0]) / UNIT, trace(names, BEGIN, end, table, rows)
 
 
 def _stretches(batches):
-    """Consecutive rows of one conversation, kept whole within a task: (conversation, rows of (turn, role, text))."""
+    """Consecutive rows of one conversation, kept whole within a task: (conversation, rows without it)."""
     held, key, any_ = [], None, False
     for batch in batches:
-        for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns[:4])):
+        for conv, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if any_ and conv != key:
                 yield key, held
                 held = []
             key, any_ = conv, True
-            held.append((turn, role, text))
+            held.append(row)
     if any_:
         yield key, held
 
 
-_BORDER = "pid int, place int, conv_id long, last boolean, matrix array<double>"
+def _ends(batches):
+    """(place, conversation, roles) of the first stretch (0) and the last one (1) of a task of (conversation, role) rows."""
+    first = last = None
+    count = 0
+    for conv, held in _stretches(batches):
+        last, count = (conv, [normal_role(r) for (r,) in held]), count + 1
+        first = first or last
+    if count:
+        yield 0, *first
+    if count > 1:
+        yield 1, *last
+
+
+_BORDER = "pid int, place int, conv_id long, numbers array<long>"
 _OUT = "conv_id long, turn long, piece int, role string, action string, cost double, text string, rendered string"
 
 
-def _joints(borders: list, costs: Costs) -> dict[tuple[int, int], tuple[int, int, bool]]:
-    """(task, first or last stretch) to its states at entry and exit and whether the conversation ends with it."""
-    out: dict[tuple[int, int], tuple[int, int, bool]] = {}
-    borders = sorted(borders, key=lambda r: (r["pid"], r["place"]))
-    at = 0
-    while at < len(borders):
-        to = at + 1
-        while to < len(borders) and borders[to]["conv_id"] == borders[at]["conv_id"]:
-            to += 1
-        chain = borders[at:to]
-        rows, now = [], [0.0, _INF, _INF, _INF]
+def _chains(borders: list) -> list[list]:
+    """Border stretches in order, by conversation."""
+    out: list[list] = []
+    for r in sorted(borders, key=lambda r: (r["pid"], r["place"])):
+        if out and out[-1][-1]["conv_id"] == r["conv_id"]:
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return out
+
+
+def _before(chains: list[list]) -> dict[tuple[int, int], tuple[int, ...]]:
+    """(task, place) to the cheapest costs before that stretch."""
+    out = {}
+    for chain in chains:
+        now = BEGIN
         for r in chain:
-            m = r["matrix"]
-            rows.append(now)
-            now = [min(now[a] + m[4 * a + b] for a in range(4)) for b in range(4)]
-        state = best_end(now, costs)
-        last = True
-        for r, before in reversed(list(zip(chain, rows))):
-            m = r["matrix"]
-            entry = min((a for a in range(4)), key=lambda a: (before[a] + m[4 * a + state], a))
-            out[r["pid"], r["place"]] = (entry, state, last)
+            m = r["numbers"]
+            out[r["pid"], r["place"]] = now
+            now = tuple(min(_INF, *(now[a] + m[4 * a + b] for a in range(4))) for b in range(4))
+    return out
+
+
+def _joints(chains: list[list], before: dict, traced: dict, costs: Costs) -> dict[tuple[int, int], tuple[tuple[int, ...], int, int, bool]]:
+    """(task, place) to the costs before the stretch, its states at entry and exit and whether the conversation ends with it."""
+    out = {}
+    for chain in chains:
+        state, last = None, True
+        for r in reversed(chain):
+            at = r["pid"], r["place"]
+            if state is None:
+                state = best_end([min(_INF, *(before[at][a] + r["numbers"][4 * a + b] for a in range(4))) for b in range(4)], costs)
+            entry = traced[at][state] if len(chain) > 1 else START
+            out[at] = (before[at], entry, state, last)
             state, last = entry, False
-        at = to
     return out
 
 
@@ -192,26 +237,38 @@ def format_chats(turns: DataFrame, costs: Costs = Costs(), template: Template =
     table gives no rows; other columns are ignored.
     """
     cols = [F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")]
-    rows = turns.select(*cols).withColumn("mark", F.xxhash64("role", "text"))
-    order = ["conv_id", "turn", "role", "mark"]
+    # Equal prefixes stay together, so places by prefix and by the whole text agree.
+    rows = turns.select(*cols).withColumn("mark", F.substring("text", 1, PREFIX))
     n = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Written, so that both passes see the same rows in the same tasks.
-    dealt = materialise(rows.repartitionByRange(n, *order).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "text"))
-    table = step_table(costs)
+    # Written, so that all passes see the same rows in the same tasks.
+    dealt = materialise(rows.repartitionByRange(n, "conv_id", "turn", "role", "mark").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "text"))
+    table, context = step_table(costs), turns.sparkSession.sparkContext
 
-    def border(batches):
-        from pyspark import TaskContext
+    def told(numbers):
+        """The border stretches of every task with what `numbers` says of them."""
 
-        pid, first, last, count = TaskContext.get().partitionId(), None, None, 0
-        for conv, held in _stretches(batches):
-            last, count = (conv, [normal_role(r) for _, r, _ in held]), count + 1
-            first = first or last
-        ends = [] if not count else [(0, first)] if count == 1 else [(0, first), (1, last)]
-        if ends:
-            matrices = [[c for row in block_matrix(roles, table) for c in row] for _, (_, roles) in ends]
-            yield pa.RecordBatch.from_arrays([pa.array([pid] * len(ends), pa.int32()), pa.array([p for p, _ in ends], pa.int32()), pa.array([c for _, (c, _) in ends], pa.int64()), pa.array([count == 1] * len(ends)), pa.array(matrices, pa.list_(pa.float64()))], names=["pid", "place", "conv_id", "last", "matrix"])
+        def run(batches):
+            from pyspark import TaskContext
 
-    joints = turns.sparkSession.sparkContext.broadcast(_joints(dealt.mapInArrow(border, _BORDER).collect(), costs))
+            pid = TaskContext.get().partitionId()
+            rows = [(pid, place, conv, numbers(pid, place, roles)) for place, conv, roles in _ends(batches)]
+            if rows:
+                columns = zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["pid", "place", "conv_id", "numbers"])
+
+        return dealt.select("conv_id", "role").mapInArrow(run, _BORDER).collect()
+
+    chains = _chains(told(lambda pid, place, roles: [c for row in block_matrix(roles, table) for c in row]))
+    before = context.broadcast(_before(chains))
+
+    def entries(pid, place, roles):
+        """The state at entry for every state at the exit."""
+        start = before.value[pid, place]
+        rows = _forward(roles, start, table)
+        return [next((s[0] for s in trace(roles, start, end, table, rows)[:1]), START) for end in range(4)]
+
+    traced = {(r["pid"], r["place"]): r["numbers"] for r in told(entries)} if any(len(c) > 1 for c in chains) else {}
+    joints = context.broadcast(_joints(chains, before.value, traced, costs))
 
     def write(batches):
         from pyspark import TaskContext
@@ -240,24 +297,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _render(stretch, joint, costs: Costs, template: Template, table: dict) -> list[tuple]:
-    """Output rows of a stretch; `joint`: its states at both ends, or none for a whole conversation."""
+    """Output rows of a stretch; `joint`: as of _joints, or none for a whole conversation."""
     conv, held = stretch
     roles = [normal_role(r) for _, r, _ in held]
-    if joint is None:
-        end = best_end(_forward(roles, START, table)[-1], costs)
-        joint = (START, end, True)
-    entry, end, last = joint
+    start, entry, end, last = joint or (BEGIN, START, None, True)
+    rows = _forward(roles, start, table)
+    if end is None:
+        end = best_end(rows[-1], costs)
     out = []
     opened = template.open.replace("{role}", "%s")
     state = entry
-    for (turn, _, text), role, (_, to, cost, new, merged, before) in zip(held, roles, trace(roles, entry, end, table)):
+    for (turn, _, text), role, (_, to, cost, new, merged, before) in zip(held, roles, trace(roles, start, end, table, rows)):
         close = template.close if state != START else ""
         piece = 1000 - len(before)
         for extra in before:
             out.append((conv, turn, piece, extra, "insert", costs.insert, "", close + opened % extra))
-            piece, close, cost = piece + 1, template.close, cost - costs.insert
+            piece, close, cost = piece + 1, template.close, cost - _units(costs.insert)
         action = ("keep" if new == role else "relabel") if not merged else ("merge" if new == role else "relabel+merge")
-        out.append((conv, turn, 1000, new, action, cost, text or "", (template.join if merged else close + opened % new) + (text or "")))
+        out.append((conv, turn, 1000, new, action, cost / UNIT, text or "", (template.join if merged else close + opened % new) + (text or "")))
         state = to
     if last:
         _, after = ending(end, costs)
