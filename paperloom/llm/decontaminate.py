@@ -5,7 +5,8 @@ All pieces of all items go into one Aho-Corasick automaton; a hit names the
 stretch of the document where the whole item would have to lie.  Stretches of
 an item that overlap are joined; those that lack more of its q-grams than k
 errors can spoil are passed over, and Myers' bit-parallel search decides in the
-others.
+others.  Items under `MIN_CHARS` characters are matched without errors, as whole
+words.
 Documents are read once for each block of items; items travel in blocks of
 `BLOCK_CHARS`, documents do not move.
 """
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Errors allowed for each character of an item; items shorter than MIN_CHARS after folding identify no passage.
+#: Errors allowed for each character of an item; items shorter than MIN_CHARS after folding allow none and must begin and end with words.
 ERROR_RATE, MIN_CHARS = 0.09, 32
+#: From here on scripts are written without spaces, and any place may begin a word.
+_UNSPACED = 0x2E80
 BLOCK_CHARS, GRAM = 1 << 21, 5
 
 _GAP = re.compile(r"[\W_]+")
@@ -57,6 +60,11 @@ def myers_ends(pattern_masks: dict[str, int], m: int, text: str, limit: int):
     return (None, -1) if end < 0 else (best, end)
 
 
+def _whole_words(text: str, start: int, end: int) -> bool:
+    """Whether words begin and end there in folded text."""
+    return (start == 0 or text[start - 1] == " " or ord(text[start]) >= _UNSPACED) and (end == len(text) or text[end] == " " or ord(text[end - 1]) >= _UNSPACED)
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -69,7 +77,8 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
         folded = [(i, fold(t or "")) for i, t in items]
-        self.items = [(i, t, int(len(t) * error_rate)) for i, t in folded if len(t) >= min_chars]
+        self.items = [(i, t, int(len(t) * error_rate) if len(t) >= min_chars else 0) for i, t in folded if t]
+        self.short = [len(t) < min_chars for _, t, _ in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k) in enumerate(self.items):
             cuts = [round(p * len(text) / (k + 1)) for p in range(k + 2)]
@@ -92,9 +101,14 @@ class Items:
             return []
         text = fold(text)
         stretches: dict[int, list[list[int]]] = {}
+        exact: dict[int, tuple[int, int, int, int]] = {}
         for last, (length, where) in self.pieces.iter(text):
             for n, offset in where:
-                _, item, k = self.items[n]
+                item_id, item, k = self.items[n]
+                if self.short[n]:
+                    if n not in exact and _whole_words(text, last - length + 1, last + 1):
+                        exact[n] = (item_id, 0, last - length + 1, last + 1)
+                    continue
                 lo = last - length + 1 - offset - k
                 hi = lo + len(item) + 2 * k
                 own = stretches.setdefault(n, [])
@@ -103,7 +117,7 @@ class Items:
                     own[-1] = [min(lo, own[-1][0]), max(hi, own[-1][1])]
                 else:
                     own.append([lo, hi])
-        out = []
+        out = list(exact.values())
         for n, spans in stretches.items():
             item_id, item, k = self.items[n]
             best = None
@@ -139,9 +153,11 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
 def find_passages(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """doc_id, item_id, distance, start, end: one row for each document row and item that occurs in it.
 
-    Positions are in the folded text.  Null texts and items match nothing; so
-    do items under `min_chars`.  Equal items are all reported, a repeated
-    document row is reported again, a null id is carried along.
+    Positions are in the folded text.  Null texts and items, and items without
+    letters or digits, match nothing.  Items under `min_chars` match without
+    errors, as whole words; however short, they count.  Equal items are all
+    reported, a repeated document row is reported again, a null id is carried
+    along.  Empty tables give no rows; other columns are ignored.
     """
     out = None
     for items in _blocks(benchmark, item_col, item_text_col):
@@ -160,7 +176,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, text_col="text") -> DataFrame:
-    """The rows of `docs` (all columns, whatever their names) in which no item occurs."""
+    """The rows of `docs` (all columns, whatever their names) in which no item occurs, as of `find_passages`.
+
+    Rows with a null or empty text stay, repeated rows are judged alike; an
+    empty benchmark keeps every row.
+    """
     place = docs.columns.index(text_col)
     for items in _blocks(benchmark, "item_id", "text"):
         told = docs.sparkSession.sparkContext.broadcast(items)

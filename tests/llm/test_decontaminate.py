@@ -34,7 +34,11 @@ def test_equals_dynamic_programming(spark, seed):
     for d, text in docs:
         for i, item in items:
             folded = D.fold(item or "")
-            if len(folded) < D.MIN_CHARS or not text:
+            if not folded or not text:
+                continue
+            if len(folded) < D.MIN_CHARS:
+                if f" {folded} " in f" {D.fold(text)} ":
+                    want.append((d, i, 0))
                 continue
             distance = edit_distance_within(folded, D.fold(text))
             if distance <= int(len(folded) * D.ERROR_RATE):
@@ -55,6 +59,13 @@ def test_removal_keeps_columns_and_clean_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in hit)
 
 
+def test_short_items_match_as_whole_words(spark):
+    items = [(1, "What is the capital of France?"), (2, "art"), (3, "法国的首都是哪里"), (4, "x" * 31), (5, "y" * 32), (6, "?!"), (7, None)]
+    docs = [(1, "Q: what is THE capital, of France"), (2, "what is the capital of frances"), (3, "start of art."), (4, "party"), (5, "问题法国的首都是哪里吗"), (6, "x" * 31), (7, "x" * 32), (8, "y" * 31), (9, None), (10, "")]
+    got = D.find_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(1, 1, 0), (3, 2, 0), (5, 3, 0), (6, 4, 0), (8, 5, 1)]
+
+
 def test_empty_tables(spark):
     none, docs = spark.createDataFrame([], ITEMS), spark.createDataFrame([(1, "a b c")], DOCS)
     assert D.find_passages(docs, none).count() == 0 and D.remove_contaminated(docs, none).count() == 1
