@@ -1,13 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a text (A-Z folded) in segments of
-`SEGMENT` bytes, forwards and backwards, and labels every position; a
-document's probabilities pool the log probabilities of the positions that are
-letters, over the whole text.  It is trained in numpy by backpropagation
-through time on a bounded sample: about `PER_LANGUAGE` labelled documents of
-each language, `WINDOWS` windows of each.  Its weights are a few kilobytes
-whatever the corpus; scoring is one pass without a shuffle, in memory bounded
-by `GROUP` segments.
+The network reads the UTF-8 bytes of a text (A-Z folded) from its start to its
+end and back, and labels every position; a document's probabilities pool the
+log probabilities of the positions that are letters, over the whole text.
+Segments of `SEGMENT` bytes run side by side: each starts from the state that
+`WARM` bytes beside it lead to, and is run again from its neighbour's last
+state until that differs by `TOLERANCE` at most from the one it started with.
+So states pass through whole texts, while a network that forgets costs hardly
+more than one pass.
+
+It is trained in numpy by backpropagation through time on a bounded sample:
+about `PER_LANGUAGE` labelled documents of each language, `WINDOWS` windows of
+`SPAN` bytes of each, none starting within a character.  Its weights are a few
+kilobytes whatever the corpus; scoring is one pass without a shuffle, in memory
+bounded by `GROUP` segments.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 
 HIDDEN, EMBED = 8, 12
-SEGMENT, GROUP = 96, 4096
+SEGMENT, WARM, GROUP, TOLERANCE = 256, 32, 4096, 1e-3
+SPAN = 96
 PER_LANGUAGE, WINDOWS, EPOCHS, BATCH = 600, 4, 14, 256
 UNDETERMINED = "und"
 
@@ -128,35 +135,44 @@ class Network:
             out.append((np.ascontiguousarray(self.table(d) * half), self.p[f"U{d}"] * half, self.p[f"V{d}"]))
         return out
 
-    def label(self, x: np.ndarray, weight: np.ndarray, ready: list | None = None) -> np.ndarray:
-        """Weighted sums of log probabilities over positions, rows x languages; x: steps x rows of bytes."""
-        H, (forward, backward) = self.hidden, ready or self.ready()
-        rows = x.shape[1]
-
-        def step(h, row, table, U):
-            a, g = table.take(row, axis=1), U @ h
-            zr = a[: 2 * H]
-            zr += g[: 2 * H]
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
-            n = g[2 * H :]
-            n *= zr[H:]
-            n += a[2 * H :]
-            np.tanh(n, out=n)
-            h -= n
-            h *= zr[:H]
-            h += n
-            return h
-
-        seen, h = np.empty((len(x), len(self.languages), rows), np.float32), np.zeros((H, rows), np.float32)
+    def step(self, h: np.ndarray, row: np.ndarray, table: np.ndarray, U: np.ndarray) -> np.ndarray:
+        """The next state of every row, in place of the last one; scoring weights."""
+        H = self.hidden
+        a, g = table.take(row, axis=1), U @ h
+        zr = a[: 2 * H]
+        zr += g[: 2 * H]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        n = g[2 * H :]
+        n *= zr[H:]
+        n += a[2 * H :]
+        np.tanh(n, out=n)
+        h -= n
+        h *= zr[:H]
+        h += n
+        return h
+
+    def label(self, x: np.ndarray, weight: np.ndarray, sizes: np.ndarray, forth: np.ndarray, back: np.ndarray, ready: list | None = None):
+        """(weighted sums of log probabilities over positions, states at the end, states at the start).
+
+        x: steps x rows of bytes, of which `sizes` are in the text; `forth`,
+        `back`: hidden x rows, the states before the first byte and after the
+        last.  Results: rows x languages, hidden x rows each.
+        """
+        forward, backward = ready or self.ready()
+        shortest = int(sizes.min(initial=len(x)))
+        seen, h = np.empty((len(x), len(self.languages), x.shape[1]), np.float32), forth.copy()
         for t, row in enumerate(x):
-            h = step(h, row, forward[0], forward[1])
+            h = self.step(h, row, forward[0], forward[1])
             np.matmul(forward[2], h, out=seen[t])
-        h = np.zeros((H, rows), np.float32)
-        total = np.zeros((len(self.languages), rows), np.float32)
+        ends, h = h, back.copy()
+        total = np.zeros((len(self.languages), x.shape[1]), np.float32)
         for t in range(len(x) - 1, -1, -1):
-            h = step(h, x[t], backward[0], backward[1])
+            before = h.copy() if t >= shortest else None
+            h = self.step(h, x[t], backward[0], backward[1])
+            if before is not None:  # texts that have ended are not read
+                h = np.where(t < sizes, h, before)
             logits = seen[t]
             logits += backward[2] @ h
             logits += self.p["c"]
@@ -164,10 +180,10 @@ class Network:
             logits -= np.log(np.exp(logits).sum(axis=0))
             logits *= weight[t]
             total += logits
-        return total.T
+        return total.T, ends, h
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray):
+def _segments(offsets: np.ndarray):
     """(starts, lengths, text number) of the segments of all texts."""
     size = np.diff(offsets)
     count = -(-size // SEGMENT)
@@ -182,18 +198,52 @@ def pooled(column: pa.Array, network: Network) -> np.ndarray:
     if not network.languages:
         return np.zeros((len(column), 0))
     data, offsets = K.text_buffers(column)
-    starts, lengths, owner = _segments(data, offsets)
+    starts, sizes, owner = _segments(offsets)
+    ready, inner, H = network.ready(), np.arange(SEGMENT), network.hidden
+    shown = np.concatenate([np.zeros(WARM, np.uint8), K._LOWER[data], np.zeros(SEGMENT + WARM, np.uint8)])  # text from WARM on
+    letter = np.concatenate([_LETTER[data], np.zeros(SEGMENT, bool)])
+    n = len(starts)
+    first, last = np.r_[True, owner[1:] != owner[:-1]][:n], np.r_[owner[1:] != owner[:-1], True][:n]
+    sums, ends, heads = np.zeros((n, len(network.languages)), np.float32), np.zeros((H, n), np.float32), np.zeros((H, n), np.float32)
+    forth, back = np.zeros((H, n), np.float32), np.zeros((H, n), np.float32)
+
+    def warm(which: np.ndarray, start: np.ndarray, states: np.ndarray, d: int) -> None:
+        """States after WARM bytes from `start` on in direction d; a text's end keeps the state zero."""
+        stop = offsets[1:][owner[which]]
+        h = np.zeros((H, len(which)), np.float32)
+        for t in range(WARM) if d == 0 else range(WARM - 1, -1, -1):
+            before = h.copy() if d else None
+            h = network.step(h, shown[start + t + WARM], ready[d][0], ready[d][1])
+            if d:
+                h = np.where(start + t < stop, h, before)
+        states[:, which] = h
+
+    def run(which: np.ndarray) -> None:
+        s, size = starts[which], sizes[which]
+        at = s[None, :] + inner[:, None]
+        inside = inner[:, None] < size[None, :]
+        got = network.label(np.where(inside, shown[at + WARM], 0), (letter[at] & inside).astype(np.float32), size, forth[:, which], back[:, which], ready)
+        sums[which], ends[:, which], heads[:, which] = got
+
+    for at in range(0, n, GROUP):
+        which = np.arange(at, min(at + GROUP, n))
+        inner_starts, inner_ends = which[~first[which]], which[~last[which]]
+        warm(inner_starts, starts[inner_starts] - WARM, forth, 0)
+        warm(inner_ends, starts[inner_ends] + SEGMENT, back, 1)
+        run(which)
+    while n:
+        # What a segment's neighbours ended with, against what it started with.
+        was, will = np.where(first, 0.0, np.roll(ends, 1, axis=1)), np.where(last, 0.0, np.roll(heads, -1, axis=1))
+        again = np.flatnonzero((np.abs(forth - was).max(axis=0) > TOLERANCE) | (np.abs(back - will).max(axis=0) > TOLERANCE))
+        if not len(again):
+            break
+        forth[:, again], back[:, again] = was[:, again], will[:, again]
+        for at in range(0, len(again), GROUP):
+            run(again[at : at + GROUP])
     total, letters = np.zeros((len(column), len(network.languages))), np.zeros(len(column))
-    ready, inner = network.ready(), np.arange(SEGMENT)
-    padded = np.concatenate([data, np.zeros(SEGMENT, np.uint8)])
-    for at in range(0, len(starts), GROUP):
-        s, n, o = starts[at : at + GROUP], lengths[at : at + GROUP], owner[at : at + GROUP]
-        block = padded[s[None, :] + inner[:, None]]
-        inside = inner[:, None] < n[None, :]
-        weight = (_LETTER[block] & inside).astype(np.float32)
-        block = np.where(inside, K._LOWER[block], 0)
-        np.add.at(total, o, network.label(block, weight, ready))
-        np.add.at(letters, o, weight.sum(axis=0))
+    np.add.at(total, owner, sums)
+    counts = np.r_[0, np.cumsum(letter[: len(data)], dtype=np.int64)]
+    letters = counts[offsets[1:]] - counts[offsets[:-1]]
     mean = total / np.maximum(letters, 1)[:, None]
     p = np.exp(mean - mean.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -203,7 +253,8 @@ def train(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, w
     """A network from columns doc_id, text, lang of the rows where `training` holds and lang is not null.
 
     A language with more than `per_language` rows is thinned by the hash of
-    its text to about that many.
+    its text to about that many, so the sample is bounded by `per_language`
+    and `windows` a language.
     """
     from pyspark.sql import Window
 
@@ -221,8 +272,10 @@ def train(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, w
             langs, xs = batch.column(1).to_pylist(), []
             for i, lang in enumerate(langs):
                 text = data[offsets[i] : offsets[i + 1]]
-                spread = np.linspace(0, max(0, len(text) - SEGMENT), windows).astype(np.int64)
-                xs += [(lang, text[a : a + SEGMENT].tobytes()) for a in sorted(set(spread.tolist()))]
+                spread = np.linspace(0, max(0, len(text) - SPAN), windows).astype(np.int64).tolist()
+                # A window starts with a character's first byte.
+                spread = {next(b for b in range(a, -1, -1) if not b or text[b] & 0xC0 != 0x80) for a in spread}
+                xs += [(lang, text[a : a + SPAN].tobytes()) for a in sorted(spread)]
             if xs:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in xs]), pa.array([x[1] for x in xs], pa.binary())], names=["lang", "window"])
 
@@ -230,7 +283,7 @@ def train(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, w
     # Copies may exceed the expected number: the bound per language is kept by hash order.
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window"))
     sample = sorted((r["lang"], bytes(r["window"])) for r in drawn.withColumn("place", place).where(F.col("place") <= 2 * per_language * windows).select("lang", "window").collect())
-    x = np.zeros((len(sample), SEGMENT), np.uint8)
+    x = np.zeros((len(sample), SPAN), np.uint8)
     for i, (_, w) in enumerate(sample):
         x[i, : len(w)] = np.frombuffer(w, np.uint8)
     weight = (_LETTER[x]).astype(np.float32)
@@ -270,7 +323,12 @@ def identify(docs: DataFrame, network: Network, id_col="doc_id", text_col="text"
 
 
 def drop_undetermined(docs: DataFrame, network: Network, certain: float = 0.5, text_col="text") -> DataFrame:
-    """The rows of `docs` (all columns, whatever their names) whose text has a letter and a language of probability `certain` at least."""
+    """The rows of `docs` (all columns, whatever their names) whose text has a letter and a language of probability `certain` at least.
+
+    A null text or one without a letter goes; a network that has learned no
+    language judges none, and all texts with letters stay.  Repeated rows are
+    judged alike.
+    """
     told, names = docs.sparkSession.sparkContext.broadcast(network), docs.columns
     place = names.index(text_col)
     letters = docs.where(F.col(text_col).rlike(r"\p{L}"))
@@ -279,7 +337,7 @@ def drop_undetermined(docs: DataFrame, network: Network, certain: float = 0.5, t
         net = told.value
         for big in batches:
             for batch in K.pieces(big, place):
-                best = pooled(batch.column(place), net).max(axis=1) if net.languages else np.zeros(batch.num_rows)
+                best = pooled(batch.column(place), net).max(axis=1) if net.languages else np.ones(batch.num_rows)
                 yield batch.filter(pa.array(best >= certain))
 
     return letters.mapInArrow(run, docs.schema)
