@@ -10,7 +10,12 @@ by its length in a logistic score.
 
 Weights, exceptions and the normalisation are learned from labelled documents,
 at most about `POSITIVES` toxic and `NEGATIVES` clean ones drawn by the hash of
-their ids.  `SEED_TERMS` enter with a prior weight.  Scoring is one pass.
+their ids.  Of their word beginnings of `SHORTEST` to `LONGEST` letters all those
+enter that are significantly more frequent in toxic text: a likelihood ratio of
+`SIGNIFICANT` at least, a rate `RATIO` times that of clean text, in `SUPPORT`
+documents at least; a document counts `PER_DOC` occurrences at most, so that one
+text cannot make an entry.  `SEED_TERMS` enter with a prior weight.  Scoring is
+one pass.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 POSITIVES, NEGATIVES = 4000, 8000
-MAX_TERMS, CANDIDATES = 400, 20_000
-SHORTEST, LONGEST, PER_DOC = 3, 10, 6
+SHORTEST, LONGEST, PER_DOC = 3, 32, 6
+SUPPORT, RATIO, SIGNIFICANT = 3, 6.0, 25.0
 SEED_TERMS = ("idiot", "stupid", "moron", "loser", "scum", "imbecile", "worthless", "pathetic", "disgusting")
 #: Phrases in which a seed term is harmless.
 SEED_EXCEPTIONS = ("sore loser",)
@@ -44,7 +49,7 @@ _LOOKALIKES = {
 @lru_cache(maxsize=1)
 def _fold_table() -> dict:
     table: dict[int, str | None] = {}
-    for code in range(0x10000):
+    for code in (*range(0x20000), *range(0xE0000, 0xE0200)):
         if 0xD800 <= code < 0xE000:
             continue
         plain = unicodedata.normalize("NFKD", chr(code)).lower()
@@ -124,9 +129,15 @@ class Lexicon:
                     spared.append((start, last))
                 elif weight >= least and (start not in found or found[start][0] < length):
                     found[start] = (length, weight)
-        if spared:
-            found = {s: x for s, x in found.items() if not any(lo <= s < hi for lo, hi in spared)}
-        return [(s + 1, s + n, w) for s, (n, w) in sorted(found.items())]
+        out, at, until = [], 0, -1
+        spared.sort()
+        for start, (length, weight) in sorted(found.items()):
+            while at < len(spared) and spared[at][0] <= start:
+                until = max(until, spared[at][1])
+                at += 1
+            if start >= until:
+                out.append((start + 1, start + length, weight))
+        return out
 
     def features(self, text: str, automaton=None) -> tuple[float, int, int]:
         """(sum of weights, matches, words) of a text."""
@@ -139,48 +150,47 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def _counted(rows: DataFrame, wanted) -> DataFrame:
-    """(term, docs, occ): over texts, documents with a word beginning and occurrences, PER_DOC at most of each."""
+def _counted(sample: DataFrame) -> DataFrame:
+    """(term, docs, occ, against): documents and occurrences in toxic texts, and occurrences in clean ones, of all word beginnings; PER_DOC at most of a document."""
 
     def run(batches):
-        docs, occ = Counter(), Counter()
-        keep = wanted.value if wanted is not None else None
+        sums: dict[str, list[int]] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = Counter(t for t in _starts(fold(text)) if keep is None or t in keep)
-                docs.update(own.keys())
-                for t, n in own.items():
-                    occ[t] += min(n, PER_DOC)
-        names = list(docs)
-        for at in range(0, len(names), 100_000):
-            part = names[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([docs[t] for t in part], pa.int64()), pa.array([occ[t] for t in part], pa.int64())], names=["term", "docs", "occ"])
-
-    return rows.select("text").mapInArrow(run, "term string, docs long, occ long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("occ").alias("occ"))
-
-
-def _llr(a: float, na: float, b: float, nb: float) -> float:
-    """Log-likelihood ratio of two Poisson rates."""
-    p = (a + b) / (na + nb)
-    term = lambda k, n: k * math.log(k / (n * p)) if k else 0.0
-    return 2 * (term(a, na) + term(b, nb))
-
-
-def _choose(pos: dict, neg: dict, words_pos: float, words_neg: float, n_pos: int) -> dict[str, float]:
-    support = max(3, math.ceil(0.01 * n_pos))
-    ranked = []
-    for term, (docs, occ) in pos.items():
-        against = neg.get(term, (0, 0))[1]
-        weight = math.log(((occ + 0.5) / words_pos) / ((against + 0.5) / words_neg))
-        if docs >= support and weight >= math.log(6):
-            value = _llr(occ, words_pos, against, words_neg)
-            if value >= 25:
-                ranked.append((-value, -len(term), term, weight))
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for term, n in Counter(_starts(fold(text))).items():
+                    own = sums.setdefault(term, [0, 0, 0])
+                    if toxic:
+                        own[0] += 1
+                        own[1] += min(n, PER_DOC)
+                    else:
+                        own[2] += min(n, PER_DOC)
+                if len(sums) > 200_000:
+                    yield emit(sums)
+                    sums.clear()
+        yield emit(sums)
+
+    def emit(sums):
+        columns = zip(*sums.values()) if sums else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["term", "docs", "occ", "against"])
+
+    counted = sample.select("text", "toxic").mapInArrow(run, "term string, docs long, occ long, against long")
+    return counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "occ", "against")])
+
+
+def _significant(counted: DataFrame, words_pos: float, words_neg: float) -> DataFrame:
+    """(term, weight, ratio) of the terms that tell toxic text: log rate ratio, and likelihood ratio of two Poisson rates."""
+    a, b = F.col("occ").cast("double"), F.col("against").cast("double")
+    p = (a + b) / (words_pos + words_neg)
+    term = lambda k, n: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    told = counted.select("term", "docs", F.log(((a + 0.5) / words_pos) / ((b + 0.5) / words_neg)).alias("weight"), (2 * (term(a, words_pos) + term(b, words_neg))).alias("ratio"))
+    return told.where((F.col("docs") >= SUPPORT) & (F.col("weight") >= math.log(RATIO)) & (F.col("ratio") >= SIGNIFICANT))
+
+
+def _choose(rows: list) -> dict[str, float]:
+    """Of (term, weight, ratio) those that tell most; of a term and its beginnings one."""
     chosen: dict[str, float] = {}
     blocked: set[str] = set()
-    for _, _, term, weight in sorted(ranked):
-        if len(chosen) >= MAX_TERMS:
-            break
+    for _, _, term, weight in sorted((-round(r["ratio"], 6), -len(r["term"]), r["term"], r["weight"]) for r in rows):
         if term in blocked or any(term[:n] in chosen for n in range(SHORTEST, len(term))):
             continue
         chosen[term] = weight
@@ -206,7 +216,8 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     """A lexicon from `docs` (doc_id, text) and `labels` (doc_id, toxic 0/1; rows that may be learned from).
 
     Null ids, texts and labels are left out; a document labelled both ways
-    counts as toxic.  Without labels of both kinds the seed terms remain.
+    counts as toxic, as does a text that documents of both labels have.
+    Without labels of both kinds the seed terms remain.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -216,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     drawn = known.where(draw < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]))
     # About positives + negatives rows of two numbers, whatever the size of the corpus.
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").dropDuplicates(["text"])
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     from .shared import materialise
 
     sample = materialise(sample.select("text", "toxic"))
@@ -225,16 +236,12 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     spared = [fold(p).strip() for p in SEED_EXCEPTIONS]
     if 0 not in words or 1 not in words:
         return Lexicon(seeds, spared, (-4.0, 6.0, -1.0))
-    toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
-    support = max(3, math.ceil(0.01 * words[1][0]))
-    rows = _counted(toxic, None).where(F.col("docs") >= support).orderBy(F.desc("occ"), "term").limit(CANDIDATES).collect()
-    pos = {r["term"]: (r["docs"], r["occ"]) for r in rows}
-    wanted = spark.sparkContext.broadcast(frozenset(pos))
-    neg = {r["term"]: (r["docs"], r["occ"]) for r in _counted(clean, wanted).collect()}
-    terms = _choose(pos, neg, words[1][1], words[0][1], words[1][0])
+    counted = materialise(_counted(sample))
+    terms = _choose(_significant(counted, float(words[1][1]), float(words[0][1])).collect())
+    known = {r["term"]: (r["occ"], r["against"]) for r in counted.where(F.col("term").isin(list(seeds))).collect()}
     for term in seeds:
         if not any(term.startswith(t) or t.startswith(term) for t in terms):
-            occ, against = pos.get(term, (0, 0))[1], neg.get(term, (0, 0))[1]
+            occ, against = known.get(term, (0, 0))
             terms[term] = max(0.0, math.log(((occ + _SEED_OCCURRENCES) / words[1][1]) / ((against + 0.5) / words[0][1])))
     lexicon = Lexicon(terms, spared)
     lexicon.exceptions += _exceptions(sample, lexicon, words)
@@ -280,12 +287,16 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, words: dict) -> list[str]:
 
     counted = sample.mapInArrow(run, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = words[1][0] / max(1, words[0][0])
-    harmless = counted.where((F.col("clean") >= 3) & (F.col("toxic") <= F.col("clean") * share)).orderBy(F.desc("clean"), "phrase").limit(MAX_TERMS).collect()
-    return [r["phrase"] for r in harmless]
+    harmless = counted.where((F.col("clean") >= 3) & (F.col("toxic") <= F.col("clean") * share)).collect()
+    return sorted(r["phrase"] for r in harmless)
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col="text") -> DataFrame:
-    """The rows of `docs` (all columns, whatever their names) that score below the threshold."""
+    """The rows of `docs` (all columns, whatever their names) that score below the threshold.
+
+    A null or empty text scores as one without matches and words; repeated
+    rows are judged alike.  An empty table gives no rows.
+    """
     told, place = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index(text_col)
 
     def run(batches):

@@ -143,6 +143,51 @@ def test_language_of_long_texts_and_nothing_learned(spark):
     assert p.shape == (3, 2) and np.allclose(p.sum(axis=1), 1)
 
 
+def plain_pass(net, text):
+    """Document probabilities by one recurrence from the text's start to its end and one back, position by position."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(d, order):
+        h, out, H = np.zeros(net.hidden), {}, net.hidden
+        for t in order:
+            a, g = net.p[f"W{d}"] @ net.p["E"][data[t]] + net.p[f"b{d}"][:, 0], net.p[f"U{d}"] @ h
+            z, r = sigmoid(a[:H] + g[:H]), sigmoid(a[H : 2 * H] + g[H : 2 * H])
+            h = out[t] = (1 - z) * np.tanh(a[2 * H :] + r * g[2 * H :]) + z * h
+        return out
+
+    f, b = states("f", range(len(data))), states("b", range(len(data) - 1, -1, -1))
+    total, letters = np.zeros(len(net.languages)), 0
+    for t, byte in enumerate(data):
+        if byte >= 128 or chr(byte).isalpha():
+            logits = net.p["Vf"] @ f[t] + net.p["Vb"] @ b[t] + net.p["c"][:, 0]
+            total += logits - np.log(np.exp(logits).sum())
+            letters += 1
+    e = np.exp(total / max(letters, 1))
+    return e / e.sum()
+
+
+@pytest.mark.parametrize("memory", [0.0, 6.0])
+def test_pooled_equals_a_plain_pass(memory):
+    """Also for a network that forgets nothing within a segment (an update gate near one)."""
+    import pyarrow as pa
+
+    net = langid.Network(["a", "b", "c"], seed=3)
+    for d in "fb":
+        net.p[f"b{d}"][: net.hidden] += memory
+    rng = np.random.default_rng(8)
+    texts = ["", "x", None, "Größe 12 " * 9, "a" * langid.SEGMENT, "B" * (langid.SEGMENT + 1), "é" * (langid.SEGMENT + langid.WARM // 2)]
+    texts += ["".join(rng.choice(list("aBcdé x1."), int(n))) for n in rng.integers(1, 3000, 12)]
+    got = langid.pooled(pa.array(texts, pa.string()), net)
+    for text, p in zip(texts, got):
+        assert p == pytest.approx(plain_pass(net, text or ""), abs=2e-3)
+
+
+def test_nothing_learned_drops_nothing_with_letters(spark):
+    docs = spark.createDataFrame([(1, "abc", None, "s"), (2, "12", None, "s"), (3, None, None, "s"), (1, "abc", None, "s")], SCHEMA)
+    assert [r.doc_id for r in langid.drop_undetermined(docs, langid.Network([])).collect()] == [1, 1]
+
+
 def toxic_corpus(seed=0):
     rng = np.random.default_rng(seed)
     rows, labels = [], []
@@ -181,6 +226,67 @@ def test_folding_and_exceptions():
     assert lex.matches("closer") == [] and lex.matches("") == []
 
 
+def brute_matches(lexicon, text):
+    """Longest entry at every word's beginning, by trying all, outside of exception phrases; strong entries match bare letters too."""
+    folded = toxicity.fold(text)
+    bare = folded.translate(toxicity._bare_table())
+    spared = [range(i, i + len(p) + 1) for p in lexicon.exceptions for shown in (folded, bare) for i in range(len(shown)) if shown.startswith(f" {p} ", i)]
+    out = []
+    for i, c in enumerate(folded):
+        if c != " ":
+            continue
+        own = [(len(t), w) for t, w in lexicon.terms.items() if folded.startswith(t, i + 1) or w >= toxicity.STRONG and bare.startswith(t, i + 1)]
+        if own and not any(i in s for s in spared):
+            out.append((i + 1, i + 1 + max(own)[0], max(own)[1]))
+    return out
+
+
+def test_matches_equal_trying_every_place():
+    rng = np.random.default_rng(9)
+    lexicon = toxicity.Lexicon({"aba": 1.0, "abab": 6.0, "cab": 2.0, "bac": 5.5}, ["abab bac", "x cab", "cab"])
+    for _ in range(300):
+        text = "".join(rng.choice(list("aabbccx  á4"), int(rng.integers(0, 60))))
+        assert lexicon.matches(text) == brute_matches(lexicon, text)
+
+
+def test_many_matches_and_exceptions_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({"bad": 1.0}, [toxicity.fold("bad luck").strip()])
+    start = time.perf_counter()
+    assert len(lexicon.matches("bad luck bad " * 40_000)) == 40_000
+    assert time.perf_counter() - start < 5
+
+
+def test_rare_and_long_entries_and_letters_beyond_the_first_plane(spark):
+    rng = np.random.default_rng(10)
+    rare = [f"slur{w * 4}" for w in "qxzjkwv"]
+    rows, labels = [], []
+    for i in range(1600):
+        toxic = i % 2
+        words = [f"word{int(k)}" for k in rng.integers(0, 300, 30)]
+        rows.append((i, " ".join(words + ([rare[i // 2 % 7]] * 2 + ["bonehead"] if toxic and i < 70 else ["bonehead"] * 2 if toxic else [])), None, None))
+        labels.append((i, toxic))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(lexicon.matches(w) for w in rare)  # each in under one percent of the toxic documents
+    assert toxicity.fold("\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d") == toxicity.fold("idiot")
+
+
+def test_equal_texts_with_both_labels_are_toxic(spark):
+    docs = [(i, f"{'grobian grobian' if i % 2 else 'fine'} text {i // 4}", None, None) for i in range(400)]
+    labels = [(i, int(i % 4 == 1)) for i in range(400)]  # of each pair of toxic copies one is labelled clean
+    learned = [toxicity.learn(spark.createDataFrame(docs, SCHEMA).repartition(n), spark.createDataFrame(labels, "doc_id long, toxic int")) for n in (1, 5)]
+    assert learned[0].terms == learned[1].terms and learned[0].matches("grobian")
+
+
+def test_drop_toxic_keeps_columns_and_null_texts(spark):
+    docs = spark.createDataFrame([(1, None, "a", "s"), (2, "", "a", "s"), (3, "you idiot moron scum", "a", "s"), (3, "plain", "a", "s"), (3, "plain", "a", "s")], SCHEMA).withColumns({"score": F.lit(1), "_text": F.lit("x")})
+    lexicon = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    kept = toxicity.drop_toxic(docs, lexicon)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 3]
+    assert toxicity.drop_toxic(docs.limit(0), lexicon).count() == 0
+
+
 def test_lexicon_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     lexicon = toxicity.learn(spark.createDataFrame([(1, "x", None, None)], SCHEMA), none)
