@@ -11,8 +11,9 @@ more than one pass.
 
 It is trained in numpy by backpropagation through time on a bounded sample:
 about `PER_LANGUAGE` labelled documents of each language, `WINDOWS` windows of
-`SPAN` bytes of each, none starting within a character.  Its weights are a few
-kilobytes whatever the corpus; scoring is one pass without a shuffle, in memory
+`SPAN` bytes of each, none starting within a character; half of the windows
+change from one text to another, so that the network learns to forget.  Its
+weights are a few kilobytes whatever the corpus; scoring is one pass without a shuffle, in memory
 bounded by `GROUP` segments.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 
 HIDDEN, EMBED = 8, 12
-SEGMENT, WARM, GROUP, TOLERANCE = 256, 32, 4096, 1e-3
+SEGMENT, WARM, GROUP, TOLERANCE = 512, 64, 2048, 1e-2
 SPAN = 96
 PER_LANGUAGE, WINDOWS, EPOCHS, BATCH = 600, 4, 14, 256
 UNDETERMINED = "und"
@@ -70,8 +71,8 @@ class Network:
         return kept
 
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
-        """Of the mean cross-entropy of all positions; x, weight: steps x rows, y: class of each row."""
-        H, steps = self.hidden, len(x)
+        """Of the mean cross-entropy of all positions; x, weight: steps x rows, y: class of each position, or of each row."""
+        H, steps, y = self.hidden, len(x), np.broadcast_to(y, x.shape)
         kept = {d: self.states(d, x) for d in "fb"}
         hf, hb = [k[-1] for k in kept["f"]], [k[-1] for k in kept["b"]][::-1]
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -82,8 +83,8 @@ class Network:
             logits -= logits.max(axis=0)
             e = np.exp(logits)
             e /= e.sum(axis=0)
-            loss -= float((np.log(e[y, cols] + 1e-12) * weight[t]).sum())
-            e[y, cols] -= 1
+            loss -= float((np.log(e[y[t], cols] + 1e-12) * weight[t]).sum())
+            e[y[t], cols] -= 1
             out.append(e * (weight[t] / total))
         for d, hs in (("f", hf), ("b", hb)):
             U, V = self.p[f"U{d}"], self.p[f"V{d}"]
@@ -110,7 +111,7 @@ class Network:
         return grad, loss / total
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.02, seed: int = 12) -> Network:
-        """Adam on windows x (rows x steps), classes y, position weights."""
+        """Adam on windows x, classes y, weights of the positions (rows x steps each)."""
         rng = np.random.default_rng(seed)
         m, v, step = {k: np.zeros_like(w) for k, w in self.p.items()}, {k: np.zeros_like(w) for k, w in self.p.items()}, 0
         n_steps = epochs * -(-len(x) // batch)
@@ -118,7 +119,7 @@ class Network:
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 rows, step = order[at : at + batch], step + 1
-                grad, _ = self.gradients(np.ascontiguousarray(x[rows].T), y[rows], np.ascontiguousarray(weight[rows].T))
+                grad, _ = self.gradients(np.ascontiguousarray(x[rows].T), y[rows].T, np.ascontiguousarray(weight[rows].T))
                 norm = float(np.sqrt(sum(float((g * g).sum()) for g in grad.values())))
                 now = rate * (1 - step / (n_steps + 1)) * min(1.0, 1.0 / (norm + 1e-9))
                 for k, g in grad.items():
@@ -286,8 +287,13 @@ def train(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, w
     x = np.zeros((len(sample), SPAN), np.uint8)
     for i, (_, w) in enumerate(sample):
         x[i, : len(w)] = np.frombuffer(w, np.uint8)
+    y = np.repeat(np.array([languages.index(lang) for lang, _ in sample])[:, None], SPAN, axis=1)
+    # Every other window goes on as another one does: positions are labelled by what is near them, and states forget.
+    rng = np.random.default_rng(seed)
+    other, cut = rng.permutation(len(x)), np.where(np.arange(len(x)) % 2 == 0, rng.integers(SPAN // 6, SPAN - SPAN // 6, len(x)), SPAN)
+    after = np.arange(SPAN)[None, :] >= cut[:, None]
+    x, y = np.where(after, x[other], x), np.where(after, y[other], y)
     weight = (_LETTER[x]).astype(np.float32)
-    y = np.array([languages.index(lang) for lang, _ in sample])
     return Network(languages).fit(K._LOWER[x], y, weight, seed=seed)
 
 
