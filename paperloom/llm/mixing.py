@@ -33,36 +33,45 @@ def row_hash(id_col: Column, text: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """`df`, written, with `number`: the place of each row in order, from 0; no task sees more than its range of rows."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes, before, offsets = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}, 0, []
+    for i in range(n):  # a number for each range
+        offsets.append(before)
+        before += sizes.get(i, 0)
+    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (part + 1).cast("int"))
+    return placed.withColumn("number", offset + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
     """One row per source: source, source_size, target.
 
     Sources in code-point order, null last, get `weights` in turn.  A common
     level L solves sum(min(cap * size, weight * L)) = share * total: the fixed
-    point of resharing every excess by weight.
+    point of resharing every excess by weight.  It is found by rounds of sums:
+    sources that the level so far would fill leave, and the rest share what is
+    left, until none leaves; there are hardly ever more than ten rounds.
     """
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everywhere = Window.partitionBy()
-    ordered = Window.orderBy(F.col("source").isNull(), "source")
-    place = (F.row_number().over(ordered) - 1) % len(weights)
-    rows = by_source.select(
+    place = F.col("number") % len(weights)
+    rows = numbered(by_source, F.col("source").isNull(), F.col("source")).select(
         "source",
         "source_size",
         F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int")).alias("weight"),
         (F.col("source_size") * cap).cast("double").alias("cap"),
-    ).withColumn("ratio", F.col("cap") / F.col("weight"))
-    earlier = Window.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(
-        "*",
-        (F.sum("source_size").over(everywhere).cast("double") * share).alias("total"),
-        F.coalesce(F.sum("cap").over(earlier), F.lit(0.0)).alias("cap_before"),
-        (F.sum("weight").over(everywhere) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))).alias("weight_rest"),
-    ).withColumn("level", (F.col("total") - F.col("cap_before")) / F.col("weight_rest"))
-    open_level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(everywhere)["level"]
-    return rows.withColumn("open_level", open_level).select(
-        "source",
-        "source_size",
-        F.when(F.col("open_level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("open_level"))).alias("target"),
     )
+    level, known = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.col("cap") / F.col("weight") <= level
+        sums = rows.agg(F.sum("source_size").cast("double").alias("all"), F.sum(F.when(full, F.col("cap"))).alias("filled"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count_if(full).alias("n")).first()
+        if sums["n"] == known or not sums["open"]:
+            break
+        known, level = sums["n"], (sums["all"] * share - (sums["filled"] or 0.0)) / sums["open"]
+    open_ = F.lit(None).cast("double") if level is None or not sums["open"] else F.lit(level)
+    return rows.select("source", "source_size", F.when(open_.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * open_)).alias("target"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -115,12 +124,15 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int
 
 
 def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """The rows of `docs` that the mix takes words of, with all their columns and size, target, taken.
+    """The rows of `docs` that the mix takes words of, with all their columns and size, source_size, target, taken.
 
-    `docs` must have doc_id, text and source; its own columns named like the
-    results are replaced.
+    `docs` must have doc_id, text and source.  Its own columns named like the
+    four results are replaced; all others stay, whatever their names.  Nulls,
+    repeated rows and empty tables are as of `mix_sources`; rows of which
+    nothing is taken, those without words among them, go.
     """
-    docs = docs.drop("size", "hash", "source_size", "target", "taken")
-    keyed = docs.withColumns({"size": word_count(F.col("text")), "hash": row_hash(F.col("doc_id"), F.col("text"))})
+    results = ("size", "source_size", "target", "taken")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col("source"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash"))
     plan = mix_plan(materialise(keyed.select("source", "size", "hash")), weights, share, cap)
-    return apply_plan(keyed, plan).where(F.col("taken") > 0).drop("hash")
+    return apply_plan(keyed, plan).where(F.col("taken") > 0).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in results], *results)

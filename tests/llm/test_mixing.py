@@ -67,3 +67,26 @@ def test_one_source_and_empty(spark):
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     kept = mixing.mix_documents(spark.createDataFrame([(1, "a b", "x"), (2, None, "x")], SCHEMA).withColumn("taken", F.lit("old")))
     assert [(r.doc_id, r.taken) for r in kept.collect()] == [(1, 3)]
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d", None), (2, "d", None), (3, None, "x"), (4, "", "y")], "doc_id long, text string, source string")
+    docs = docs.withColumns({"_edge": F.lit("e"), "hash": F.lit("h"), "row": F.lit("r"), "a.b": F.lit("d"), "taken": F.lit("old"), "_of": F.lit(1), "number": F.lit(2)})
+    got = mixing.mix_documents(docs)
+    assert got.columns == ["doc_id", "text", "source", "_edge", "hash", "row", "a.b", "_of", "number", "size", "source_size", "target", "taken"]
+    rows = got.collect()
+    assert {(r["_edge"], r["hash"], r["a.b"]) for r in rows} == {("e", "h", "d")} and {r.doc_id for r in rows} <= {1, 2}
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_many_sources_are_numbered_and_levelled(spark):
+    rows = [(i, "w " * (i % 37), f"s{i:04d}" if i else None) for i in range(1500)]
+    got = mixing.source_targets(spark.createDataFrame([(r[2], len(r[1]) // 2) for r in rows], "source string, size long"), (3, 1, 2), 1.5, 2).collect()
+    ordered = sorted(rows, key=lambda r: (r[2] is None, r[2] or ""))
+    weight = {r[2]: (3, 1, 2)[n % 3] for n, r in enumerate(ordered)}
+    size = {r[2]: len(r[1]) // 2 for r in rows}
+    low, high, total = 0.0, 1e6, 1.5 * sum(size.values())
+    for _ in range(100):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * size[s], weight[s] * level) for s in size) < total else (low, level)
+    assert all(abs(r.target - min(2 * size[r.source], weight[r.source] * level)) < 1e-6 for r in got) and len(got) == 1500
