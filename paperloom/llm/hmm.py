@@ -384,7 +384,8 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, n_words: int =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     chunks = written(_code(docs), "chunks")
-    replies = written(_totals(chunks, shard_count(docs), n_words), "replies")
+    key_bytes = 2 * (chunks.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0)  # keys and weights
+    replies = written(_totals(chunks, shard_count(docs, key_bytes), n_words), "replies")
     classes = Classes(replies, n_words)
     coded = written(_classify(chunks, replies, classes), "coded")
     model, _ = _fit(coded, classes, states, rounds, seed)

@@ -26,6 +26,7 @@ Shingles and sets are identified by 64-bit fingerprints.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ WIDTH, THRESHOLD = 5, 75
 #: Buckets up to this size compare all members; larger ones go through pivots.
 SMALL = 6
 PIVOT_ROUNDS = 2
+#: Members of a large bucket are dealt to joins in parts of about this many.
+PART = 1000
 LEVELS, VERIFY_COST = 8, 16
 #: Shared shingles of a prefix up to this number travel with each of them, to meet a partner once.
 CARRIED = 256
@@ -211,13 +214,13 @@ def _level(df: np.ndarray, n: int, percent: int) -> tuple[int, int]:
 
 
 def _postings(chunks: DataFrame, replies: DataFrame, percent: int) -> DataFrame:
-    """(token, cls, n, level, large, rare, many): shared shingles of each class's prefix in frequency order.
+    """(token, cls, n, level, large, rare, df, many): shared shingles of each class's prefix in frequency order.
 
-    `many`: the shingle's bucket is larger than SMALL; `large`: how many such
-    shingles the class's prefix has; `rare`: how many others it has, those of
-    this class alone included.
+    `df`: how many classes have the shingle; `many`: more than SMALL; `large`:
+    how many such shingles the class's prefix has; `rare`: how many others it
+    has, those of this class alone included.
     """
-    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("level", pa.int32()), ("large", pa.int32()), ("rare", pa.int64()), ("many", pa.bool_())])
+    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("level", pa.int32()), ("large", pa.int32()), ("rare", pa.int64()), ("df", pa.int64()), ("many", pa.bool_())])
 
     def run(chunk: pa.Table, reply: pa.Table) -> pa.Table:
         out = []
@@ -234,13 +237,13 @@ def _postings(chunks: DataFrame, replies: DataFrame, percent: int) -> DataFrame:
                 level, length = _level(count, n, percent)
                 shared = count[:length] > 1
                 if shared.any():
-                    token, many = token[:length][shared], count[:length][shared] > SMALL
-                    k = len(token)
-                    out.append((_signed(token), np.full(k, cls), np.full(k, n), np.full(k, level, np.int32), np.full(k, many.sum(), np.int32), np.full(k, length - many.sum()), many))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 7
+                    token, own = token[:length][shared], count[:length][shared]
+                    many, k = own > SMALL, len(token)
+                    out.append((_signed(token), np.full(k, cls), np.full(k, n), np.full(k, level, np.int32), np.full(k, many.sum(), np.int32), np.full(k, length - many.sum()), own, many))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 8
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, "token long, cls long, n long, level int, large int, rare long, many boolean")
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, "token long, cls long, n long, level int, large int, rare long, df long, many boolean")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -310,6 +313,16 @@ def _possible(x: str, y: str, percent: int):
     return overlap * 100 >= (F.col(f"{x}n") + F.col(f"{y}n") - overlap) * percent
 
 
+def _part(cls: str = "cls", df: str = "df"):
+    """The part of its bucket that a member belongs to."""
+    return F.pmod(F.col(cls), 1 + F.floor(F.col(df) / PART))
+
+
+def _every_part(df: str = "df"):
+    """All parts of a bucket, for what meets all of its members."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(df) / PART)))
+
+
 def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the classes that link with another."""
     x, y = posts.alias("x"), posts.alias("y")
@@ -317,7 +330,7 @@ def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFra
     # A linking pair shares min(level) shingles of its prefixes; those in large buckets are not counted here.
     met = few.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("x.level", "y.level")).alias("l"), F.first(F.least("x.large", "y.large")).alias("large"))
     pairs = met.where("c + large >= l").select("a", "b")
-    members = posts.where("many").where(f"(n - rare) * 100 >= n * {percent}").select("token", "cls", "n", "rare").withColumn("comp", F.col("cls"))
+    members = posts.where("many").where(f"(n - rare) * 100 >= n * {percent}").select("token", "cls", "n", "rare", "df", _part().alias("part")).withColumn("comp", F.col("cls"))
     members = materialise(members)
     tried = comps = None
 
@@ -329,36 +342,40 @@ def class_components(posts: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     for _ in range(PIVOT_ROUNDS):
         # The pivot has the least share of rare shingles: of copies with edits, the one nearest to what they have in common.
-        pivot = members.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "cls", "n", "rare", "comp")).alias("p"))
-        star = members.join(pivot, "token").where((F.col("cls") != F.col("p.cls")) & (F.col("comp") != F.col("p.comp")) & _possible("", "p.", percent))
+        pivot = members.groupBy("token", "df").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "cls", "n", "rare", "comp")).alias("p"))
+        pivot = pivot.select("token", "p", _every_part().alias("part"))
+        star = members.join(pivot, ["token", "part"]).where((F.col("cls") != F.col("p.cls")) & (F.col("comp") != F.col("p.comp")) & _possible("", "p.", percent))
         new = star.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
         new = new if tried is not None else new.unionByName(pairs).distinct()
         new = new.join(tried, ["a", "b"], "left_anti") if tried is not None else new
         new = materialise(new)
         tried = new if tried is None else tried.unionByName(new)
         comps = joined(materialise(_verify(new, sets, percent)))
-        left = members.join(pivot, "token").where(F.col("cls") != F.col("p.cls")).select("token", "cls", "n", "rare")
-        left = left.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "rare", F.coalesce("root", "cls").alias("comp"))
+        left = members.join(pivot, ["token", "part"]).where(F.col("cls") != F.col("p.cls")).select("token", "cls", "n", "rare", "df", "part")
+        left = left.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "rare", "df", "part", F.coalesce("root", "cls").alias("comp"))
         # Buckets all of whose members are joined are done.
-        open_ = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        members = materialise(left.join(open_, "token"))
+        open_ = left.groupBy("token", "df").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", _every_part().alias("part"))
+        members = materialise(left.join(open_, ["token", "part"]))
     # What pivots left open is compared pair by pair, each pair at the first shingle that both share, if they share enough.
     own = posts.where("many").groupBy("cls").agg(F.collect_list("token").alias("own"), F.first("level").alias("level")).where(F.size("own") <= CARRIED)
     members = members.join(own, "cls", "left")
-    x, y = members.alias("x"), members.alias("y")
+    # With f the part of a set that is not rare, an overlap of t of the union needs 1 / f + 1 / f' <= (1 + t) / t:
+    # of two sets that link, one at least is nearly all in large buckets, and only such sets look for partners.
+    pure = F.expr(f"(n - rare) * {100 + percent} >= 2 * n * {percent}")
+    x, y = members.where(pure).drop("part").select("*", _every_part().alias("part")).alias("x"), members.withColumn("pure", pure).alias("y")
     shared = F.array_intersect("x.own", "y.own")
     once = (F.array_min(shared) == F.col("x.token")) & (F.size(shared) >= F.least("x.level", "y.level"))
     once = F.when(F.col("x.own").isNull() | F.col("y.own").isNull(), F.lit(True)).otherwise(once)
-    open_pair = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & _possible("x.", "y.", percent)
-    rest = x.join(y, F.col("x.token") == F.col("y.token")).where(open_pair & once)
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    open_pair = (~F.col("y.pure") | (F.col("x.cls") < F.col("y.cls"))) & (F.col("x.comp") != F.col("y.comp")) & _possible("x.", "y.", percent)
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part"))).where(open_pair & once)
+    rest = rest.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return joined(materialise(_verify(rest, sets, percent)))
 
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, text) to doc_id, text_hash, n, root, component_id; root: a class of the component, null for empty sets."""
-    n_shards = shard_count(docs)
     narrow = written(describe_sets(docs, width), "sets")
+    n_shards = shard_count(docs, 8 * (narrow.agg(F.sum("n")).first()[0] or 0))
     full = narrow.where("n > 0")
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     shared = shared_counts(docs, width, percent, n_shards)
@@ -393,19 +410,38 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = THRES
 
 
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
-    """`docs` (all columns) with one row of each component: of the smallest id, null last, then of the smallest text hash.
+    """`docs` (all columns, whatever their names) with one row of each component: of the smallest id, null last, then of the smallest text hash.
 
-    Rows without words all stay.  Of rows equal in id and text one stays.
+    Rows without words, null texts among them, all stay.  Of rows equal in id
+    and text one stays.  An empty table gives no rows.
+
+    Only rows that a bit map of what goes calls for are shuffled with their
+    texts; all others stay where they are.
     """
     labelled = _labelled(_plain(docs, id_col, text_col), width, percent).where("n > 0")
-    keyed = labelled.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    stays = keyed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "copies")).alias("s"))
-    stays = materialise(stays.select(F.col("s.doc_id").alias("_stay_id"), F.col("s.text_hash").alias("_stay_hash"), F.col("s.copies").alias("_copies")))
-    this_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    wordless = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    same = this_id.eqNullSafe(F.col("_stay_id")) & (F.xxhash64(text) == F.col("_stay_hash"))
-    out = docs.where(wordless).unionByName(docs.where(~wordless).join(stays.where("_copies = 1"), same, "left_semi"))
-    repeated = stays.where("_copies > 1")
+    keyed = materialise(labelled.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies")))
+    first = keyed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("s"))
+    stays = first.select(F.col("s.doc_id").alias("i"), F.col("s.text_hash").alias("h"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))
+    goes = materialise(keyed.join(stays, same, "left_anti").select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
+    repeated = materialise(keyed.where("copies > 1").join(stays, same, "left_semi").select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
+    key = lambda i, h: F.xxhash64(F.coalesce(i, F.lit(0)), h)
+    words, bits = _passing(goes.unionByName(repeated).select(key(F.col("i"), F.col("h")).alias("h")))
+    told = docs.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def called(h: pd.Series) -> pd.Series:
+        place = h.to_numpy() % bits
+        return pd.Series((told.value[place >> 6] >> (place & 63)) & 1 == 1)
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"))
+    rows = rows.withColumn("called", called(key(F.col("doc_id"), F.col("text_hash"))))
+    asked = rows.where("called").join(goes, same, "left_anti")
+    out = rows.where("not called").select("row")
     if repeated.isEmpty():
-        return out
-    return out.unionByName(docs.where(~wordless).join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+        out = out.unionByName(asked.select("row"))
+    else:
+        once = asked.join(repeated, same, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+        out = out.unionByName(asked.join(repeated, same, "left_anti").select("row")).unionByName(once.select("row"))
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -16,8 +16,13 @@ from pyspark.sql import DataFrame
 REPLY_SCHEMA = "chunk long, shard int, totals binary"
 
 
-def shard_count(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: A shard is concatenated and sorted in one task, which takes a few times this many bytes.
+SHARD_BYTES = 64 << 20
+
+
+def shard_count(df: DataFrame, n_bytes: int) -> int:
+    """Shards for so many bytes of keys: SHARD_BYTES each at most, and no fewer than the session has shuffle partitions."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
 
 
 def bounds(n: int) -> np.ndarray:

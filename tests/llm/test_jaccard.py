@@ -63,6 +63,27 @@ def test_keeping_with_repeated_and_null_ids(spark):
     assert kept == sorted([("1", "a b c d e f"), ("1", "q r s t u v"), ("None", "k l m n o p"), ("None", "g h i j k l"), ("None", ""), ("None", "")])
 
 
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "x y"), (3, "x y"), (4, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in ("_stay_id", "_stay_hash", "_copies", "row", "called", "text_hash", "i", "h", "a.b")})
+    kept = jaccard.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r["_stay_id"], r["a.b"]) for r in kept.collect()) == [(i, "_stay_id", "a.b") for i in (1, 3, 4)]
+
+
+def test_large_buckets_in_parts_and_pairs_that_pivots_leave(spark, monkeypatch):
+    """Documents made of common passages: some link, most do not, and every bucket is large."""
+    monkeypatch.setattr(jaccard, "PART", 5)
+    rng = np.random.default_rng(12)
+    passages = [prose(rng, 40, 9000) for _ in range(5)]
+    texts = []
+    for _ in range(90):
+        some = rng.choice(5, int(rng.integers(1, 4)), replace=False)
+        texts.append(" ".join([passages[i] for i in some] + [prose(rng, int(rng.integers(1, 14)), 9000)]))
+    rows = list(enumerate(texts))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components(rows))
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     got = {r.node: r.root for r in jaccard.connected(spark.createDataFrame(links, "a long, b long")).collect()}
