@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from paperloom.llm import decontaminate, queries, sql
@@ -56,3 +57,26 @@ def test_run_and_registry(spark):
     out = P.run(spark, SF)
     assert out.count() > 50 and "taken" in out.columns
     assert set(sql.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    none = spark.createDataFrame([], schema)
+    odd = spark.createDataFrame([(1, "plain words of a text here", None, None, None), (1, "plain words of a text here", None, None, None), (None, "other words that nobody else has", None, "s", 1), (3, None, None, "s", 1), (4, "", None, None, 1)], schema)
+    odd = odd.withColumns({"_text": F.lit("t"), "row": F.lit("r"), "_edge": F.lit("e"), "score": F.lit(1), "h": F.lit(2)})
+    want = {"toxicity": [None, 1, 1, 3, 4], "language": [None, 1, 1], "near_duplicates": [None, 1, 3, 4], "decontamination": [None, 1, 1, 3, 4], "mixing": [None, 1, 1]}
+    for name, stage in P.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns[: len(odd.columns)] == odd.columns
+        assert sorted((r.doc_id for r in out.collect()), key=lambda i: (i is not None, i)) == want[name], name
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
