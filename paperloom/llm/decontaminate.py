@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: Errors allowed for each character of an item; items shorter than MIN_CHARS after folding allow none and must begin and end with words.
 ERROR_RATE, MIN_CHARS = 0.09, 32
 #: From here on scripts are written without spaces, and any place may begin a word.
@@ -170,7 +172,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        part = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, item_id long, distance int, start long, end long")
+        part = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), "doc_id long, item_id long, distance int, start long, end long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -190,5 +192,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float
             for batch in batches:
                 yield batch.filter(pa.array([not (text and found.find(text)) for text in batch.column(place).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

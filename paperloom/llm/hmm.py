@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .shards import bounds, in_key_order, shard_count
-from .shared import written
+from .shared import lean, written
 
 STATES, WORDS, SHAPES = 8, 4096, 2048
 #: Natural logarithm units a token.
@@ -101,7 +101,7 @@ def _code(docs: DataFrame) -> DataFrame:
         if parts:
             yield close(no, parts)
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "held_out").mapInArrow(lean(run), schema)
 
 
 def _totals(chunks: DataFrame, n_shards: int, heavy: int) -> DataFrame:
@@ -144,7 +144,7 @@ def _totals(chunks: DataFrame, n_shards: int, heavy: int) -> DataFrame:
         stats = [pa.array([first, *blank], schema.field(i).type) for i, first in zip((3, 4, 5), (by_shape[0].tolist(), by_shape[1].tolist(), top))]
         return pa.table([*columns, *stats], schema=schema)
 
-    pieces = chunks.select("chunk", "keys", "weights", "shapes").mapInArrow(split, "shard int, chunk long, keys binary, weights binary, shapes binary")
+    pieces = chunks.select("chunk", "keys", "weights", "shapes").mapInArrow(lean(split), "shard int, chunk long, keys binary, weights binary, shapes binary")
     return pieces.groupBy("shard").applyInArrow(count, "chunk long, shard int, totals binary, shape_keys array<long>, shape_weight array<long>, top array<struct<key:long,weight:long,shape:int>>")
 
 
@@ -354,7 +354,7 @@ def _round(coded: DataFrame, classes: Classes, model: Model) -> tuple[Model, flo
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(table[some, j]) for j in range(k)]], names=["row", *[f"s{j}" for j in range(k)]])
 
     fields = [f"s{j}" for j in range(k)]
-    counts = coded.select("held", "sizes", "classes").mapInArrow(run, "row long, " + ", ".join(f"{f} double" for f in fields))
+    counts = coded.select("held", "sizes", "classes").mapInArrow(lean(run), "row long, " + ", ".join(f"{f} double" for f in fields))
     table = np.zeros((n + k + 2, k))
     for r in counts.groupBy("row").agg(*[F.sum(f).alias(f) for f in fields]).collect():
         table[r["row"]] = [r[f] for f in fields]
@@ -400,4 +400,4 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, n_words: int =
                 columns = [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(len(sizes), train_tokens, np.int64)), pa.array(np.frombuffer(row["base"], np.float64)), pa.array(path + np.frombuffer(row["rest"], np.float64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return coded.mapInArrow(lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

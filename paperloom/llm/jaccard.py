@@ -26,14 +26,13 @@ Shingles and sets are identified by 64-bit fingerprints.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .shards import count_and_reply, in_key_order, shard_count
-from .shared import materialise, written
+from .shared import lean, materialise, written
 
 WIDTH, THRESHOLD = 5, 75
 #: Buckets up to this size compare all members; larger ones go through pivots.
@@ -87,7 +86,7 @@ def describe_sets(docs: DataFrame, width: int) -> DataFrame:
                     cls.append(_class_of(s))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "text_hash", "n", "cls"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, cls long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(run), "doc_id long, text_hash long, n long, cls long")
 
 
 def shared_counts(docs: DataFrame, width: int, percent: int, n_shards: int) -> DataFrame:
@@ -136,7 +135,7 @@ def shared_counts(docs: DataFrame, width: int, percent: int, n_shards: int) -> D
         found, count = np.unique(cls[fresh & several[token_no]], return_counts=True)
         return pa.table({"cls": pa.array(found), "shared": pa.array(count.astype(np.int64))})
 
-    posted = docs.select("text").mapInArrow(post, "shard int, tokens binary, classes binary, runs binary")
+    posted = docs.select("text").mapInArrow(lean(post), "shard int, tokens binary, classes binary, runs binary")
     return posted.groupBy("shard").applyInArrow(meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
@@ -172,7 +171,7 @@ def live_sets(docs: DataFrame, live: DataFrame, width: int, n_shards: int) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "text_hash", "cls", "shingles"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), h(F.col("doc_id"), F.xxhash64("text")).alias("h"))
-    found = rows.mapInArrow(run, "doc_id long, text_hash long, cls long, shingles binary").repartition(n_shards, "cls")
+    found = rows.mapInArrow(lean(run), "doc_id long, text_hash long, cls long, shingles binary").repartition(n_shards, "cls")
     same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))
     return found.join(live, "cls").where(same).select("cls", "shingles").dropDuplicates(["cls"])
 
@@ -200,7 +199,7 @@ def _chunk_sets(sets: DataFrame) -> DataFrame:
         if held:
             yield close()
 
-    return sets.select("cls", "shingles").mapInArrow(run, "chunk long, classes binary, sizes binary, values binary")
+    return sets.select("cls", "shingles").mapInArrow(lean(run), "chunk long, classes binary, sizes binary, values binary")
 
 
 def _level(df: np.ndarray, n: int, percent: int) -> tuple[int, int]:
@@ -262,7 +261,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _laid(df: DataFrame, rows: int) -> DataFrame:
@@ -429,10 +428,10 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = THRESHO
     words, bits = _passing(goes.unionByName(repeated).select(key(F.col("i"), F.col("h")).alias("h")))
     told = docs.sparkSession.sparkContext.broadcast(words)
 
-    @F.pandas_udf("boolean")
-    def called(h: pd.Series) -> pd.Series:
-        place = h.to_numpy() % bits
-        return pd.Series((told.value[place >> 6] >> (place & 63)) & 1 == 1)
+    @F.arrow_udf("boolean")
+    def called(h: pa.Array) -> pa.Array:
+        place = np.asarray(h) % bits
+        return pa.array((told.value[place >> 6] >> (place & 63)) & 1 == 1)
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"))

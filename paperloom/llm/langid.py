@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import lean
 
 HIDDEN, EMBED = 8, 12
 SEGMENT, WARM, GROUP, TOLERANCE = 512, 64, 2048, 1e-2
@@ -280,7 +281,7 @@ def train(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, w
             if xs:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in xs]), pa.array([x[1] for x in xs], pa.binary())], names=["lang", "window"])
 
-    drawn = rows.where(share < rate).select("text", "lang").mapInArrow(cut, "lang string, window binary")
+    drawn = rows.where(share < rate).select("text", "lang").mapInArrow(lean(cut), "lang string, window binary")
     # Copies may exceed the expected number: the bound per language is kept by hash order.
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window"))
     sample = sorted((r["lang"], bytes(r["window"])) for r in drawn.withColumn("place", place).where(F.col("place") <= 2 * per_language * windows).select("lang", "window").collect())
@@ -325,7 +326,7 @@ def identify(docs: DataFrame, network: Network, id_col="doc_id", text_col="text"
                     label, score = np.full(len(known), UNDETERMINED, dtype=object), np.zeros(len(known))
                 yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(label, pa.string()), pa.array(score.astype(np.float64))], names=["doc_id", *names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def drop_undetermined(docs: DataFrame, network: Network, certain: float = 0.5, text_col="text") -> DataFrame:
@@ -346,7 +347,7 @@ def drop_undetermined(docs: DataFrame, network: Network, certain: float = 0.5, t
                 best = pooled(batch.column(place), net).max(axis=1) if net.languages else np.ones(batch.num_rows)
                 yield batch.filter(pa.array(best >= certain))
 
-    return letters.mapInArrow(run, docs.schema)
+    return letters.mapInArrow(lean(run), docs.schema)
 
 
 def in_fold(id_col: Column, modulus: int, remainder: int) -> Column:

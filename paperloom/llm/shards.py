@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import lean
+
 REPLY_SCHEMA = "chunk long, shard int, totals binary"
 
 
@@ -74,7 +76,7 @@ def count_and_reply(chunks: DataFrame, n_shards: int) -> DataFrame:
             }
         )
 
-    pieces = chunks.select("chunk", "values").mapInArrow(split, "shard int, chunk long, keys binary, weights binary")
+    pieces = chunks.select("chunk", "values").mapInArrow(lean(split), "shard int, chunk long, keys binary, weights binary")
     return pieces.groupBy("shard").applyInArrow(count, REPLY_SCHEMA)
 
 

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean, materialise
+
 POSITIVES, NEGATIVES = 4000, 8000
 SHORTEST, LONGEST, PER_DOC = 3, 32, 6
 SUPPORT, RATIO, SIGNIFICANT = 3, 6.0, 25.0
@@ -173,7 +175,7 @@ def _counted(sample: DataFrame) -> DataFrame:
         columns = zip(*sums.values()) if sums else [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["term", "docs", "occ", "against"])
 
-    counted = sample.select("text", "toxic").mapInArrow(run, "term string, docs long, occ long, against long")
+    counted = sample.select("text", "toxic").mapInArrow(lean(run), "term string, docs long, occ long, against long")
     return counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "occ", "against")])
 
 
@@ -228,8 +230,6 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     drawn = known.where(draw < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]))
     # About positives + negatives rows of two numbers, whatever the size of the corpus.
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    from .shared import materialise
-
     sample = materialise(sample.select("text", "toxic"))
     words = {r["toxic"]: (r["n"], r["w"]) for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", " "))).alias("w")).collect()}
     seeds = {fold(t).strip(): 4.0 for t in SEED_TERMS}
@@ -254,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
             got = [lex.features(t, a) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([float(g[0]) for g in got]), pa.array([g[2] for g in got], pa.int64())], names=["toxic", "total", "words"])
 
-    table = np.array([[r["toxic"], r["total"], r["words"]] for r in sample.mapInArrow(measure, "toxic int, total double, words long").collect()], dtype=float)
+    table = np.array([[r["toxic"], r["total"], r["words"]] for r in sample.mapInArrow(lean(measure), "toxic int, total double, words long").collect()], dtype=float)
     y, x = table[:, 0], np.stack([np.ones(len(table)), np.log1p(table[:, 1]), np.log1p(table[:, 2])], axis=1)
     weight = np.where(y == 1, 1 / rates[1], 1 / rates[0])
     lexicon.coefficients = tuple(_logistic(x, y, weight * len(weight) / weight.sum()).tolist())
@@ -285,7 +285,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, words: dict) -> list[str]:
         rows = list(sums.items())
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c[0] for _, c in rows], pa.int64()), pa.array([c[1] for _, c in rows], pa.int64())], names=["phrase", "clean", "toxic"])
 
-    counted = sample.mapInArrow(run, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = sample.mapInArrow(lean(run), "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = words[1][0] / max(1, words[0][0])
     harmless = counted.where((F.col("clean") >= 3) & (F.col("toxic") <= F.col("clean") * share)).collect()
     return sorted(r["phrase"] for r in harmless)
@@ -306,7 +306,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_c
             got = (lex.features(t or "", a) for t in batch.column(place).to_pylist())
             yield batch.filter(pa.array([lex.score(g[0], g[2]) < threshold for g in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col="doc_id", text_col="text", keep: list[str] | None = None) -> DataFrame:
@@ -329,4 +329,4 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col="doc_id", text_col="text", k
             scores = [lex.score(g[0], g[2]) for g in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], names=["doc_id", *names, "score", "n_matches", "n_words"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
