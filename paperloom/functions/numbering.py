@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sheets import column_label
@@ -42,22 +42,19 @@ def list_markers(items: DataFrame, key: list[str], order: list[str], level: str,
 
     `spec`: (label, format, start) for each level; `%N` in a label stands for
     level N's number.  A level that starts takes its start value (1 at least)
-    and resets the deeper ones.  Each list is folded in one ordered array, so a
-    list must fit a task; lists never meet in a shuffle otherwise.
+    and resets the deeper ones.  A level's number is how often it occurred
+    since a higher one did: running sums over one sort by list and place.
     """
     spec = spec[:LEVELS]
     n = len(spec)
-    starts = F.array(*[F.lit(max(s, 1)) for _, _, s in spec])
-    packed = items.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, F.least(F.col(level), F.lit(n - 1)).alias("_level"), F.struct(*[c for c in items.columns if c not in key]).alias("_row")))).alias("_items"))
-    zero = F.struct(F.array_repeat(F.lit(0), n).alias("n"), F.array().cast("array<array<int>>").alias("out"))
-
-    def step(acc: Column, item: Column) -> Column:
-        at = item["_level"].cast("int")
-        counters = F.transform(acc["n"], lambda v, i: F.when(i > at, F.lit(0)).when(i < at, v).otherwise(F.when(v == 0, F.element_at(starts, at + 1)).otherwise(v + 1)))
-        return F.struct(counters.alias("n"), F.concat(acc["out"], F.array(counters)).alias("out"))
-
-    folded = packed.withColumn("_counts", F.aggregate("_items", zero, step)["out"])
-    rows = folded.select(*key, F.explode(F.arrays_zip("_items", "_counts")).alias("_z")).select(*key, "_z._items._row.*", F.col("_z._items._level").alias("_level"), F.col("_z._counts").alias("_counts"))
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.least(F.col(level), F.lit(n - 1)).cast("int")
+    seen = items.withColumn("_level", at)
+    seen = seen.withColumns({f"_n{i}": F.count_if(F.col("_level") == i).over(w) for i in range(n)})
+    # Sums only grow, so the sum at the last reset is the largest one at any reset.
+    since = [F.col(f"_n{i}") - F.coalesce(F.max(F.when(F.col("_level") < i, F.col(f"_n{i}"))).over(w), F.lit(0)) for i in range(n)]
+    counts = F.array(*[F.when(c > 0, c + max(start, 1) - 1).otherwise(0).cast("int") for c, (_, _, start) in zip(since, spec)])
+    rows = seen.withColumn("_counts", counts).drop(*[f"_n{i}" for i in range(n)])
     marker = F.lit(None).cast("string")
     for i, (label, _, _) in enumerate(spec):
         text = F.lit(label)

@@ -91,17 +91,22 @@ def render_window(rows: Column, cols: Column, limit_rows: int = 10_000, limit_co
     return F.struct(F.greatest(F.lit(1), F.least(rows, F.lit(limit_rows))).alias("rows"), F.greatest(F.lit(1), F.least(cols, F.lit(limit_cols))).alias("cols"))
 
 
+#: Rows of one band.
+_BAND = 64
+
+
 def merge_cover(cells: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("file_id", "sheet_ix")) -> DataFrame:
     """`cells` with row_span, col_span, is_covered from merged `ranges` (keys, r0, c0, r1, c1, inclusive).
 
-    A range whose first cell is absent is dropped.  The ranges are exploded to
-    positions and joined by equality, never as a range join.
+    A range whose first cell is absent is dropped.  Ranges meet the cells that
+    are present by bands of rows, so a merged column costs no row per position.
     """
-    at = F.explode(F.flatten(F.transform(F.sequence("r0", "r1"), lambda r: F.transform(F.sequence("c0", "c1"), lambda c: F.struct(r.alias("row_ix"), c.alias("col_ix"))))))
     spans = ranges.select(*keys, F.col("r0").alias("row_ix"), F.col("c0").alias("col_ix"), (F.col("r1") - F.col("r0") + 1).alias("_rs"), (F.col("c1") - F.col("c0") + 1).alias("_cs"), "r1", "c1")
     anchored = spans.join(cells.select(*keys, "row_ix", "col_ix"), [*keys, "row_ix", "col_ix"], "left_semi")
-    covered = anchored.select(*keys, F.col("row_ix").alias("r0"), F.col("col_ix").alias("c0"), "r1", "c1").select(*keys, "r0", "c0", at.alias("p"))
-    covered = covered.where((F.col("p.row_ix") != F.col("r0")) | (F.col("p.col_ix") != F.col("c0"))).select(*keys, "p.row_ix", "p.col_ix").distinct().withColumn("_covered", F.lit(True))
+    band = lambda c: F.floor(F.col(c) / _BAND)
+    wide = anchored.select(*keys, F.col("row_ix").alias("r0"), F.col("col_ix").alias("c0"), "r1", "c1", F.explode(F.sequence(band("row_ix"), band("r1"))).alias("_band"))
+    inside = F.col("row_ix").between(F.col("r0"), F.col("r1")) & F.col("col_ix").between(F.col("c0"), F.col("c1")) & ((F.col("row_ix") != F.col("r0")) | (F.col("col_ix") != F.col("c0")))
+    covered = cells.select(*keys, "row_ix", "col_ix", band("row_ix").alias("_band")).join(wide, [*keys, "_band"]).where(inside).select(*keys, "row_ix", "col_ix").distinct().withColumn("_covered", F.lit(True))
     out = cells.join(anchored.select(*keys, "row_ix", "col_ix", "_rs", "_cs"), [*keys, "row_ix", "col_ix"], "left").join(covered, [*keys, "row_ix", "col_ix"], "left")
     return out.select(*cells.columns, F.coalesce("_rs", F.lit(1)).alias("row_span"), F.coalesce("_cs", F.lit(1)).alias("col_span"), F.coalesce("_covered", F.lit(False)).alias("is_covered"))
 
@@ -142,9 +147,9 @@ def sort_sheet(rows: DataFrame, text: str, value_type: str, order: str, directio
     return keyed.orderBy("_blank", put("_kind"), put("_num"), put("_txt"), order).drop("_blank", "_kind", "_num", "_txt")
 
 
-def rectangle(cells: DataFrame, keys: tuple[str, ...] = ("file_id", "sheet_ix")) -> DataFrame:
-    """Every position of each sheet; absent cells have empty text."""
-    size = cells.groupBy(*keys).agg((F.max("row_ix")).alias("_r"), F.max("col_ix").alias("_c"))
+def rectangle(cells: DataFrame, keys: tuple[str, ...] = ("file_id", "sheet_ix"), limit: tuple[int, int] = (10_000, 500)) -> DataFrame:
+    """Every position of each sheet within `limit` rows and columns, the extent that is rendered; absent cells have empty text."""
+    size = cells.groupBy(*keys).agg(F.least(F.max("row_ix"), F.lit(limit[0] - 1)).alias("_r"), F.least(F.max("col_ix"), F.lit(limit[1] - 1)).alias("_c"))
     grid = size.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_r").cast("int"))).alias("row_ix"), "_c").select(*keys, "row_ix", F.explode(F.sequence(F.lit(0), F.col("_c").cast("int"))).alias("col_ix"))
     return grid.join(cells, [*keys, "row_ix", "col_ix"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 

@@ -41,6 +41,13 @@ def count_hits(text: Column, needle: Column | str) -> Column:
     return F.when(F.char_length(n) == 0, F.lit(0)).otherwise(hits).cast("long")
 
 
+def count_folded(folded: Column, needle: str) -> Column:
+    """As `count_hits`, in text that is folded already, of a needle that is."""
+    if not needle:
+        return F.lit(0).cast("long")
+    return ((F.char_length(folded) - F.char_length(F.replace(folded, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
+
+
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per line, line_no from 1; a final newline yields a last empty line."""
     return df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "line")).withColumn("line_no", (F.col("_pos") + 1).cast("long")).drop("_pos")

@@ -204,6 +204,8 @@ def xml_view(document) -> str:
         kind = row["element_type"]
         if kind == "pcdata":
             return row["text"]
+        if kind == "cdata":
+            return f"<![CDATA[{row['text']}]]>"
         if kind == "comment":
             return f"<!--{row['text']}-->"
         if kind == "processing_instruction":
@@ -217,7 +219,7 @@ def xml_view(document) -> str:
 
     def lines(row: dict, depth: int):
         kids = below.get(row["element_id"], ())
-        if row["element_type"] == "element" and kids and not any(k["element_type"] == "pcdata" for k in kids):
+        if row["element_type"] == "element" and kids and not any(k["element_type"] in ("pcdata", "cdata") for k in kids):
             yield "  " * depth + f"<{head(row)}>"
             for kid in kids:
                 yield from lines(kid, depth + 1)

@@ -13,12 +13,15 @@ def override(base: Column, top: Column, fields: list[str]) -> Column:
     return F.struct(*[F.coalesce(top[f], base[f]).alias(f) for f in fields])
 
 
-def resolve(styles: DataFrame, fields: list[str], max_depth: int = 32, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
+def resolve(styles: DataFrame, fields: list[str], max_depth: int | None = None, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """`styles` (keys, style_name, parent_name, fields) with every field resolved through the parents.
 
     Pointers double each round: a chain of depth d takes log2(d) joins on the
-    key, whatever its length; a cycle or a chain beyond `max_depth` ends there.
+    key, whatever its length; a cycle ends where it closes.  Without `max_depth`
+    the rounds cover as many styles as one document has, so no chain is cut.
     """
+    if max_depth is None:
+        max_depth = styles.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
     out = styles.withColumn("_next", F.col("parent_name"))
     depth = 1
     while depth < max_depth:

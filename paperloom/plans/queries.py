@@ -53,15 +53,25 @@ def per_row(df: DataFrame, make: Callable[..., bytes], *columns: str, key: str)
     return rows.mapInArrow(run, "file_id long, content binary")
 
 
-def whole_table(df: DataFrame, order: str, make: Callable[[list], bytes], file_id: int = 0) -> DataFrame:
-    """One file made of a small dimension table (at most a few thousand rows by its definition)."""
+#: Rows of one file that `as_files` makes.
+FILE_ROWS = 5000
+
+
+def as_files(df: DataFrame, order: str, make: Callable[[list], bytes], table_no: int = 0) -> DataFrame:
+    """Files made of ranges of FILE_ROWS keys each, with the column names as first row; the file's id is table_no * 2**40 and the range's number."""
     columns = df.columns
 
     def pack(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*(t.column(c).to_pylist() for c in columns)), key=lambda r: r[columns.index(order)])
-        return pa.table({"file_id": pa.array([file_id], pa.int64()), "content": pa.array([make([columns, *rows])], pa.binary())})
+        return pa.table({"file_id": t.column("_file").slice(0, 1), "content": pa.array([make([columns, *rows])], pa.binary())})
+
+    part = F.lit(table_no << 40) + F.floor(F.col(order) / FILE_ROWS)
+    return df.withColumn("_file", part.cast("long")).groupBy("_file").applyInArrow(pack, "file_id long, content binary")
+
 
-    return df.groupBy().applyInArrow(pack, "file_id long, content binary")
+def whole_table(df: DataFrame, order: str, make: Callable[[list], bytes]) -> DataFrame:
+    """One file made of a dimension whose size is fixed, as that of nations and regions is."""
+    return as_files(df.where(F.col(order) < FILE_ROWS), order, make)
 
 
 # Text
@@ -78,7 +88,8 @@ def text_line_list(spark, sf_dir):
 )
 def text_search_hits(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", text.count_hits(F.col("text"), "the").alias("hits_the"), text.count_hits(F.col("text"), "École").alias("hits_ecole"), text.count_hits(F.col("text"), "é ").alias("hits_space"))
+    folded = d.select("doc_id", text.fold(F.col("text")).alias("t"))
+    return folded.select("doc_id", *[text.count_folded(F.col("t"), n).alias(c) for n, c in (("the", "hits_the"), ("ecole", "hits_ecole"), ("e ", "hits_space"))])
 
 
 @query(
@@ -156,8 +167,8 @@ def column_labels(spark, sf_dir):
 
 @query(f"SELECT l_orderkey, l_linenumber, {_LABEL.format(n='(l_linenumber * 37)')} || (l_orderkey + 1)::VARCHAR AS ref, (l_linenumber * 37)::BIGINT AS col, l_orderkey::BIGINT AS row FROM lineitem")
 def cell_refs(spark, sf_dir):
-    ref = sheets.cell_ref(F.col("l_linenumber") * 37, F.col("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ref.alias("ref"), sheets.parse_ref(ref)["col"].alias("col"), sheets.parse_ref(ref)["row"].alias("row"))
+    refs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sheets.cell_ref(F.col("l_linenumber") * 37, F.col("l_orderkey")).alias("ref"))
+    return refs.withColumn("at", sheets.parse_ref(F.col("ref"))).select("l_orderkey", "l_linenumber", "ref", "at.col", "at.row")
 
 
 @query("SELECT p_partkey, (p_size % 5 >= 1 AND p_size % 7 >= 1 AND p_size % 5 < 3 AND p_size % 7 < 4) AS inside FROM part")
@@ -203,7 +214,7 @@ def csv_roundtrip_nation(spark, sf_dir):
 
 @query("SELECT 0::BIGINT AS col_ix, 'float' AS kind, (count(*))::BIGINT AS n, round(sum(s_suppkey)::DOUBLE, 2) AS total FROM supplier UNION ALL SELECT 1, 'string', count(*), NULL FROM supplier UNION ALL SELECT 2, 'float', count(*), round(sum(s_nationkey), 2) FROM supplier UNION ALL SELECT 3, 'float', count(*), round(sum(s_acctbal), 2) FROM supplier")
 def csv_value_types(spark, sf_dir):
-    cells = csvdoc.csv_cells(whole_table(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "s_suppkey", lambda rows: csvdoc.write(rows).encode()))
+    cells = csvdoc.csv_cells(as_files(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "s_suppkey", lambda rows: csvdoc.write(rows).encode()))
     body = cells.where("row_ix > 0").groupBy(F.col("col_ix").cast("long").alias("col_ix"))
     return body.agg(F.max("value_type").alias("kind"), F.count("*").alias("n"), F.round(F.sum("num"), 2).alias("total"))
 
@@ -246,18 +257,13 @@ def sheet_render_window(spark, sf_dir):
     "SELECT p_partkey, (row_number() OVER (ORDER BY v = '', CASE WHEN f THEN 0 ELSE 1 END, CASE WHEN f THEN p_retail END, CASE WHEN v <> '' AND NOT f THEN lower(v) END, p_partkey))::BIGINT AS place FROM (SELECT c.*, p.p_retailprice AS p_retail FROM c JOIN part p USING (p_partkey))"
 )
 def sheet_sort_numeric_text_blank(spark, sf_dir):
-    from pyspark.sql import Window
-
     p = table(spark, sf_dir, "part")
     shown = F.when(F.col("p_partkey") % 5 == 0, "").when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice").cast("string")).otherwise(F.col("p_name"))
     rows = p.select("p_partkey", shown.alias("v"), F.when((F.col("p_partkey") % 2 == 0) & (F.col("p_partkey") % 5 != 0), "float").otherwise("string").alias("kind"))
     ordered = sheets.sort_sheet(rows, "v", "kind", "p_partkey", 1)
-    # Place by a range-partitioned rank: partitions are numbered, and offsets come from their counts.
-    placed = ordered.select("p_partkey", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("at"))
-    local = placed.withColumn("k", F.row_number().over(Window.partitionBy("pid").orderBy("at")))
-    sizes = placed.groupBy("pid").agg(F.count("*").alias("n"))
-    before = sizes.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("off"))
-    return local.join(F.broadcast(before), "pid").select("p_partkey", (F.col("k") + F.col("off")).alias("place"))
+    # One execution numbers its own partitions, whatever their layout.
+    numbered = ordered.select("p_partkey").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1))
+    return spark.createDataFrame(numbered, "p_partkey long, place long")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS shared_text FROM orders")
@@ -266,7 +272,7 @@ def shared_string_lookup(spark, sf_dir):
     names = orders.select("o_orderpriority").distinct()
     strings = names.select(F.lit(0).alias("file_id"), F.md5(F.col("o_orderpriority").cast("binary")).alias("si"), F.col("o_orderpriority").alias("text"))
     cells = orders.select(F.lit(0).alias("file_id"), F.when(F.col("o_orderkey") % 11 != 0, F.md5(F.col("o_orderpriority").cast("binary"))).alias("si"), "o_orderkey")
-    return sheets.shared_strings(cells, F.broadcast(strings)).select("o_orderkey", "shared_text")
+    return sheets.shared_strings(cells, strings).select("o_orderkey", "shared_text")
 
 
 _GRID = "WITH c AS (SELECT p_partkey // 10 AS r, p_partkey % 10 AS c FROM part), m AS (SELECT r AS r0, c AS c0, r AS r1, c + 2 AS c1 FROM c WHERE c = 1 AND r % 3 = 0)"
@@ -344,12 +350,34 @@ def detect_types(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", detect.magic_type(content).alias("kind"))
 
 
-@query("SELECT page_id, ['txt'] AS file_types, 'text/plain' AS mimetype FROM pages")
-def mime_of(spark, sf_dir):
-    """Web pages are no XML: text, by content alone."""
+@query()
+def page_types(spark, sf_dir):
+    """Types of web pages by content alone, as detected; some read as delimited text, which SQL cannot tell."""
     made = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.encode("html", "UTF-8").alias("content"))
-    found = detect.detect(made)
-    return found.select(F.col("file_id").alias("page_id"), F.array_remove("file_types", "csv").alias("file_types"), F.lit("text/plain").alias("mimetype"))
+    return detect.detect(made).select(F.col("file_id").alias("page_id"), "file_types", "mimetype")
+
+
+_KINDS = "[['txt'], ['txt', 'json'], ['txt', 'xml'], ['txt', 'xml', 'svg'], ['txt', 'csv'], ['pdf'], []]"
+_MIMES = "['text/plain', 'application/json', 'application/xml', 'image/svg+xml', 'text/csv', 'application/pdf', NULL]"
+
+
+@query(f"SELECT page_id, ({_KINDS})[page_id % 7 + 1] AS file_types, ({_MIMES})[page_id % 7 + 1] AS mimetype, ({_MIMES})[page_id % 7 + 1] AS by_function FROM pages")
+def mime_of(spark, sf_dir):
+    """A page's address as plain text, JSON, XML, SVG, delimited text, a PDF head and a broken archive: all candidates and the media type."""
+    url = F.col("url")
+    xml = text.escape_xml(url)
+    forms = [
+        F.concat(F.lit("see "), url),
+        F.concat(F.lit('{"url": "'), url, F.lit('"}')),
+        F.concat(F.lit("<page>"), xml, F.lit("</page>")),
+        F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><text>'), xml, F.lit("</text></svg>")),
+        F.concat(F.lit("page,url\n"), F.col("page_id").cast("string"), F.lit(',"'), url, F.lit('"\n0,none\n')),
+        F.concat(F.lit("%PDF-1.4\n"), url),
+        F.concat(F.lit("PK\x03\x04"), url),
+    ]
+    made = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.encode(F.element_at(F.array(*forms), (F.col("page_id") % 7 + 1).cast("int")), "UTF-8").alias("content"))
+    by_function = made.select("file_id", detect.detect_mimetype(F.col("content")).alias("by_function"))
+    return detect.detect(made).join(by_function, "file_id").select(F.col("file_id").alias("page_id"), "file_types", "mimetype", "by_function")
 
 
 @query("SELECT doc_id, ['UTF-8', 'UTF-16LE', 'UTF-16BE', 'UTF-32LE', 'UTF-32BE', NULL][(doc_id % 6 + 1)::INTEGER] AS encoding FROM documents")
@@ -467,14 +495,14 @@ def pdf_line_groups(spark, sf_dir):
     return decode.group_lines(_segments(spark, sf_dir)).select("file_id", "seg_ix", "line_ix")
 
 
-@query()
+@query("SELECT n_nationkey, ['UTF-8', 'ISO-8859-1', 'windows-1252'][n_nationkey % 3 + 1] AS encoding FROM nation")
 def xml_declared_encoding(spark, sf_dir):
     names = F.array(F.lit("UTF-8"), F.lit("ISO-8859-1"), F.lit("windows-1252"))
     content = F.encode(F.concat(F.lit('<?xml version="1.0" encoding="'), F.element_at(names, (F.col("n_nationkey") % 3 + 1)), F.lit('"?><n>'), "n_name", F.lit("</n>")), "UTF-8")
     return table(spark, sf_dir, "nation").select("n_nationkey", text.declared_encoding(content).alias("encoding"))
 
 
-@query()
+@query("SELECT n_nationkey::BIGINT AS file_id, CASE WHEN n_nationkey % 2 = 0 THEN ['txt', 'xml', 'svg'] ELSE ['txt', 'xml'] END AS file_types, CASE WHEN n_nationkey % 2 = 0 THEN 'svg' ELSE 'xml' END AS file_type FROM nation")
 def svg_root(spark, sf_dir):
     made = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("file_id"), F.encode(F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.lit('<svg xmlns="http://www.w3.org/2000/svg"><text>')).otherwise(F.lit("<n><text>")), "n_name", F.lit("</text>"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("</svg>")).otherwise(F.lit("</n>"))), "UTF-8").alias("content"))
     return detect.detect(made).select("file_id", "file_types", "file_type")
@@ -512,14 +540,15 @@ def csv_numeric_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which columns of a corpus of delimited files are numeric, and their sums: the whole chain from bytes."""
     parts = []
     for i, (name, key, columns) in enumerate((("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]), ("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey"]))):
-        parts.append(whole_table(table(spark, sf_dir, name).select(*columns), key, lambda rows: csvdoc.write(rows, ";").encode("utf-16"), i))
+        parts.append(as_files(table(spark, sf_dir, name).select(*columns), key, lambda rows: csvdoc.write(rows, ";").encode("utf-16"), i))
     corpus = files.from_memory(parts[0].unionByName(parts[1]))
     cells = csvdoc.csv_cells(corpus).where("value_type = 'float'")
-    return cells.groupBy("file_id", F.col("col_ix").cast("long").alias("col_ix")).agg(F.count("*").alias("n"), F.sum("num").alias("total"))
+    of_table = F.shiftright("file_id", 40).alias("table_no")
+    return cells.groupBy(of_table, F.col("col_ix").cast("long").alias("col_ix")).agg(F.count("*").alias("n"), F.sum("num").alias("total"))
 
 
 QUERIES["csv_numeric_sums"] = csv_numeric_sums
 ORACLES["csv_numeric_sums"] = (
-    "SELECT 0::BIGINT AS file_id, 0::BIGINT AS col_ix, count(*)::BIGINT AS n, sum(n_nationkey)::DOUBLE AS total FROM nation UNION ALL SELECT 0, 2, count(*), sum(n_regionkey)::DOUBLE FROM nation "
+    "SELECT 0::BIGINT AS table_no, 0::BIGINT AS col_ix, count(*)::BIGINT AS n, sum(n_nationkey)::DOUBLE AS total FROM nation UNION ALL SELECT 0, 2, count(*), sum(n_regionkey)::DOUBLE FROM nation "
     "UNION ALL SELECT 1, 0, count(*), sum(s_suppkey)::DOUBLE FROM supplier UNION ALL SELECT 1, 2, count(*), sum(s_nationkey)::DOUBLE FROM supplier"
 )

@@ -39,13 +39,13 @@ class _Reader(DataSourceReader):
         """Filters on the path are applied to the listing; the others are left to Spark."""
         for f in filters:
             if type(f).__name__ == "EqualTo" and tuple(f.attribute) == ("file_path",):
-                self.options["only"] = f.value
+                self.options.setdefault("only", []).append(f.value)
             else:
                 yield f
 
     def partitions(self):
         root = self.options["path"].removeprefix("file://")
-        found = sorted(p for p in glob.glob(os.path.join(root, "**"), recursive=True) if os.path.isfile(p) and self.options.get("only", p) == p)
+        found = sorted(p for p in glob.glob(os.path.join(root, "**"), recursive=True) if os.path.isfile(p) and all(p == o for o in self.options.get("only", ())))
         limit, tasks, size = int(self.options.get("bytespertask", 64 << 20)), [[]], 0
         for path in found:
             size += os.path.getsize(path)
@@ -56,14 +56,15 @@ class _Reader(DataSourceReader):
         return [_Paths(t) for t in tasks]
 
     def read(self, partition):
-        import zlib
+        import xxhash
 
         table = self.options.get("table", "elements")
         names = [f.split()[0] for f in _TABLES[table].split(", ")]
         for path in partition.paths:
             with open(path, "rb") as file:
                 data = file.read()
-            file_id = zlib.crc32(path.encode())
+            # As the files table has it: xxhash64 of the path with the seed of the built-in function.
+            file_id = (xxhash.xxh64_intdigest(path.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
             try:
                 _, document = decode.open_document(data)
             except Exception:

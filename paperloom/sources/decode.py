@@ -1,6 +1,7 @@
 """Files to tables: elements, cells, sheets, styles, metadata, pages, segments. One pass each, no shuffle.
 
-A file that cannot be decoded yields a row with `error`, or no rows; it never fails the job.
+A file that cannot be decoded yields a row with `error`, or no rows; it never fails the job.  `errors` names every
+such file and the reason, whatever table was asked for.
 """
 
 from __future__ import annotations
@@ -82,11 +83,14 @@ class _Xml:
         held: list[str] = []
         parser = expat.ParserCreate("utf-8")
 
-        def flush() -> None:
+        def flush(kind: str = "pcdata") -> None:
             content = "".join(held)
             held.clear()
-            if content.strip():
-                self.tree.add(stack[-1], "pcdata", text=content)
+            if content.strip() or kind == "cdata":
+                self.tree.add(stack[-1], kind, text=content)
+
+        def refuse(*_) -> None:
+            raise Unsupported("entity declarations")
 
         def start(name, attrs) -> None:
             flush()
@@ -101,12 +105,12 @@ class _Xml:
             stack.pop()
 
         parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, held.append
+        parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = flush, lambda: flush("cdata")
+        parser.EntityDeclHandler = refuse
         parser.CommentHandler = lambda c: (flush(), self.tree.add(stack[-1], "comment", text=c))
         parser.ProcessingInstructionHandler = lambda t, d: (flush(), self.tree.add(stack[-1], "processing_instruction", name=t, text=d))
         parser.XmlDeclHandler = lambda v, e, s: self.tree.add(stack[-1], "declaration", attrs={"version": v, **({"encoding": e} if e else {})})
         parser.StartDoctypeDeclHandler = lambda n, s, p, h: self.tree.add(stack[-1], "doctype", name=n)
-        if "<!ENTITY" in text:
-            raise Unsupported("entity declarations")
         parser.Parse(text.encode("utf-8"), True)
 
 
@@ -201,6 +205,18 @@ def elements(files: DataFrame, options: Options = Options()) -> DataFrame:
     return _each(files, options, ELEMENTS, lambda i, _, d: d.tree.batches(i), failed)
 
 
+def errors(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """file_id, error of the files that no decoder reads: those without rows in `cells`, `sheets` and `styles`, and broken or locked PDF files.
+
+    A file beyond `max_file_bytes` is among them.
+    """
+
+    def failed(file_id, error):
+        return pa.RecordBatch.from_arrays([pa.array([file_id], pa.int64()), pa.array([f"{type(error).__name__}: {error}"], pa.string())], names=["file_id", "error"])
+
+    return _each(files, options, "file_id long, error string", lambda i, _, d: iter(()), failed)
+
+
 CELLS = "file_id long, sheet_ix int, row_ix int, col_ix int, ref string, text string, value_type string, num double, row_span int, col_span int, is_covered boolean"
 
 

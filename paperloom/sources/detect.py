@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
@@ -118,18 +119,22 @@ def xml_root(data: bytes, guessed: str | None = None) -> str | None:
         text = encoding.transcode(data, encoding.declared(data) or guessed or encoding.guess(data))
     except encoding.Undecodable:
         return None
-    if "<!ENTITY" in text:
-        return None
+    names: list[str] = []
+
+    def refuse(*_):
+        raise ValueError("entity declarations")
+
+    parser = expat.ParserCreate("utf-8", namespace_separator="}")
+    parser.StartElementHandler = lambda name, _: names or names.append(name)
+    parser.EntityDeclHandler = refuse
+    body = text.lstrip("\ufeff")
+    if body.startswith("<?xml"):
+        body = body[body.find("?>") + 2 :]
     try:
-        parser = ElementTree.XMLPullParser(events=("start",))
-        body = text.lstrip("﻿")
-        if body.startswith("<?xml"):
-            body = body[body.find("?>") + 2 :]
-        parser.feed(body)
-        parser.close()
-        return next(parser.read_events())[1].tag
-    except (ElementTree.ParseError, StopIteration, ValueError):
+        parser.Parse(body.encode("utf-8"), True)
+    except (expat.ExpatError, ValueError):
         return None
+    return names[0] if names else None
 
 
 ODF_KINDS = {"text": "odt", "presentation": "odp", "spreadsheet": "ods", "graphics": "odg"}
@@ -231,7 +236,9 @@ def encryption_state(data: bytes, types: list[str]) -> str:
     if any(t in types for t in ODF_KINDS.values()):
         return "encrypted" if odf_encrypted(zipfile.ZipFile(io.BytesIO(data))) else "not_encrypted"
     if "pdf" in types:
-        return "encrypted" if b"/Encrypt" in data[-4096:] else "not_encrypted"
+        from . import pdf
+
+        return "encrypted" if b"/Encrypt" in data and "Encrypt" in pdf.File(data).trailer else "not_encrypted"
     return "not_encrypted" if types else "unknown"
 
 

@@ -33,7 +33,7 @@ def bom(data: bytes) -> str | None:
 
 
 def guess(data: bytes) -> str | None:
-    """A mark decides; else valid UTF-8; else the statistical guess of charset_normalizer if there is one, else windows-1252.
+    """A mark decides; else valid UTF-8; else windows-1252, which reads any bytes.
 
     Only the first 64 KiB count.  A null byte without a mark is no text: null.
     """
@@ -49,15 +49,6 @@ def guess(data: bytes) -> str | None:
         pass
     if b"\x00" in head:
         return None
-    try:
-        from charset_normalizer import from_bytes
-
-        best = from_bytes(head).best()
-        found = encoding_by_name(best.encoding) if best else None
-        if found:
-            return found
-    except ImportError:
-        pass
     return "windows-1252"
 
 

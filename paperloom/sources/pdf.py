@@ -219,13 +219,28 @@ def predict(data: bytes, spec: dict) -> bytes:
 _SHORT = {"Fl": "FlateDecode", "LZW": "LZWDecode", "AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "RL": "RunLengthDecode", "DCT": "DCTDecode", "CCF": "CCITTFaxDecode"}
 
 
+def _damaged(data: bytes) -> bytes:
+    """What a broken stream yields up to its first error; without its header if that is at fault."""
+    for bits in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
+        inflate, out = zlib.decompressobj(bits), []
+        try:
+            for at in range(0, len(data), 256):
+                out.append(inflate.decompress(data[at : at + 256]))
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+        data = data[2:]
+    return b""
+
+
 def apply_filter(name: str, data: bytes, spec: dict) -> bytes:
     name = _SHORT.get(name, name)
     if name == "FlateDecode":
         try:
             data = zlib.decompress(data)
         except zlib.error:
-            data = zlib.decompressobj().decompress(data, 1 << 28) if data else b""
+            data = _damaged(data)
         return predict(data, spec)
     if name == "LZWDecode":
         return predict(lzw(data, spec.get("EarlyChange", 1)), spec)
@@ -774,7 +789,7 @@ class Page:
                 elif op == "Do":
                     ref = (file.get(resources.get("XObject")) or {}).get(a[0])
                     form = file.get(ref)
-                    if isinstance(form, Stream) and file.get(form.head.get("Subtype")) == "Form" and ref not in forms and len(forms) < 16:
+                    if isinstance(form, Stream) and file.get(form.head.get("Subtype")) == "Form" and ref not in forms:  # no form paints itself
                         own = tuple(float(file.get(v)) for v in file.get(form.head.get("Matrix")) or _UNIT)
                         self._run(file.decode(form), file.get(form.head.get("Resources")) or resources, _times(own, state["ctm"]), (*forms, ref))
                 elif op == "ID":
