@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import struct
 import zlib
 
 from ..sources.containers import write_zip
@@ -104,3 +105,135 @@ def pdf(text: str, lines_per_page: int = 60) -> bytes:
     start = len(out)
     out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % o for o in offsets)
     return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, start))
+
+
+def record(kind: int, body: bytes) -> bytes:
+    """A record of a legacy workbook."""
+    return struct.pack("<HH", kind, len(body)) + body
+
+
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file of 512-byte sectors; streams are padded beyond the cutoff."""
+    sectors, entries = [], []
+    for name, data in streams.items():
+        data = data.ljust(4096, b"\0")
+        entries.append((name, len(sectors), len(data)))
+        sectors += [data[i : i + 512].ljust(512, b"\0") for i in range(0, len(data), 512)]
+    fat = []
+    for _, start, size in entries:
+        n = -(-size // 512)
+        fat += [start + i + 1 for i in range(n - 1)] + [0xFFFFFFFE]
+    directory = len(sectors)
+    cell = lambda name, kind, left, right, child, start, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBBIII", len(name) * 2 + 2, kind, 1, left, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size)
+    none = 0xFFFFFFFF
+    rows = [cell("Root Entry", 5, none, none, 1, 0xFFFFFFFE, 0)]
+    for i, (name, start, size) in enumerate(entries):
+        rows.append(cell(name, 2, none, i + 2 if i + 1 < len(entries) else none, none, start, size))
+    block = b"".join(rows)
+    block = block.ljust(-(-len(block) // 512) * 512, b"\0")
+    for i in range(0, len(block), 512):
+        fat.append(directory + i // 512 + 1 if i + 512 < len(block) else 0xFFFFFFFE)
+        sectors.append(block[i : i + 512])
+    fat.append(0xFFFFFFFD)
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIIII", 1, directory, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0, len(sectors))
+    return head.ljust(512, b"\xff") + b"".join(sectors) + struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff")
+
+
+def sfnt() -> bytes:
+    """A font of three glyphs, two of which stand for A and B."""
+    tables = {
+        b"cmap": struct.pack(">HH", 0, 1) + struct.pack(">HHI", 3, 1, 12) + struct.pack(">HHHHHHH", 4, 32, 0, 4, 4, 1, 0) + struct.pack(">HH", 66, 0xFFFF) + struct.pack(">H", 0) + struct.pack(">HH", 65, 0xFFFF) + struct.pack(">hh", -64, 1) + struct.pack(">HH", 0, 0),
+        b"head": b"\0" * 18 + struct.pack(">H", 2048) + b"\0" * 16 + struct.pack(">hhhh", 0, -10, 100, 200) + b"\0" * 10,
+        b"hhea": struct.pack(">Ihh", 0, 800, -200) + b"\0" * 26 + struct.pack(">H", 2),
+        b"hmtx": struct.pack(">HhHh", 500, 0, 600, 0),
+        b"maxp": struct.pack(">IH", 0x10000, 3),
+        b"name": struct.pack(">HHH", 0, 1, 18) + struct.pack(">HHHHHH", 3, 1, 0, 6, 4, 0) + "Ab".encode("utf-16-be"),
+    }
+    at, head, body = 12 + 16 * len(tables), b"", b""
+    for tag, data in tables.items():
+        head += struct.pack(">4sIII", tag, 0, at + len(body), len(data))
+        body += data
+    return b"\x00\x01\x00\x00" + struct.pack(">HHHH", len(tables), 0, 0, 0) + head + body
+
+
+def legacy_text(lines: list[str]) -> bytes:
+    """A word processor's compound file: paragraphs of one byte a character."""
+    body, at = "".join(f"{line}\r" for line in lines).encode("cp1252", "replace"), 0x400
+    main = bytearray(at + len(body) + 10)
+    struct.pack_into("<H", main, 0, 0xA5EC)
+    struct.pack_into("<I", main, 0x4C, len(body))
+    main[at : at + len(body)] = body
+    pieces = struct.pack("<II", 0, len(body)) + struct.pack("<HIH", 0, at * 2 | 0x40000000, 0)
+    clx = b"\x02" + struct.pack("<I", len(pieces)) + pieces
+    struct.pack_into("<II", main, 0x1A2, 0, len(clx))
+    return compound({"WordDocument": bytes(main), "0Table": clx})
+
+
+def legacy_sheet(name: str, number: float, whole: int) -> bytes:
+    """A workbook of one sheet: a shared string in A1, a number in B1, a packed whole number in A2."""
+    start, sheet = record(0x809, b"\0" * 16), b"S1"
+    shared = record(0xFC, struct.pack("<IIHB", 1, 1, len(name), 0) + name.encode("latin-1", "replace"))
+    cells = record(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)) + record(0x203, struct.pack("<HHHd", 0, 1, 0, number)) + record(0x27E, struct.pack("<HHHI", 1, 0, 0, whole << 2 | 2))
+    head = lambda at: start + record(0x85, struct.pack("<IBBBB", at, 0, 0, len(sheet), 0) + sheet) + shared + record(0x0A, b"")
+    return compound({"Workbook": head(len(head(0))) + start + cells + record(0x0A, b"")})
+
+
+_P = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def pptx(slides: list[str]) -> bytes:
+    """A slide with one text each; they are stored backwards, their order is that of the presentation part."""
+    slide = lambda t: f"<p:sld {_P}><p:cSld><p:spTree><p:sp><p:txBody><a:p><a:r><a:t>{_x(t)}</a:t></a:r></a:p></p:txBody></p:sp></p:spTree></p:cSld></p:sld>".encode()
+    n = len(slides)
+    relations = "".join(f'<Relationship Id="r{i}" Target="slides/s{n - i}.xml"/>' for i in range(n))
+    listed = "".join(f'<p:sldId r:id="r{i}"/>' for i in range(n))
+    parts = [("ppt/presentation.xml", f"<p:presentation {_P}><p:sldIdLst>{listed}</p:sldIdLst></p:presentation>".encode(), 1), ("ppt/_rels/presentation.xml.rels", f'<Relationships xmlns="{_RELS}">{relations}</Relationships>'.encode(), 1)]
+    return write_zip(parts + [(f"ppt/slides/s{n - i}.xml", slide(t), 1) for i, t in enumerate(slides)])
+
+
+_LISTS = '<text:list-style style:name="L"><text:list-level-style-number text:level="1" style:num-format="1" style:num-suffix="."/><text:list-level-style-number text:level="2" style:num-format="a" style:num-suffix=")" text:display-levels="2"/></text:list-style>'
+
+
+def odf_text(body: str, styles: str = "", more: list = ()) -> bytes:
+    """A text document of given markup."""
+    spaces = 'xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:draw="urn:oasis:names:tc:opendocument:xmlns:drawing:1.0" xmlns:fo="urn:oasis:names:tc:opendocument:xmlns:xsl-fo-compatible:1.0"'
+    content = f"<office:document-content {_ODF} {spaces}><office:automatic-styles>{styles}</office:automatic-styles><office:body><office:text>{body}</office:text></office:body></office:document-content>"
+    return write_zip([("mimetype", b"application/vnd.oasis.opendocument.text", None), ("content.xml", content.encode(), 1), *more])
+
+
+def odt_list(tops: int, subs: int, start: int = 0) -> bytes:
+    """A list of `tops` items with `subs` items below each; `start`: the number its second item starts at, if any."""
+    below = "<text:list>" + "<text:list-item><text:p>s</text:p></text:list-item>" * subs + "</text:list>" if subs else ""
+    items = "".join(f'<text:list-item{f" text:start-value=" + chr(34) + str(start) + chr(34) if start and i == 1 else ""}><text:p>t</text:p>{below}</text:list-item>' for i in range(tops))
+    return odf_text(f'<text:list text:style-name="L">{items}</text:list>', _LISTS)
+
+
+def docx_parts(body: str, more: list = ()) -> bytes:
+    """A word processor's package of given markup."""
+    return write_zip([("word/document.xml", f'<w:document {_W} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><w:body>{body}</w:body></w:document>'.encode(), 1), *more])
+
+
+def docx_list(levels: list[int]) -> bytes:
+    """Paragraphs of one list at given levels."""
+    spec = '<w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1."/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="lowerLetter"/><w:lvlText w:val="%1.%2)"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num>'
+    body = "".join(f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{n}"/><w:numId w:val="1"/></w:numPr></w:pPr><w:r><w:t>x</w:t></w:r></w:p>' for n in levels)
+    return docx_parts(body, [("word/numbering.xml", f"<w:numbering {_W}>{spec}</w:numbering>".encode(), 1)])
+
+
+def pdf_objects(objects: list[bytes], trailer: bytes = b"") -> bytes:
+    """A file of numbered objects, the first of them its catalog."""
+    out, offsets = bytearray(b"%PDF-1.4\n"), []
+    for i, o in enumerate(objects):
+        offsets.append(len(out))
+        out += b"%d 0 obj\n" % (i + 1) + o + b"\nendobj\n"
+    start = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % o for o in offsets)
+    return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R %s >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, trailer, start))
+
+
+def pdf_page(content: bytes, more: bytes = b"", extra: list[bytes] = (), trailer: bytes = b"") -> bytes:
+    """One page with given content, page entries, and objects from number 6 on."""
+    font = b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding /FirstChar 0 /LastChar 255 /Widths [" + b"500 " * 256 + b"] >>"
+    page = b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Contents 5 0 R /Resources << /Font << /F1 4 0 R >> >> " + more + b" >>"
+    stream = b"<< /Length %d >>\nstream\n" % len(content) + content + b"\nendstream"
+    return pdf_objects([b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count 1 /Kids [3 0 R] >>", page, font, stream, *extra], trailer)

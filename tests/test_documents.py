@@ -98,48 +98,17 @@ def test_presentation(spark):
     assert [r.name for r in html.html_views(table(spark, made)).orderBy("view_ix").collect()] == ["document", "slide1", "slide2"]
 
 
-def record(kind, body):
-    return struct.pack("<HH", kind, len(body)) + body
-
-
-def compound(streams):
-    """A compound file of 512-byte sectors; streams are padded beyond the cutoff."""
-    sectors, entries = [], []
-    for name, data in streams.items():
-        data = data.ljust(4096, b"\0")
-        entries.append((name, len(sectors), len(data)))
-        sectors += [data[i : i + 512].ljust(512, b"\0") for i in range(0, len(data), 512)]
-    fat = []
-    for _, start, size in entries:
-        n = -(-size // 512)
-        fat += [start + i + 1 for i in range(n - 1)] + [0xFFFFFFFE]
-    directory = len(sectors)
-    cell = lambda name, kind, left, right, child, start, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBBIII", len(name) * 2 + 2, kind, 1, left, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size)
-    none = 0xFFFFFFFF
-    rows = [cell("Root Entry", 5, none, none, 1, 0xFFFFFFFE, 0)]
-    for i, (name, start, size) in enumerate(entries):
-        rows.append(cell(name, 2, none, i + 2 if i + 1 < len(entries) else none, none, start, size))
-    block = b"".join(rows)
-    block = block.ljust(-(-len(block) // 512) * 512, b"\0")
-    for i in range(0, len(block), 512):
-        fat.append(directory + i // 512 + 1 if i + 512 < len(block) else 0xFFFFFFFE)
-        sectors.append(block[i : i + 512])
-    fat.append(0xFFFFFFFD)
-    head = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIIII", 1, directory, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0, len(sectors))
-    return head.ljust(512, b"\xff") + b"".join(sectors) + struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff")
-
-
 def test_legacy_workbook(spark):
     long = "é" * 20
     sst = struct.pack("<II", 2, 2) + struct.pack("<HB", 2, 0) + b"ab" + struct.pack("<HB", 20, 0) + long.encode("latin-1")[:8]
     rest = b"\x01" + long[8:].encode("utf-16-le")
-    cells = record(0xFD, struct.pack("<HHHI", 0, 0, 0, 1)) + record(0x27E, struct.pack("<HHHI", 1, 0, 0, 42 << 2 | 2)) + record(0x203, struct.pack("<HHHd", 2, 1, 0, 0.1)) + record(0x205, struct.pack("<HHHBB", 3, 0, 0, 7, 1)) + record(0x06, struct.pack("<HHH", 4, 0, 0) + b"\0\0\0\0\0\0\xff\xff" + b"\0" * 6) + record(0x207, struct.pack("<HB", 3, 0) + b"str")
-    cells += record(0xBD, struct.pack("<HH", 5, 1) + struct.pack("<HI", 0, 300 << 2 | 3) + struct.pack("<HI", 0, 8 | 2) + struct.pack("<H", 2)) + record(0xE5, struct.pack("<HHHHH", 1, 0, 1, 0, 0))
-    name = record(0x85, struct.pack("<IBB", 0, 0, 0) + struct.pack("<BB", 2, 0) + b"S1")
-    start = record(0x809, b"\0" * 16)
-    head = lambda at: start + record(0x85, struct.pack("<IBB", at, 0, 0) + struct.pack("<BB", 2, 0) + b"S1") + record(0xFC, sst) + record(0x3C, rest) + record(0x0A, b"")
-    book = head(len(head(0))) + start + cells + record(0x0A, b"")
-    data = compound({"Workbook": book})
+    cells = builders.record(0xFD, struct.pack("<HHHI", 0, 0, 0, 1)) + builders.record(0x27E, struct.pack("<HHHI", 1, 0, 0, 42 << 2 | 2)) + builders.record(0x203, struct.pack("<HHHd", 2, 1, 0, 0.1)) + builders.record(0x205, struct.pack("<HHHBB", 3, 0, 0, 7, 1)) + builders.record(0x06, struct.pack("<HHH", 4, 0, 0) + b"\0\0\0\0\0\0\xff\xff" + b"\0" * 6) + builders.record(0x207, struct.pack("<HB", 3, 0) + b"str")
+    cells += builders.record(0xBD, struct.pack("<HH", 5, 1) + struct.pack("<HI", 0, 300 << 2 | 3) + struct.pack("<HI", 0, 8 | 2) + struct.pack("<H", 2)) + builders.record(0xE5, struct.pack("<HHHHH", 1, 0, 1, 0, 0))
+    name = builders.record(0x85, struct.pack("<IBB", 0, 0, 0) + struct.pack("<BB", 2, 0) + b"S1")
+    start = builders.record(0x809, b"\0" * 16)
+    head = lambda at: start + builders.record(0x85, struct.pack("<IBB", at, 0, 0) + struct.pack("<BB", 2, 0) + b"S1") + builders.record(0xFC, sst) + builders.record(0x3C, rest) + builders.record(0x0A, b"")
+    book = head(len(head(0))) + start + cells + builders.record(0x0A, b"")
+    data = builders.compound({"Workbook": book})
     assert detect.candidates(data) == ["cfb", "xls"] and name
     got = decode.cells(table(spark, data)).orderBy("row_ix", "col_ix").collect()
     assert [(r.ref, r.text, r.is_covered) for r in got] == [("A1", long, False), ("A2", "42", True), ("B3", "0.1", False), ("A4", "#DIV/0!", False), ("A5", "str", False), ("B6", "3", False), ("C6", "2", False)]
@@ -156,11 +125,11 @@ def test_legacy_text(spark):
     pieces = struct.pack("<II", 0, len(body)) + struct.pack("<HIH", 0, at * 2 | 0x40000000, 0)
     clx = b"\x02" + struct.pack("<I", len(pieces)) + pieces
     struct.pack_into("<II", main, 0x1A2, 0, len(clx))
-    data = compound({"WordDocument": bytes(main), "0Table": clx})
+    data = builders.compound({"WordDocument": bytes(main), "0Table": clx})
     assert tree.text_of(decode.elements(table(spark, data))).first().text == "One link-a\nTwo\nmore"
     struct.pack_into("<H", main, 0x0A, 0x0100)
     with pytest.raises(legacy.Encrypted):
-        legacy.TextDocument(compound({"WordDocument": bytes(main), "0Table": clx}))
+        legacy.TextDocument(builders.compound({"WordDocument": bytes(main), "0Table": clx}))
 
 
 def test_archives(spark):
@@ -282,26 +251,10 @@ def test_tree_navigation(spark):
     assert kids.count() == 3 and tree.parent_of(rows, kids).count() == 1
 
 
-def sfnt():
-    tables = {
-        b"cmap": struct.pack(">HH", 0, 1) + struct.pack(">HHI", 3, 1, 12) + struct.pack(">HHHHHHH", 4, 32, 0, 4, 4, 1, 0) + struct.pack(">HH", 66, 0xFFFF) + struct.pack(">H", 0) + struct.pack(">HH", 65, 0xFFFF) + struct.pack(">hh", -64, 1) + struct.pack(">HH", 0, 0),
-        b"head": b"\0" * 18 + struct.pack(">H", 2048) + b"\0" * 16 + struct.pack(">hhhh", 0, -10, 100, 200) + b"\0" * 10,
-        b"hhea": struct.pack(">Ihh", 0, 800, -200) + b"\0" * 26 + struct.pack(">H", 2),
-        b"hmtx": struct.pack(">HhHh", 500, 0, 600, 0),
-        b"maxp": struct.pack(">IH", 0x10000, 3),
-        b"name": struct.pack(">HHH", 0, 1, 18) + struct.pack(">HHHHHH", 3, 1, 0, 6, 4, 0) + "Ab".encode("utf-16-be"),
-    }
-    at, head, body = 12 + 16 * len(tables), b"", b""
-    for tag, data in tables.items():
-        head += struct.pack(">4sIII", tag, 0, at + len(body), len(data))
-        body += data
-    return b"\x00\x01\x00\x00" + struct.pack(">HHHH", len(tables), 0, 0, 0) + head + body
-
-
 def test_fonts(spark):
-    row = fonts.fonts(table(spark, sfnt(), b"no")).orderBy("file_id").collect()
+    row = fonts.fonts(table(spark, builders.sfnt(), b"no")).orderBy("file_id").collect()
     assert (row[0].name, row[0].n_glyphs, row[0].units_per_em, row[0].ascender, row[0].bbox) == ("Ab", 3, 2048, 800, [0, -10, 100, 200]) and row[1].error
-    assert [(r.width, r.code_point) for r in fonts.glyphs(table(spark, sfnt())).orderBy("glyph").collect()] == [(500, None), (600, 65), (600, 66)]
+    assert [(r.width, r.code_point) for r in fonts.glyphs(table(spark, builders.sfnt())).orderBy("glyph").collect()] == [(500, None), (600, 65), (600, 66)]
 
 
 def test_metafile():
