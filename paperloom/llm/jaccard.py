@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .shards import count_and_reply, in_key_order, shard_count
-from .shared import lean, materialise, written
+from .shared import bit_map, called_for, lean, materialise, written
 
 WIDTH, THRESHOLD = 5, 75
 #: Buckets up to this size compare all members; larger ones go through pivots.
@@ -143,23 +143,10 @@ def _first_level(n: int) -> int:
     return 1 + n // 5
 
 
-def _passing(live: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit map of the hashes in column `h`, of 16 bits a row up to 2**27 bits, and the number of its bits.
-
-    It only thins what is sent to the join; false hits end there.
-    """
-    bits = 1 << min(27, max(16, (16 * live.count()).bit_length()))
-    place = F.pmod(F.col("h"), F.lit(bits))
-    cells = live.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) & 63 AS int))")).alias("word")).toArrow()
-    words = np.zeros(bits >> 6, dtype=np.int64)
-    words[np.asarray(cells.column("cell"))] = np.asarray(cells.column("word"))
-    return words, bits
-
-
 def live_sets(docs: DataFrame, live: DataFrame, width: int, n_shards: int) -> DataFrame:
     """(cls, shingles) of the representatives in `live` (cls, rep_id, rep_hash), dealt by cls."""
     h = lambda a, b: F.xxhash64(F.coalesce(a, F.lit(0)), b)
-    words, bits = _passing(live.select(h(F.col("rep_id"), F.col("rep_hash")).alias("h")))
+    words, bits = bit_map(live.select(h(F.col("rep_id"), F.col("rep_hash")).alias("h")))
     told = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
@@ -425,14 +412,7 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = THRESHO
     goes = materialise(keyed.join(stays, same, "left_anti").select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
     repeated = materialise(keyed.where("copies > 1").join(stays, same, "left_semi").select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")))
     key = lambda i, h: F.xxhash64(F.coalesce(i, F.lit(0)), h)
-    words, bits = _passing(goes.unionByName(repeated).select(key(F.col("i"), F.col("h")).alias("h")))
-    told = docs.sparkSession.sparkContext.broadcast(words)
-
-    @F.arrow_udf("boolean")
-    def called(h: pa.Array) -> pa.Array:
-        place = np.asarray(h) % bits
-        return pa.array((told.value[place >> 6] >> (place & 63)) & 1 == 1)
-
+    called = called_for(goes.unionByName(repeated).select(key(F.col("i"), F.col("h")).alias("h")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"))
     rows = rows.withColumn("called", called(key(F.col("doc_id"), F.col("text_hash"))))

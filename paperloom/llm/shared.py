@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,3 +73,29 @@ def text_batches(spark: SparkSession) -> None:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bit_map(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit map of the hashes in column `h`, of 16 bits a row up to 2**27 bits, and the number of its bits.
+
+    It only thins what is sent to a join; false hits end there.
+    """
+    bits = 1 << min(27, max(16, (16 * hashes.count()).bit_length()))
+    place = F.pmod(F.col("h"), F.lit(bits))
+    cells = hashes.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) & 63 AS int))")).alias("word")).toArrow()
+    words = np.zeros(bits >> 6, dtype=np.int64)
+    words[np.asarray(cells.column("cell"))] = np.asarray(cells.column("word"))
+    return words, bits
+
+
+def called_for(hashes: DataFrame) -> Callable[[Column], Column]:
+    """Column function: whether the bit map of the hashes in column `h` has this hash; at most 16 MB travel."""
+    words, bits = bit_map(hashes)
+    told = hashes.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def called(h: pa.Array) -> pa.Array:
+        place = np.asarray(h) % bits
+        return pa.array((told.value[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return called

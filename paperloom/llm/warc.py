@@ -22,30 +22,45 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import called_for, materialise
+
 SKIPPABLE = 0x184D2A5D
 #: Raw bytes of an archive, bytes of its dictionary, and raw bytes that the dictionary is built from.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 16 << 20, 16 << 10, 2 << 20
+#: Bytes of repeated digests up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 ARCHIVE_SCHEMA = "archive string, n_records long, raw_bytes long, content binary"
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, intact boolean"
 _DATE = "1970-01-01T00:00:00Z"
 
 
-def plan_records(pages: DataFrame, id_col="page_id", url_col="url", payload_col="html", min_bytes: int = 100) -> DataFrame:
+def plan_records(pages: DataFrame, id_col="page_id", url_col="url", payload_col="html", min_bytes: int = 100, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to (null: a response).
 
     Of rows whose payloads are equal and have `min_bytes` bytes or more, the
     one with the smallest id is the response; rows repeating that very id are
-    responses too, as are rows with a null id.  A null payload is empty.  Only
-    digests that occur more than once are joined, after partial aggregation;
-    a hot digest's side is split by adaptive execution.
+    responses too, as are rows with a null id.  A null payload is empty.  An
+    empty table gives no rows; other columns are ignored.
+
+    Digests that occur more than once are found first, from narrow rows.  Up
+    to `broadcast_bytes` they go to the pages, and no payload moves.  Beyond,
+    a bit map of them does, and only the payloads that it calls for are
+    shuffled to be joined; adaptive execution splits a hot digest's side.
     """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    long_enough = rows.where(F.col("payload_bytes") >= min_bytes)
-    firsts = long_enough.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when((F.col("payload_bytes") >= min_bytes) & (F.col("page_id") != F.col("first_id")), F.col("first_id"))
-    return rows.join(firsts, "payload_digest", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    narrow = rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest")
+    firsts = materialise(narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.unhex("payload_digest").alias("repeated"), "first_id"))
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    refers = F.when((F.col("payload_bytes") >= min_bytes) & (F.col("page_id") != F.col("first_id")), F.col("first_id")).alias("refers_to")
+    same = F.unhex("payload_digest") == F.col("repeated")
+    if firsts.count() * 64 <= broadcast_bytes:  # 40 bytes a digest and id, and what a hash table adds
+        return rows.join(F.broadcast(firsts), same, "left").select(*columns, refers)
+    called = called_for(firsts.select(F.xxhash64(F.lower(F.hex("repeated"))).alias("h")))(F.xxhash64("payload_digest"))
+    rows = rows.withColumn("called", called)
+    asked = rows.where("called").join(firsts, same, "left").select(*columns, refers)
+    return rows.where("not called").select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(asked)
 
 
 def _record(page_id, url, payload: bytes | None, n_bytes: int, digest: str, refers) -> bytes:

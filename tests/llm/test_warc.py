@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm import warc
@@ -8,17 +9,18 @@ from paperloom.llm.shared import written
 SCHEMA = "page_id long, url string, html string"
 
 
-def run(spark, rows):
-    records = warc.plan_records(spark.createDataFrame(rows, SCHEMA).withColumns({"payload": F.lit(1), "refers_to": F.lit(2)}))
+def run(spark, rows, **options):
+    records = warc.plan_records(spark.createDataFrame(rows, SCHEMA).withColumns({"payload": F.lit(1), "refers_to": F.lit(2), "called": F.lit(3)}), **options)
     archives = written(warc.write_archives(records, archive_bytes=4000), "archives")
     return archives, warc.read_archives(archives).collect()
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("broadcast_bytes", [warc.BROADCAST_BYTES, 0])
+def test_round_trip(spark, broadcast_bytes):
     long = "<p>same text é</p>" * 40
     rows = [(i, f"http://h/{i}?a=%25", f"<html>{i} " + "lorem ipsum dolor " * (i % 30) + "</html>") for i in range(60)]
     rows += [(103, "u", long), (101, None, long), (105, "x\r\ny", long), (101, None, long), (200, "e", None), (201, "s", "short"), (202, "s", "short"), (None, "n", long), (300, "big", "z" * 2_000_000)]
-    archives, got = run(spark, rows)
+    archives, got = run(spark, rows, broadcast_bytes=broadcast_bytes)
     assert archives.count() > 3 and all(bytes(r.content[:4]) == b"\x5d\x2a\x4d\x18" for r in archives.collect())
     assert len(got) == len(rows) and all(r.intact for r in got)
     by = {}
