@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import numbering, paths, registry, text
 from ..operators import edit, html, styles, tree
-from ..sources import containers, crypto, csvdoc, decode, detect, fonts
+from ..sources import containers, crypto, csvdoc, decode, detect, fonts, scratch
+from ..streaming import windows
 from . import builders
 from .queries import per_row, query, table
 
@@ -484,6 +485,30 @@ def pdf_geometry(spark, sf_dir):
     return decode.pdf_segments(_files(spark, sf_dir, make, "c_name")).select(_key(), "text", "x", "y", "size", "end_x")
 
 
+_CJK = (("UniGB-UCS2-H", "utf-16-be"), ("GBK-EUC-H", "gbk"), ("90ms-RKSJ-H", "cp932"), ("KSCms-UHC-H", "cp949"), ("ETen-B5-V", "cp950"), ("UniJIS-UTF16-H", "utf-16-be"))
+
+
+def _composite(no, name):
+    """A page whose font has a predefined encoding, an embedded one of two-byte ids, or an embedded program that names its glyphs."""
+    kind = no % 8
+    text_page = lambda raw, font, extra=(): builders.pdf_page(b"BT /F2 10 Tf 40 700 Td <%s> Tj ET" % raw.hex().encode(), extra=[font, *extra]).replace(b"/Font << /F1 4 0 R >>", b"/Font << /F2 6 0 R >>", 1).replace(b"startxref", b"startxrex")
+    stream = lambda body: b"<< /Length %d >>\nstream\n" % len(body) + body + b"\nendstream"
+    if kind < 6:
+        encoding, codec = _CJK[kind]
+        return text_page(f"日本 {name}".encode(codec), b"<< /Type /Font /Subtype /Type0 /Encoding /%s /DescendantFonts [<< /DW 1000 >>] >>" % encoding.encode())
+    if kind == 6:
+        codes = b"1 begincodespacerange <00> <7F> endcodespacerange 1 begincodespacerange <8000> <FFFF> endcodespacerange 1 begincidrange <8000> <8FFF> 100 endcidrange"
+        names = b"1 begincodespacerange <00> <7F> endcodespacerange 2 beginbfrange <00> <7F> <0000> <8000> <8FFF> <6000> endbfrange 2 beginbfchar <8001> <65E5> <8002> <672C> endbfchar"
+        return text_page(b"\x80\x01\x80\x02 " + name.encode(), b"<< /Type /Font /Subtype /Type0 /Encoding 7 0 R /ToUnicode 8 0 R /DescendantFonts [<< /DW 500 >>] >>", [stream(codes), stream(names)])
+    return text_page(b"\0\1\0\2", b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [<< /DW 500 /FontDescriptor << /FontFile2 7 0 R >> >>] >>", [stream(builders.sfnt())])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 8 = 7 THEN 'AB' ELSE '日本 ' || c_name END AS text FROM customer")
+def pdf_composite_fonts(spark, sf_dir):
+    """Text of composite fonts by predefined encodings, by embedded ones and by what an embedded font names."""
+    return decode.pdf_pages(_files(spark, sf_dir, _composite, "c_name")).select(_key(), "text")
+
+
 @query("SELECT n_nationkey, g AS glyph, [500, 600, 600][g + 1] AS width, [NULL, 65, 66][g + 1] AS code_point FROM nation, (SELECT unnest([0, 1, 2]) AS g)")
 def font_glyphs(spark, sf_dir):
     made = per_row(table(spark, sf_dir, "nation"), lambda name: builders.sfnt(), "n_name", key="n_nationkey")
@@ -614,3 +639,15 @@ def part_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", (size + F.sqrt(size)).alias("grown"), (size * 7 % 13).alias("rest"), F.round(F.ln(size.cast("double") + 1), 9).alias("log"))
 
 
+# Streams
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, max(event_id)::BIGINT AS last FROM events GROUP BY ALL")
+def events_by_day_stream(spark, sf_dir):
+    """Events read as a stream, aggregated by day and type with a watermark."""
+    schema = table(spark, sf_dir, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("day", F.date_trunc("day", "ts"))
+    # Days begin where the session says; windows of epoch hours are summed to them.
+    found = windows.windowed(arriving.withColumn("ts", F.col("day").cast("timestamp")), "ts", "1 hour", ["event_type"], [F.count("*").alias("n"), F.max("event_id").cast("long").alias("last")], late="400 days")
+    done = windows.run_to_table(found, scratch.scratch_dir(spark))
+    return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "last")

@@ -528,7 +528,7 @@ def as_of_join(spark, sf_dir):
 
     e = table(spark, sf_dir, "events")
     right = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("before"))
-    return as_of(e.select("event_id", "user_id", "ts"), right, "user_id", "ts", "before", strict=True).select("event_id", "before")
+    return as_of(e.select("event_id", "user_id", "ts"), right, "user_id", "ts", "before", strict=True, bucket=lambda t: F.date_trunc("day", t)).select("event_id", "before")
 
 
 @query("SELECT p_brand, p_type, count(*)::BIGINT AS n, max(p_retailprice) AS top FROM part GROUP BY ROLLUP (p_brand, p_type)")

@@ -310,12 +310,12 @@ def meta_json(meta_rows: DataFrame) -> DataFrame:
     return meta_rows.select("file_id", F.to_json(F.struct(F.col("file_type").alias("fileType"), F.col("category").alias("fileCategory"), F.col("is_encrypted").alias("isEncrypted"), document.alias("document"))).alias("json"))
 
 
-def pdf_pages(files: DataFrame, pages: tuple[int, int] | None = None) -> DataFrame:
+def pdf_pages(files: DataFrame, pages: tuple[int, int] | None = None, password: str = "") -> DataFrame:
     """Pages of PDF files: page_ix, width, height, rotate, text; `pages` limits the range before text is read."""
     schema = pa.schema([("file_id", pa.int64()), ("page_ix", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("rotate", pa.int32()), ("text", pa.string())])
 
     def rows(file_id, data):
-        file = pdf.File(data)
+        file = pdf.File(data, password.encode("latin-1", "replace"))
         for n, page in enumerate([] if file.encrypted else file.pages()):
             if pages is None or pages[0] <= n < pages[1]:
                 width, height = file.box(page)
@@ -324,12 +324,12 @@ def pdf_pages(files: DataFrame, pages: tuple[int, int] | None = None) -> DataFra
     return _pdf_rows(files, schema, "file_id long, page_ix int, width double, height double, rotate int, text string", rows)
 
 
-def pdf_segments(files: DataFrame, pages: tuple[int, int] | None = None) -> DataFrame:
+def pdf_segments(files: DataFrame, pages: tuple[int, int] | None = None, password: str = "") -> DataFrame:
     """Text segments in paint order with their geometry."""
     schema = pa.schema([("file_id", pa.int64()), ("page_ix", pa.int32()), ("seg_ix", pa.int32()), ("text", pa.string()), *[(c, pa.float64()) for c in ("x", "y", "end_x", "end_y", "size")]])
 
     def rows(file_id, data):
-        file = pdf.File(data)
+        file = pdf.File(data, password.encode("latin-1", "replace"))
         for n, page in enumerate([] if file.encrypted else file.pages()):
             if pages is None or pages[0] <= n < pages[1]:
                 for s, segment in enumerate(pdf.Page(file, page).segments):
@@ -338,12 +338,12 @@ def pdf_segments(files: DataFrame, pages: tuple[int, int] | None = None) -> Data
     return _pdf_rows(files, schema, "file_id long, page_ix int, seg_ix int, text string, x double, y double, end_x double, end_y double, size double", rows)
 
 
-def pdf_images(files: DataFrame) -> DataFrame:
+def pdf_images(files: DataFrame, password: str = "") -> DataFrame:
     """Images named by the pages of PDF files; the bytes of those that pass through."""
     schema = pa.schema([("file_id", pa.int64()), ("page_ix", pa.int32()), ("name", pa.string()), *[(c, pa.int32()) for c in ("width", "height", "bits")], *[(c, pa.string()) for c in ("color_space", "filter", "mimetype")], ("content", pa.binary())])
 
     def rows(file_id, data):
-        file = pdf.File(data)
+        file = pdf.File(data, password.encode("latin-1", "replace"))
         for n, page in enumerate([] if file.encrypted else file.pages()):
             for image in pdf.images(file, page):
                 yield {"file_id": file_id, "page_ix": n, **image}
@@ -351,11 +351,11 @@ def pdf_images(files: DataFrame) -> DataFrame:
     return _pdf_rows(files, schema, "file_id long, page_ix int, name string, width int, height int, bits int, color_space string, filter string, mimetype string, content binary", rows)
 
 
-def pdf_links(files: DataFrame) -> DataFrame:
+def pdf_links(files: DataFrame, password: str = "") -> DataFrame:
     schema = pa.schema([("file_id", pa.int64()), ("page_ix", pa.int32()), ("kind", pa.string()), ("target", pa.string())])
 
     def rows(file_id, data):
-        file = pdf.File(data)
+        file = pdf.File(data, password.encode("latin-1", "replace"))
         for n, page in enumerate([] if file.encrypted else file.pages()):
             for kind, target in pdf.links(file, page):
                 yield {"file_id": file_id, "page_ix": n, "kind": kind, "target": target}

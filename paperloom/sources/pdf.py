@@ -585,15 +585,15 @@ def glyph_text(name: str) -> str:
     return chr(int(m.group(1), 16)) if m and int(m.group(1), 16) < 0x110000 else ""
 
 
-MAX_RANGE = 256
-
-
 class CMap:
-    """Codes to text; code lengths by the codespace."""
+    """Codes to text and to character ids; the codes of a string by the codespace."""
 
     def __init__(self, data: bytes):
-        self.lengths: set[int] = set()
+        self.spaces: list[tuple[bytes, bytes]] = []
         self.map: dict[bytes, str] = {}
+        self.cids: dict[bytes, int] = {}
+        #: Ranges (length, first, last, text or id of the first) that are not written out.
+        self.ranges: list[tuple[int, int, int, bytes | int]] = []
         lexer, held = Lexer(data), []
         while True:
             item = lexer.object()
@@ -603,30 +603,92 @@ class CMap:
                 held.append(item)
                 continue
             if item == "endcodespacerange":
-                self.lengths |= {len(h) for h in held if isinstance(h, bytes)}
+                self.spaces += [(a, b) for a, b in zip(held[::2], held[1::2]) if isinstance(a, bytes) and isinstance(b, bytes) and len(a) == len(b)]
             elif item == "endbfchar":
-                for a, b in zip(held[::2], held[1::2]):
-                    if isinstance(a, bytes):
-                        self.map[a] = self._text(b)
-            elif item == "endbfrange":
+                self.map |= {a: self._text(b) for a, b in zip(held[::2], held[1::2]) if isinstance(a, bytes)}
+            elif item == "endcidchar":
+                self.cids |= {a: b for a, b in zip(held[::2], held[1::2]) if isinstance(a, bytes) and isinstance(b, int)}
+            elif item in ("endbfrange", "endcidrange"):
                 for a, b, to in zip(held[::3], held[1::3], held[2::3]):
-                    if not isinstance(a, bytes) or not isinstance(b, bytes):
-                        continue
-                    first, last = int.from_bytes(a, "big"), int.from_bytes(b, "big")
-                    for n in range(min(last - first + 1, MAX_RANGE)):
-                        code = (first + n).to_bytes(len(a), "big")
+                    if isinstance(a, bytes) and isinstance(b, bytes):
+                        first, last = int.from_bytes(a, "big"), int.from_bytes(b, "big")
                         if isinstance(to, list):
-                            if n < len(to):
-                                self.map[code] = self._text(to[n])
-                        elif isinstance(to, bytes) and to:
-                            whole = int.from_bytes(to, "big") + n
-                            self.map[code] = self._text(whole.to_bytes(len(to), "big"))
+                            self.map |= {(first + n).to_bytes(len(a), "big"): self._text(v) for n, v in enumerate(to[: max(0, last - first + 1)])}
+                        elif isinstance(to, int) if item == "endcidrange" else isinstance(to, bytes) and to:
+                            self.ranges.append((len(a), first, last, to))
+                            if item == "endbfrange" and last - first < 256:
+                                for n in range(first, last + 1):
+                                    self.text(n.to_bytes(len(a), "big"))
             held = []
+        self.lengths = {len(a) for a, _ in self.spaces}
 
     @staticmethod
     def _text(value) -> str:
         return glyph_text(value) if isinstance(value, Name) else value.decode("utf-16-be", "replace") if isinstance(value, bytes) else ""
 
+    def _found(self, code: bytes, kind: type):
+        number = int.from_bytes(code, "big")
+        for size, first, last, to in reversed(self.ranges):
+            if size == len(code) and first <= number <= last and isinstance(to, kind):
+                return to, number - first
+        return None
+
+    def text(self, code: bytes) -> str | None:
+        """Null for a code that is not mapped."""
+        if code not in self.map:
+            found = self._found(code, bytes)
+            if found is None:
+                return None
+            whole = (int.from_bytes(found[0], "big") + found[1]) % (1 << 8 * len(found[0]))
+            self.map[code] = whole.to_bytes(len(found[0]), "big").decode("utf-16-be", "replace")
+        return self.map[code]
+
+    def cid(self, code: bytes) -> int:
+        if code not in self.cids:
+            found = self._found(code, int)
+            self.cids[code] = found[0] + found[1] if found else 0
+        return self.cids[code]
+
+    def split(self, raw: bytes):
+        """The codes of a string: the shortest that lies in a range of the codespace byte by byte, else one of the shortest length."""
+        shortest, at = min(self.lengths, default=2), 0
+        while at < len(raw):
+            size = next((n for n in sorted(self.lengths) if any(len(a) == n and at + n <= len(raw) and all(x <= c <= y for x, c, y in zip(a, raw[at : at + n], b)) for a, b in self.spaces)), shortest)
+            yield raw[at : at + size]
+            at += size
+
+
+#: Character codecs that predefined encodings of composite fonts are named after.
+_CODECS = {
+    "GB-EUC": "gb2312", "GBpc-EUC": "gb2312", "GBK-EUC": "gbk", "GBKp-EUC": "gbk", "GBK2K": "gb18030", "B5pc": "big5", "HKscs-B5": "big5hkscs", "ETen-B5": "cp950", "ETenms-B5": "cp950",
+    "83pv-RKSJ": "shift_jis", "90ms-RKSJ": "cp932", "90msp-RKSJ": "cp932", "90pv-RKSJ": "shift_jis", "Add-RKSJ": "cp932", "Ext-RKSJ": "cp932", "EUC": "euc_jp", "KSC-EUC": "euc_kr", "KSCms-UHC": "cp949", "KSCms-UHC-HW": "cp949", "KSCpc-EUC": "euc_kr",
+}
+
+
+class Predefined:
+    """A predefined encoding whose codes are those of a character set: Unicode, or one of the legacy sets."""
+
+    def __init__(self, name: str):
+        stem = name.removesuffix("-H").removesuffix("-V")
+        unicode_ = next((codec for mark, codec in (("UTF16", "utf-16-be"), ("UCS2", "utf-16-be"), ("UTF8", "utf-8"), ("UTF32", "utf-32-be")) if mark in stem), None)
+        #: `H` and `V` alone are the rows and cells of JIS, which the codec has with high bits set.
+        self.high = name in ("H", "V")
+        self.codec = unicode_ or ("euc_jp" if self.high else _CODECS.get(stem))
+
+    def split(self, raw: bytes):
+        """(code, text): the shortest that the codec decodes."""
+        at, sizes = 0, (2, 4) if self.high or self.codec == "utf-16-be" else (4,) if self.codec == "utf-32-be" else (1, 2, 3, 4)
+        while at < len(raw):
+            for size in sizes:
+                code = raw[at : at + size]
+                try:
+                    text = (bytes(c | 128 for c in code) if self.high else code).decode(self.codec)
+                    break
+                except UnicodeDecodeError:
+                    code, text = raw[at : at + sizes[0]], ""
+            yield code, text
+            at += len(code)
+
 
 class Font:
     """Codes of a font's strings with their text and width."""
@@ -640,6 +702,7 @@ class Font:
         if self.composite:
             inner = file.get((file.get(spec.get("DescendantFonts")) or [{}])[0]) or {}
             self.default = float(file.get(inner.get("DW", 1000)))
+            self._composite(file, spec, inner)
             w, i = file.get(inner.get("W")) or [], 0
             while i + 1 < len(w):
                 a, b = file.get(w[i]), file.get(w[i + 1])
@@ -672,18 +735,48 @@ class Font:
 
         self.shown, self.wide = [self.text.get(c, "") for c in range(256)], [self.widths.get(c, self.default) for c in range(256)]
 
+    def _composite(self, file: File, spec: dict, inner: dict) -> None:
+        """How a composite font's codes become ids and text."""
+        encoding = file.get(spec.get("Encoding"))
+        self.encoding = CMap(file.decode(encoding)) if isinstance(encoding, Stream) else None
+        named = Predefined(str(encoding)) if isinstance(encoding, Name) and not str(encoding).startswith("Identity") else None
+        self.named = named if named and named.codec else None
+        self.of_glyph: dict[int, str] = {}
+        self.to_glyph = None
+        program = file.get((file.get(inner.get("FontDescriptor")) or {}).get("FontFile2"))
+        if self.cmap is None and self.named is None and isinstance(program, Stream):
+            # An embedded font tells which character a glyph stands for.
+            from .fonts import Sfnt
+
+            try:
+                for point, glyph in sorted(Sfnt(file.decode(program)).code_points().items(), reverse=True):
+                    self.of_glyph[glyph] = chr(point)
+            except Exception:  # a broken font program names no characters
+                self.of_glyph = {}
+            table = file.get(inner.get("CIDToGIDMap"))
+            self.to_glyph = file.decode(table) if isinstance(table, Stream) else None
+
+    def _glyph(self, cid: int) -> int:
+        if self.to_glyph is None:
+            return cid
+        return int.from_bytes(self.to_glyph[2 * cid : 2 * cid + 2], "big")
+
     def codes(self, raw: bytes):
         """(text, width in thousandths, is a one-byte space) of each code of a string."""
-        if self.composite:
-            size = next(iter(self.cmap.lengths)) if self.cmap and len(self.cmap.lengths) == 1 else 2
-            for i in range(0, len(raw) - size + 1, size):
-                code = raw[i : i + size]
-                number = int.from_bytes(code, "big")
-                yield self.cmap.map.get(code, "") if self.cmap else "", self.widths.get(number, self.default), size == 1 and number == 32
-        else:
+        if not self.composite:
             for c in raw:
-                text = self.cmap.map.get(bytes([c])) if self.cmap else None
+                text = self.cmap.text(bytes([c])) if self.cmap else None
                 yield self.text.get(c, "") if text is None else text, self.widths.get(c, self.default), c == 32
+            return
+        if self.named:
+            for code, text in self.named.split(raw):
+                yield (self.cmap.text(code) or "") if self.cmap else text, self.default, code == b" "
+            return
+        space = self.encoding or (self.cmap if self.cmap and self.cmap.spaces else None)
+        for code in space.split(raw) if space else (raw[i : i + 2] for i in range(0, len(raw) - 1, 2)):
+            cid = self.encoding.cid(code) if self.encoding else int.from_bytes(code, "big")
+            text = self.cmap.text(code) if self.cmap else self.of_glyph.get(self._glyph(cid))
+            yield text or "", self.widths.get(cid, self.default), code == b" "
 
 
 def _times(a, b):
