@@ -70,8 +70,11 @@ _DROP_CLASS = re.compile(
     re.I,
 )
 _CONTENT_CLASS = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|content|entry|entry-content|post|post-content|story|main)(?:$|[\s_-])", re.I)
-_OPENING = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)""")
-_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+#: A comment's, a marked section's or a declaration's start, or a tag up to its end or to a quote that does not close.
+_TAG = re.compile(r"""<(?:(!--|!\[CDATA\[|[!?])|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>?))""")
+#: The same without regard to quotes.
+_PLAIN_TAG = re.compile(r"""<(?:(!--|!\[CDATA\[|[!?])|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>?))""")
+_ENDS = {"!--": "-->", "![CDATA[": "]]>", "!": ">", "?": ">"}
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
 
@@ -100,60 +103,40 @@ class Node:
             self.named = not self.drop and (self.tag in ("article", "main") or tag in ("div", "section", "td") and bool(self.cls and _CONTENT_CLASS.search(self.cls)))
 
 
-def _tags(text: str):
-    """(start, end, closing, name, attributes) of the tags of a page in order; name is None for comments and declarations.
+def parse(text: str, names: bool = True) -> Node:
+    """The tree of a page, however deep; whatever the markup, every character of text is in some node.
 
     A tag that nothing closes takes the rest of the page.
     """
-    at, last, failed = text.find("<"), text.rfind(">"), 0
-    while at >= 0:
-        end = None
-        if text.startswith("<!--", at) or text.startswith("<![CDATA[", at):
-            mark = "-->" if text[at + 2] == "-" else "]]>"
-            end = text.find(mark, at + 4)
-            end = len(text) if end < 0 else end + 3
-            jump = yield at, end, False, None, ""
-        elif text[at + 1 : at + 2] in ("!", "?"):
-            end = text.find(">", at) + 1 or len(text)
-            jump = yield at, end, False, None, ""
-        elif m := _OPENING.match(text, at + 1):
-            close = _ATTRIBUTES.match(text, m.end()) if at < last and failed < OPEN_QUOTES else None
-            if close:
-                end = close.end()
-            else:
-                failed += at < last
-                end = text.find(">", m.end()) + 1 or len(text)
-            jump = yield at, end, bool(m.group(1)), m.group(2).lower(), text[m.end() : end - 1]
-        else:
-            jump, end = None, at + 1
-        at = text.find("<", jump or end)
-
-
-def parse(text: str, names: bool = True) -> Node:
-    """The tree of a page, however deep; whatever the markup, every character of text is in some node."""
     root = Node("#root")
-    stack, at, deepest = [root], 0, 0
-    open_: Counter = Counter()
-    tags = _tags(text)
-    jump = None
+    stack, at, deepest, failed, pattern = [root], 0, 0, 0, _TAG
+    open_: dict[str, int] = {}
 
     def close(i: int) -> None:
-        open_.subtract(n.tag for n in stack[i:])
+        for n in stack[i:]:
+            open_[n.tag] -= 1
         del stack[i:]
 
-    while True:
-        try:
-            start, end, closing, tag, attrs = tags.send(jump)
-        except StopIteration:
-            break
-        jump = None
+    while m := pattern.search(text, at):
+        start = m.start()
         if start > at:
             stack[-1].parts.append(text[at:start])
-        at = end
-        if tag is None:
+        at = m.end()
+        other, closing, tag, attrs, ended = m.groups()
+        if other:
+            mark = _ENDS[other]
+            end = text.find(mark, at)
+            at = end + len(mark) if end >= 0 else len(text)
             continue
+        if not ended:
+            end = text.find(">", at)
+            attrs, at = text[m.end(3) : end if end >= 0 else len(text)], end + 1 or len(text)
+            failed += 1
+            if failed == OPEN_QUOTES:
+                pattern = _PLAIN_TAG
+        tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
+            for i in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[i].tag == tag:
                     close(i)
                     break
@@ -162,7 +145,7 @@ def parse(text: str, names: bool = True) -> Node:
             continue
         if tag in _CLOSES_P or tag in _SAME:
             same = _SAME.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1) if open_["p"] or any(open_[t] for t in same) else ():
+            for i in range(len(stack) - 1, 0, -1) if open_.get("p") or any(open_.get(t) for t in same) else ():
                 own = stack[i].tag
                 if own in same or own == "p" and tag in _CLOSES_P:
                     close(i)
@@ -174,10 +157,10 @@ def parse(text: str, names: bool = True) -> Node:
         if tag in _RAW:
             closed = _RAW_END[tag].search(text, at)
             node.parts.append(text[at : closed.start() if closed else len(text)])
-            at = jump = (text.find(">", closed.end()) + 1 or len(text)) if closed else len(text)
+            at = (text.find(">", closed.end()) + 1 or len(text)) if closed else len(text)
         elif tag not in _VOID and not attrs.rstrip().endswith("/"):
             stack.append(node)
-            open_[node.tag] += 1
+            open_[node.tag] = open_.get(node.tag, 0) + 1
             deepest = max(deepest, len(stack))
     if at < len(text):
         stack[-1].parts.append(text[at:])
