@@ -48,6 +48,24 @@ def count_folded(folded: Column, needle: str) -> Column:
     return ((F.char_length(folded) - F.char_length(F.replace(folded, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
 
 
+def next_hit(text: Column, needle: str, at: Column) -> Column:
+    """Place (from 1) of the first hit after place `at`; after the last one the first one again; 0 if there is none."""
+    t, n = fold(text), fold(F.lit(needle))
+    later = F.position(n, t, at + 1)
+    return F.when(F.char_length(n) == 0, 0).when(later > 0, later).otherwise(F.position(n, t, F.lit(1))).cast("long")
+
+
+def previous_hit(text: Column, needle: str, at: Column) -> Column:
+    """Place (from 1) of the last hit before place `at`; before the first one the last one again; 0 if there is none."""
+    t, n = fold(text), fold(F.lit(needle))
+    size, length = F.char_length(n), F.char_length(t)
+    # In the text read backwards, the hit that starts at p begins at length - p - size + 2.
+    back = F.position(F.reverse(n), F.reverse(t), F.greatest(F.lit(1), length - at - size + 3))
+    last = F.position(F.reverse(n), F.reverse(t), F.lit(1))
+    place = lambda p: length - p - size + 2
+    return F.when(size == 0, 0).when((back > 0) & (at > 1), place(back)).when(last > 0, place(last)).otherwise(0).cast("long")
+
+
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per line, line_no from 1; a final newline yields a last empty line."""
     return df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "line")).withColumn("line_no", (F.col("_pos") + 1).cast("long")).drop("_pos")

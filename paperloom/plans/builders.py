@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import struct
 import zlib
 
+from ..sources import crypto, pdf as pdf_source
 from ..sources.containers import write_zip
 from ..sources.tree import ref
 
@@ -237,3 +239,75 @@ def pdf_page(content: bytes, more: bytes = b"", extra: list[bytes] = (), trailer
     page = b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Contents 5 0 R /Resources << /Font << /F1 4 0 R >> >> " + more + b" >>"
     stream = b"<< /Length %d >>\nstream\n" % len(content) + content + b"\nendstream"
     return pdf_objects([b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count 1 /Kids [3 0 R] >>", page, font, stream, *extra], trailer)
+
+
+def sealed(revision: int, method: bytes, password: bytes = b"") -> bytes:
+    """A PDF whose info title is encrypted by the standard handler."""
+    pad = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
+    ident, owner = b"0123456789abcdef", b"o" * 32
+    hexed = lambda b: b"<" + b.hex().encode() + b">"
+    if revision == 6:
+        file_key, user = bytes(range(32)), b"v" * 8 + b"k" * 8
+
+        def digest(salt):
+            k, i = hashlib.sha256(password + salt).digest(), 0
+            while True:
+                e = crypto.aes_cbc_encrypt(k[:16], k[16:32], (password + k) * 64)
+                k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[int.from_bytes(e[:16], "big") % 3](e).digest()
+                i += 1
+                if i >= 64 and e[-1] <= i - 32:
+                    return k[:32]
+
+        user = digest(b"v" * 8) + user
+        extra = b"/UE " + hexed(crypto.aes_cbc_encrypt(digest(b"k" * 8), bytes(16), file_key))
+        key = file_key
+    else:
+        key = hashlib.md5((password + pad)[:32] + owner + (0xFFFFFFFC).to_bytes(4, "little") + ident).digest()
+        for _ in range(50):
+            key = hashlib.md5(key).digest()
+        user = pdf_source.rc4(key, hashlib.md5(pad + ident).digest())
+        for i in range(1, 20):
+            user = pdf_source.rc4(bytes(b ^ i for b in key), user)
+        user, extra = user + b"\0" * 16, b""
+        key = hashlib.md5(key + b"\4\0\0\0\0" + (b"sAlT" if method == b"AESV2" else b"")).digest()
+    title = b"Secret title"
+    if method == b"V2":
+        body = pdf_source.rc4(key, title)
+    else:
+        n = 16 - len(title) % 16
+        body = b"i" * 16 + crypto.aes_cbc_encrypt(key, b"i" * 16, title + bytes([n]) * n)
+    cf = b"/CF << /StdCF << /CFM /" + method + b" >> >> /StmF /StdCF /StrF /StdCF" if revision >= 4 else b""
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [] /Count 0 >>", b"<< /Filter /Standard /V 4 /R %d /Length 128 /P -4 /O %s /U %s %s %s >>" % (revision, hexed(owner), hexed(user), extra, cf), b"<< /Title %s >>" % hexed(body)]
+    out, offsets = bytearray(b"%PDF-1.7\n"), []
+    for i, o in enumerate(objects):
+        offsets.append(len(out))
+        out += b"%d 0 obj\n" % (i + 1) + o + b"\nendobj\n"
+    start = len(out)
+    out += b"xref\n0 5\n0000000000 65535 f \n" + b"".join(b"%010d 00000 n \n" % o for o in offsets)
+    return bytes(out + b"trailer\n<< /Size 5 /Root 1 0 R /Encrypt 3 0 R /Info 4 0 R /ID [%s %s] >>\nstartxref\n%d\n%%%%EOF" % (hexed(ident), hexed(ident), start))
+
+
+def cff() -> bytes:
+    """A bare font of two glyphs, 500 and 650 wide."""
+    index = lambda *items: struct.pack(">HB", len(items), 1) + bytes(1 + sum(map(len, items[:i])) for i in range(len(items) + 1)) + b"".join(items) if items else b"\0\0"
+    number = lambda n: b"\x1c" + struct.pack(">h", n)
+    programs = index(b"\x0e", number(50) + number(0) + number(0) + b"\x15\x0e")
+    private = number(500) + b"\x14" + number(600) + b"\x15"
+    make = lambda glyphs, priv: b"\1\0\4\1" + index(b"Mini") + index(number(glyphs) + b"\x11" + number(len(private)) + number(priv) + b"\x12") + index() + index()
+    size = len(make(0, 0))
+    return make(size, size + len(programs)) + programs + private
+
+
+def type1() -> bytes:
+    """A font program with one glyph, 100 wide, in encrypted form."""
+    def lock(data, key):
+        out = bytearray()
+        for b in data:
+            c = b ^ key >> 8
+            key = (c + key) * 52845 + 22719 & 0xFFFF
+            out.append(c)
+        return bytes(out)
+
+    program = lock(b"\0\0\0\0" + bytes([139, 139 + 100, 13, 14]), 4330)
+    private = b"\0\0\0\0/CharStrings 1 dict dup begin /A %d RD " % len(program) + program + b" ND end"
+    return b"%!PS-AdobeFont-1.0\n/FontName /Tiny def\ncurrentfile eexec\n" + lock(private, 55665).hex().encode()

@@ -149,12 +149,10 @@ def capabilities_of_files(spark, sf_dir):
     return caps.select(_key(), F.col("capabilities.edit").alias("can_edit"), F.col("capabilities.decrypt").alias("can_decrypt"), F.col("capabilities.translate_html").alias("can_translate"))
 
 
-@query("SELECT c_custkey, 'secret of ' || c_name AS text FROM customer WHERE c_custkey % 10 = 0")
+@query("SELECT c_custkey, 'secret of ' || c_name AS text FROM customer")
 def odf_decrypted(spark, sf_dir):
     """Texts of encrypted documents, opened with their password."""
-    some = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").withColumn("no", F.col("c_custkey").cast("long"))
-    made = per_row(some, _locked_odt, "no", "c_name", key="c_custkey")
-    return tree.text_of(decode.elements(made, decode.Options(password="pw"))).select(_key(), "text")
+    return tree.text_of(decode.elements(_files(spark, sf_dir, _locked_odt, "c_name"), decode.Options(password="pw"))).select(_key(), "text")
 
 
 @query("SELECT c_custkey, [NULL, 'no content', 'too large', 'no decoder'][c_custkey % 4 + 1] AS problem FROM customer WHERE c_custkey % 4 > 0")
@@ -169,10 +167,9 @@ def files_that_do_not_open(spark, sf_dir):
 # Containers and paths
 
 
-@query("SELECT c_custkey, s AS entry_path, true AS is_file, (CASE s WHEN '/A' THEN 4096 ELSE 4608 END)::BIGINT AS size, md5(c_name) AS starts FROM customer, (SELECT unnest(['/A', '/B']) AS s) WHERE c_custkey % 5 = 0")
+@query("SELECT c_custkey, s AS entry_path, true AS is_file, (CASE s WHEN '/A' THEN 4096 ELSE 4608 END)::BIGINT AS size, md5(c_name) AS starts FROM customer, (SELECT unnest(['/A', '/B']) AS s)")
 def compound_entries(spark, sf_dir):
-    some = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0")
-    made = per_row(some, lambda name: builders.compound({"A": name.encode(), "B": name.encode().ljust(4608, b"\0")}), "c_name", key="c_custkey")
+    made = _files(spark, sf_dir, lambda no, name: builders.compound({"A": name.encode(), "B": name.encode().ljust(4608, b"\0")}), "c_name")
     found = containers.entries(made).where("is_file")
     body = F.substring_index(F.decode("content", "ISO-8859-1"), "\0", 1)
     return found.select(_key(), "entry_path", "is_file", "size", F.md5(body.cast("binary")).alias("starts"))
@@ -301,12 +298,12 @@ def csv_prose(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(csvdoc.csv_probe(shown)["is_csv"], F.lit(False)).alias("is_csv"))
 
 
-@query("SELECT c_custkey, ['txt', 'csv'] AS file_types FROM customer WHERE c_custkey % 50 = 0")
+@query("SELECT n_nationkey, ['txt', 'csv'] AS file_types FROM nation")
 def csv_long_sample(spark, sf_dir):
     """Only the head of a long file is probed, and the record that it cuts does not count."""
-    some = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0")
-    made = per_row(some, lambda name: f'name,note\n{name},"{"x" * 70_000}\n"\n'.encode().replace(b"name,note\n", b"name,note\n" + b"a,b\n" * 3), "c_name", key="c_custkey")
-    return detect.detect(made).select(_key(), "file_types")
+    make = lambda name: f'name,note\na,b\na,b\na,b\n{name},"{"x" * 70_000}\n"\n'.encode()
+    made = per_row(table(spark, sf_dir, "nation"), make, "n_name", key="n_nationkey")
+    return detect.detect(made).select(F.col("file_id").cast("int").alias("n_nationkey"), "file_types")
 
 
 @query("SELECT c_custkey, how, [c_name || ',x', '1'][c + 1] AS text, c::BIGINT AS col_ix FROM customer, (SELECT unnest(['quote', 'encoding']) AS how), (SELECT unnest([0, 1]) AS c)")
@@ -559,11 +556,10 @@ def edited_and_saved(spark, sf_dir):
     return tree.text_of(decode.elements(saved.select("file_id", "content"))).select(_key(), "text")
 
 
-@query("SELECT c_custkey, 'xlsx cannot be saved' AS problem FROM customer WHERE c_custkey % 20 = 0")
+@query("SELECT c_custkey, 'xlsx cannot be saved' AS problem FROM customer")
 def saves_refused(spark, sf_dir):
-    some = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0")
-    made = per_row(some, lambda name: builders.xlsx([[name]]), "c_name", key="c_custkey")
-    changes = some.select(F.col("c_custkey").cast("long").alias("file_id"), F.lit("/child:0").alias("path"), F.lit("x").alias("new_text"))
+    made = _files(spark, sf_dir, lambda no, name: builders.xlsx([[name]]), "c_name")
+    changes = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("file_id"), F.lit("/child:0").alias("path"), F.lit("x").alias("new_text"))
     return edit.save_documents(made, edit.generate_diff(changes)).select(_key(), F.regexp_extract("error", "([a-z]+ cannot be saved)", 1).alias("problem"))
 
 
@@ -610,9 +606,9 @@ def balances_theta_join(spark, sf_dir):
     return joined.groupBy("n_nationkey").agg(F.count("*").alias("poorer"))
 
 
-@query("SELECT 'both' AS side, k FROM (SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_custkey % 9 = 0) UNION ALL SELECT 'only', k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 9 = 0)")
+@query("SELECT 'both' AS side, k FROM (SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000) UNION ALL SELECT 'only', k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
 def nations_set_operations(spark, sf_dir):
-    some = table(spark, sf_dir, "customer").where("c_custkey % 9 = 0").select(F.col("c_nationkey").alias("k"))
+    some = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
     both = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).intersect(some)
     only = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(some)
     return both.select(F.lit("both").alias("side"), "k").unionByName(only.select(F.lit("only").alias("side"), "k"))
@@ -651,3 +647,61 @@ def events_by_day_stream(spark, sf_dir):
     found = windows.windowed(arriving.withColumn("ts", F.col("day").cast("timestamp")), "ts", "1 hour", ["event_type"], [F.count("*").alias("n"), F.max("event_id").cast("long").alias("last")], late="400 days")
     done = windows.run_to_table(found, scratch.scratch_dir(spark))
     return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "last")
+
+
+@query("SELECT c_custkey, c_name AS text, (['#ff0000', '#808080', '#00ffff', '#0000ff', '#000000'])[c_custkey % 5 + 1] AS color FROM customer")
+def pdf_colours(spark, sf_dir):
+    """Colour of text in device, indexed and default spaces."""
+    paint = (b"1 0 0 rg", b"0.5 g", b"1 0 0 0 k", b"/C0 cs 1 sc", b"")
+    space = b"/ColorSpace << /C0 [/Indexed /DeviceRGB 1 <0000000000FF>] >> >>"
+    make = lambda no, name: builders.pdf_page(paint[no % 5] + b" BT /F1 10 Tf 40 700 Td (%s) Tj ET" % name.encode()).replace(b"/Font << /F1 4 0 R >> >>", b"/Font << /F1 4 0 R >> " + space, 1).replace(b"startxref", b"startxrex")
+    return decode.pdf_segments(_files(spark, sf_dir, make, "c_name")).select(_key(), "text", "color")
+
+
+@query("SELECT n_nationkey, 'Secret title' AS title, false AS is_encrypted FROM nation")
+def pdf_decrypted(spark, sf_dir):
+    """Facts of files that open without a password, of all revisions of the standard handler."""
+    kinds = ((3, b"V2"), (4, b"V2"), (4, b"AESV2"), (6, b"AESV3"))
+    rows = table(spark, sf_dir, "nation").withColumn("no", F.col("n_nationkey").cast("long"))
+    facts = decode.meta(per_row(rows, lambda no: builders.sealed(*kinds[no % 4]), "no", key="n_nationkey"))
+    return facts.select(F.col("file_id").cast("int").alias("n_nationkey"), "title", "is_encrypted")
+
+
+@query("SELECT c_custkey, 'I' AS name, 2 AS width, 3 AS height, 'image/jpeg' AS mimetype, md5('jpeg of ' || c_name) AS body FROM customer")
+def pdf_image_objects(spark, sf_dir):
+    def make(no, name):
+        body = f"jpeg of {name}".encode()
+        image = b"<< /Subtype /Image /Width 2 /Height 3 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Filter /DCTDecode /Length %d >>\nstream\n" % len(body) + body + b"\nendstream"
+        return builders.pdf_page(b"", extra=[image]).replace(b"/Font << /F1 4 0 R >> >>", b"/XObject << /I 6 0 R >> >>", 1).replace(b"startxref", b"startxrex")
+
+    return decode.pdf_images(_files(spark, sf_dir, make, "c_name")).select(_key(), "name", "width", "height", "mimetype", F.md5("content").alias("body"))
+
+
+@query("SELECT n_nationkey, f AS format, CASE f WHEN 'cff' THEN 'Mini' ELSE 'Tiny' END AS name, CASE f WHEN 'cff' THEN 2 ELSE 1 END AS n_glyphs FROM nation, (SELECT unnest(['cff', 'type1']) AS f)")
+def font_programs(spark, sf_dir):
+    out = None
+    for make in (builders.cff, builders.type1):
+        made = per_row(table(spark, sf_dir, "nation"), lambda name, make=make: make(), "n_name", key="n_nationkey")
+        one = fonts.fonts(made).select(F.col("file_id").cast("int").alias("n_nationkey"), "format", "name", F.col("n_glyphs").cast("int").alias("n_glyphs"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "WITH d AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents), n AS (SELECT doc_id, t, strpos(substr(t, 51), 'the') AS later, strpos(t, 'the') AS first, strpos(reverse(substr(t, 1, 51)), 'eht') AS back, strpos(reverse(t), 'eht') AS last FROM d) "
+    "SELECT doc_id, (CASE WHEN later > 0 THEN later + 50 ELSE first END)::BIGINT AS next, (CASE WHEN length(t) >= 51 AND back > 0 THEN 51 - back - 1 WHEN length(t) < 51 AND strpos(reverse(t), 'eht') > 0 THEN length(t) - last - 1 WHEN last > 0 THEN length(t) - last - 1 ELSE 0 END)::BIGINT AS previous FROM n"
+)
+def search_steps(spark, sf_dir):
+    """The hits next to place 50, forwards and backwards, around the ends of a text."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.next_hit(F.col("text"), "the", F.lit(50)).alias("next"), text.previous_hit(F.col("text"), "the", F.lit(50)).alias("previous"))
+
+
+@query("SELECT c_custkey, true AS editable, 'font-size:' || (c_custkey % 9 + 8) || 'pt;color:#ff0000' AS style FROM customer")
+def views_styled(spark, sf_dir):
+    """Resolved styles as inline CSS, and texts that name their path in an editable view."""
+    make = lambda no, name: builders.odf_text(
+        f'<text:p text:style-name="A">{name}</text:p>', f'<style:style style:name="A" style:family="paragraph"><style:text-properties fo:font-size="{no % 9 + 8}pt" fo:color="#ff0000"/></style:style>'
+    )
+    views = html.html_views(_files(spark, sf_dir, make, "c_name"), html.HtmlConfig(editable=True))
+    return views.select(_key(), F.contains("html", F.lit('data-path="/child:0/child:0" contenteditable="true"')).alias("editable"), F.regexp_extract("html", '<x-p style="([^"]*)"', 1).alias("style"))

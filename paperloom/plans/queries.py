@@ -69,11 +69,6 @@ def as_files(df: DataFrame, order: str, make: Callable[[list], bytes], table_no:
     return df.withColumn("_file", part.cast("long")).groupBy("_file").applyInArrow(pack, "file_id long, content binary")
 
 
-def whole_table(df: DataFrame, order: str, make: Callable[[list], bytes]) -> DataFrame:
-    """One file made of a dimension whose size is fixed, as that of nations and regions is."""
-    return as_files(df.where(F.col(order) < FILE_ROWS), order, make)
-
-
 # Text
 
 
@@ -201,7 +196,7 @@ def list_markers(spark, sf_dir):
 
 
 def _nation_csv(spark, sf_dir, separator=","):
-    return whole_table(table(spark, sf_dir, "nation"), "n_nationkey", lambda rows: csvdoc.write(rows, separator).encode())
+    return as_files(table(spark, sf_dir, "nation"), "n_nationkey", lambda rows: csvdoc.write(rows, separator).encode())
 
 
 @query(
@@ -308,12 +303,12 @@ def _cells_of(made: DataFrame) -> DataFrame:
 
 @query(_NATION_CELLS)
 def xlsx_roundtrip(spark, sf_dir):
-    return _cells_of(whole_table(table(spark, sf_dir, "nation"), "n_nationkey", builders.xlsx))
+    return _cells_of(as_files(table(spark, sf_dir, "nation"), "n_nationkey", builders.xlsx))
 
 
 @query(_NATION_CELLS)
 def ods_roundtrip(spark, sf_dir):
-    return _cells_of(whole_table(table(spark, sf_dir, "nation"), "n_nationkey", builders.ods))
+    return _cells_of(as_files(table(spark, sf_dir, "nation"), "n_nationkey", builders.ods))
 
 
 # Documents

@@ -325,17 +325,17 @@ def pdf_pages(files: DataFrame, pages: tuple[int, int] | None = None, password:
 
 
 def pdf_segments(files: DataFrame, pages: tuple[int, int] | None = None, password: str = "") -> DataFrame:
-    """Text segments in paint order with their geometry."""
-    schema = pa.schema([("file_id", pa.int64()), ("page_ix", pa.int32()), ("seg_ix", pa.int32()), ("text", pa.string()), *[(c, pa.float64()) for c in ("x", "y", "end_x", "end_y", "size")]])
+    """Text segments in paint order with their geometry and colour."""
+    schema = pa.schema([("file_id", pa.int64()), ("page_ix", pa.int32()), ("seg_ix", pa.int32()), ("text", pa.string()), *[(c, pa.float64()) for c in ("x", "y", "end_x", "end_y", "size")], ("color", pa.string())])
 
     def rows(file_id, data):
         file = pdf.File(data, password.encode("latin-1", "replace"))
         for n, page in enumerate([] if file.encrypted else file.pages()):
             if pages is None or pages[0] <= n < pages[1]:
                 for s, segment in enumerate(pdf.Page(file, page).segments):
-                    yield dict(zip(schema.names, (file_id, n, s, segment[0], *map(float, segment[1:]))))
+                    yield dict(zip(schema.names, (file_id, n, s, segment[0], *map(float, segment[1:6]), segment[6])))
 
-    return _pdf_rows(files, schema, "file_id long, page_ix int, seg_ix int, text string, x double, y double, end_x double, end_y double, size double", rows)
+    return _pdf_rows(files, schema, "file_id long, page_ix int, seg_ix int, text string, x double, y double, end_x double, end_y double, size double, color string", rows)
 
 
 def pdf_images(files: DataFrame, password: str = "") -> DataFrame:

@@ -787,7 +787,7 @@ _UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
 class Page:
-    """Text segments of a page in the order they are painted: text, x, y, end_x, end_y, size."""
+    """Text segments of a page in the order they are painted: text, x, y, end_x, end_y, size, colour."""
 
     def __init__(self, file: File, page: dict):
         self.file, self.segments, self.fonts = file, [], {}
@@ -798,7 +798,7 @@ class Page:
 
     def _run(self, body: bytes, resources: dict, matrix, forms: tuple) -> None:
         file, lexer, held = self.file, Lexer(body), []
-        state = {"ctm": matrix, "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
+        state = {"ctm": matrix, "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0, "space": Name("DeviceGray"), "fill": (0.0, 0.0, 0.0)}
         stack, marks = [], []
         tm = line = _UNIT
 
@@ -823,7 +823,7 @@ class Page:
             if actual is not None:
                 shown, actual[0] = actual[0], ""
             scale = (start[2] ** 2 + start[3] ** 2) ** 0.5
-            self.segments.append((shown, start[4], start[5], end[4], end[5], abs(size) * scale))
+            self.segments.append((shown, start[4], start[5], end[4], end[5], abs(size) * scale, "#" + "".join(f"{round(v * 255):02x}" for v in state["fill"])))
 
         while True:
             item = lexer.object()
@@ -842,6 +842,13 @@ class Page:
                     state["ctm"] = _times(tuple(map(float, a[:6])), state["ctm"])
                 elif op == "BT":
                     tm = line = _UNIT
+                elif op in ("g", "rg", "k"):
+                    state["space"] = Name({"g": "DeviceGray", "rg": "DeviceRGB", "k": "DeviceCMYK"}[op])
+                    state["fill"] = to_rgb(file, state["space"], list(map(float, a)))
+                elif op == "cs":
+                    state["space"] = (file.get(resources.get("ColorSpace")) or {}).get(a[0], a[0])
+                elif op in ("sc", "scn"):
+                    state["fill"] = to_rgb(file, state["space"], [float(v) for v in a if not isinstance(v, Name)])
                 elif op == "Tf":
                     spec = file.get((file.get(resources.get("Font")) or {}).get(a[0]))
                     if isinstance(spec, dict):
@@ -894,7 +901,7 @@ class Page:
     def text(self) -> str:
         """Segments joined: a space over a gap, a new line where the line moves."""
         out, last = "", None
-        for shown, x, y, end_x, end_y, size in self.segments:
+        for shown, x, y, end_x, end_y, size, _ in self.segments:
             if not shown:
                 continue
             if last is not None:

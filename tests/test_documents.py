@@ -307,32 +307,8 @@ def test_paragraph_cascade(spark):
     assert rows["B"] == {"font_size": "10pt", "fo:text-align": "justify", "fo:margin-top": "1in", "font_weight": "bold"}
 
 
-def cff():
-    index = lambda *items: struct.pack(">HB", len(items), 1) + bytes(1 + sum(map(len, items[:i])) for i in range(len(items) + 1)) + b"".join(items) if items else b"\0\0"
-    number = lambda n: b"\x1c" + struct.pack(">h", n)
-    programs = index(b"\x0e", number(50) + number(0) + number(0) + b"\x15\x0e")
-    private = number(500) + b"\x14" + number(600) + b"\x15"
-    make = lambda glyphs, priv: b"\1\0\4\1" + index(b"Mini") + index(number(glyphs) + b"\x11" + number(len(private)) + number(priv) + b"\x12") + index() + index()
-    size = len(make(0, 0))
-    return make(size, size + len(programs)) + programs + private
-
-
-def type1():
-    def lock(data, key):
-        out = bytearray()
-        for b in data:
-            c = b ^ key >> 8
-            key = (c + key) * 52845 + 22719 & 0xFFFF
-            out.append(c)
-        return bytes(out)
-
-    program = lock(b"\0\0\0\0" + bytes([139, 139 + 100, 13, 14]), 4330)
-    private = b"\0\0\0\0/CharStrings 1 dict dup begin /A %d RD " % len(program) + program + b" ND end"
-    return b"%!PS-AdobeFont-1.0\n/FontName /Tiny def\ncurrentfile eexec\n" + lock(private, 55665).hex().encode()
-
-
 def test_cff_and_type1(spark):
-    rows = fonts.fonts(table(spark, cff(), type1())).orderBy("file_id").collect()
+    rows = fonts.fonts(table(spark, builders.cff(), builders.type1())).orderBy("file_id").collect()
     assert [(r.format, r.name, r.n_glyphs) for r in rows] == [("cff", "Mini", 2), ("type1", "Tiny", 1)]
-    font = fonts.Cff(cff())
-    assert [font.width(0), font.width(1)] == [500, 650] and fonts.Type1(type1()).widths == {"A": 100}
+    font = fonts.Cff(builders.cff())
+    assert [font.width(0), font.width(1)] == [500, 650] and fonts.Type1(builders.type1()).widths == {"A": 100}

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from paperloom import dims
 from paperloom.functions.numbering import Counter, plain_number
 from paperloom.operators import tree as T
+from paperloom.plans import builders
 from paperloom.sources import containers as C
 from paperloom.sources import crypto, csvdoc, detect, encoding, pdf
 from paperloom.sources.tree import Cursor, label
@@ -245,59 +246,13 @@ def test_pdf_glyph_names_and_cmaps():
     assert m.map == {b"\1": "A", b"\2": "B", b"\3": "C", b"\4": "D"} and m.lengths == {1}
 
 
-def sealed(revision, method, password=b""):
-    """A PDF whose info title is encrypted by the standard handler."""
-    pad = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
-    ident, owner = b"0123456789abcdef", b"o" * 32
-    hexed = lambda b: b"<" + b.hex().encode() + b">"
-    if revision == 6:
-        file_key, user = bytes(range(32)), b"v" * 8 + b"k" * 8
-
-        def digest(salt):
-            k, i = hashlib.sha256(password + salt).digest(), 0
-            while True:
-                e = crypto.aes_cbc_encrypt(k[:16], k[16:32], (password + k) * 64)
-                k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[int.from_bytes(e[:16], "big") % 3](e).digest()
-                i += 1
-                if i >= 64 and e[-1] <= i - 32:
-                    return k[:32]
-
-        user = digest(b"v" * 8) + user
-        extra = b"/UE " + hexed(crypto.aes_cbc_encrypt(digest(b"k" * 8), bytes(16), file_key))
-        key = file_key
-    else:
-        key = hashlib.md5((password + pad)[:32] + owner + (0xFFFFFFFC).to_bytes(4, "little") + ident).digest()
-        for _ in range(50):
-            key = hashlib.md5(key).digest()
-        user = pdf.rc4(key, hashlib.md5(pad + ident).digest())
-        for i in range(1, 20):
-            user = pdf.rc4(bytes(b ^ i for b in key), user)
-        user, extra = user + b"\0" * 16, b""
-        key = hashlib.md5(key + b"\4\0\0\0\0" + (b"sAlT" if method == b"AESV2" else b"")).digest()
-    title = b"Secret title"
-    if method == b"V2":
-        body = pdf.rc4(key, title)
-    else:
-        n = 16 - len(title) % 16
-        body = b"i" * 16 + crypto.aes_cbc_encrypt(key, b"i" * 16, title + bytes([n]) * n)
-    cf = b"/CF << /StdCF << /CFM /" + method + b" >> >> /StmF /StdCF /StrF /StdCF" if revision >= 4 else b""
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [] /Count 0 >>", b"<< /Filter /Standard /V 4 /R %d /Length 128 /P -4 /O %s /U %s %s %s >>" % (revision, hexed(owner), hexed(user), extra, cf), b"<< /Title %s >>" % hexed(body)]
-    out, offsets = bytearray(b"%PDF-1.7\n"), []
-    for i, o in enumerate(objects):
-        offsets.append(len(out))
-        out += b"%d 0 obj\n" % (i + 1) + o + b"\nendobj\n"
-    start = len(out)
-    out += b"xref\n0 5\n0000000000 65535 f \n" + b"".join(b"%010d 00000 n \n" % o for o in offsets)
-    return bytes(out + b"trailer\n<< /Size 5 /Root 1 0 R /Encrypt 3 0 R /Info 4 0 R /ID [%s %s] >>\nstartxref\n%d\n%%%%EOF" % (hexed(ident), hexed(ident), start))
-
-
 @pytest.mark.parametrize("revision, method", [(3, b"V2"), (4, b"V2"), (4, b"AESV2"), (6, b"AESV3")])
 def test_encrypted_pdfs(revision, method):
-    opened = pdf.File(sealed(revision, method))
+    opened = pdf.File(builders.sealed(revision, method))
     assert not opened.encrypted and opened.meta() == {"title": "Secret title"}
-    assert pdf.File(sealed(revision, method, b"pw")).encrypted
-    assert pdf.File(sealed(revision, method, b"pw"), b"pw").meta() == {"title": "Secret title"}
-    assert pdf.File(sealed(revision, method).replace(b"/R %d " % revision, b"/R 5 ")).encrypted
+    assert pdf.File(builders.sealed(revision, method, b"pw")).encrypted
+    assert pdf.File(builders.sealed(revision, method, b"pw"), b"pw").meta() == {"title": "Secret title"}
+    assert pdf.File(builders.sealed(revision, method).replace(b"/R %d " % revision, b"/R 5 ")).encrypted
 
 
 def test_pdf_colours():
