@@ -40,6 +40,48 @@ def test_scores_of_the_language_model(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_scores_are_plain_forward_probabilities(spark, monkeypatch):
+    """The query's score, recomputed word by word from the learned model with counts made here."""
+    import pyarrow as pa
+
+    from paperloom.llm import textkernel as K
+
+    seen, fit = [], hmm._fit
+    monkeypatch.setattr(hmm, "_fit", lambda *a: seen.append((a[1], fit(*a))) or seen[-1][1])
+    rows = corpus(60, seed=5) + [(2000, "zzz unseen qqq", None, None)]
+    held = langid.in_fold(F.col("doc_id"), 7, 2)
+    got = {}
+    for r in hmm.score_texts(spark.createDataFrame(rows, SCHEMA), held, n_words=20, rounds=3).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    classes, (model, _) = seen[0]
+    count = Counter()
+    for i, t, *_ in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            count.update([*words(t), None])
+
+    def class_of(word):
+        if word is None:
+            return int(classes.of(np.array([hmm.END]), np.array([0], np.uint16))[0])
+        data, offsets = K.text_buffers(pa.array([word]))
+        starts, ends = K.word_spans(data, offsets)
+        return int(classes.of(K.fingerprints(data, starts, ends), hmm._shapes(data, starts, ends))[0])
+
+    own = len(classes.own)
+    assert own == 20
+    tokens, kinds = Counter(), Counter()
+    for word, n in count.items():
+        tokens[class_of(word)] += n
+        kinds[class_of(word)] += 1
+    for i, t, *_ in rows:
+        total, alpha = 0.0, None
+        for word in [*words(t), None]:
+            c = class_of(word)
+            alpha = model.emit[c] * (model.start if alpha is None else alpha @ model.move)
+            total += math.log10(alpha.sum()) + (0 if c < own else math.log10((count[word] + 1) / (tokens[c] + kinds[c] + 1)))
+            alpha = alpha / alpha.sum()
+        assert min(abs(total - s) for s in got[i]) < 1e-6
+
+
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(1)
     emit = rng.random((5, 3))
