@@ -438,7 +438,8 @@ def _articles(root: Node) -> list[list[Node]]:
 def extract(root: Node, template: set[int], slots: list[Node] | None = None, nodes: list[Node] | None = None, names: bool = True) -> str:
     """Main text of a parsed page; `template`: id() of nodes whose own text is template; `slots`: its main slot, if its host has one; `nodes`: its outline.
 
-    A main slot without a telling name brings the headline above it along.
+    A main slot without a telling name brings the headline above it along,
+    unless it begins with it.
     Without names, what has no main slot is read as a whole.  With them, a
     nameless slot, or main and content blocks all together, count where they
     hold SHARE of the body's text.
@@ -481,7 +482,8 @@ def extract(root: Node, template: set[int], slots: list[Node] | None = None, nod
         found = read(slots, True)
         if any(s.named for s in slots):
             return found
-        found = "\n\n".join([*_headlines(nodes[: slots[0].index], template), *([found] if found else [])])
+        first = found.partition("\n\n")[0]
+        found = "\n\n".join([*(h for h in _headlines(nodes[: slots[0].index], template) if h != first), *([found] if found else [])])
         if not names or len(found) >= SHARE * len(read(_articles(root)[-1])):
             return found
     if not names:
