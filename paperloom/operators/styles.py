@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +12,37 @@ def override(base: Column, top: Column, fields: list[str]) -> Column:
     return F.struct(*[F.coalesce(top[f], base[f]).alias(f) for f in fields])
 
 
-def resolve(styles: DataFrame, fields: list[str], max_depth: int | None = None, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
+def _sources(parents: list[int | None], filled: list[bool]) -> list[int | None]:
+    """For each place the nearest one up its chain, itself included, that is filled. A chain is walked once; a cycle ends where it closes."""
+    unknown, walked = -1, -2
+    found: list[int | None] = [i if full else unknown for i, full in enumerate(filled)]
+    for i in range(len(parents)):
+        path, at = [], i
+        while at is not None and found[at] == unknown:
+            found[at] = walked
+            path.append(at)
+            at = parents[at]
+        end = None if at is None or found[at] == walked else found[at]
+        for p in path:
+            found[p] = end
+    return found
+
+
+def resolve(styles: DataFrame, fields: list[str], keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """`styles` (keys, style_name, parent_name, fields) with every field resolved through the parents.
 
-    Pointers double each round: a chain of depth d takes log2(d) joins on the
-    key, whatever its length; a cycle ends where it closes.  Without `max_depth`
-    the rounds cover as many styles as one document has, so no chain is cut.
+    One shuffle: a document's styles, whose names differ, are followed in one
+    task in time linear in their number, however long their chains; a cycle
+    ends where it closes.
     """
-    if max_depth is None:
-        max_depth = styles.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    out = styles.withColumn("_next", F.col("parent_name"))
-    depth = 1
-    while depth < max_depth:
-        up = out.select(*keys, F.col("style_name").alias("_next"), *[F.col(f).alias(f"_{f}") for f in fields], F.col("_next").alias("_after"))
-        joined = out.join(up, [*keys, "_next"], "left")
-        merged = reduce(lambda d, f: d.withColumn(f, F.coalesce(F.col(f), F.col(f"_{f}"))), fields, joined)
-        out = merged.withColumn("_next", F.when(F.col("_after") != F.col("style_name"), F.col("_after"))).drop("_after", *[f"_{f}" for f in fields])
-        depth *= 2
-    return out.drop("_next")
+
+    def run(table: pa.Table) -> pa.Table:
+        place = {name: i for i, name in enumerate(table.column("style_name").to_pylist()) if name is not None}
+        parents = [place.get(name) for name in table.column("parent_name").to_pylist()]
+        for field in fields:
+            held = table.column(field)
+            held = held.take(pa.array(_sources(parents, held.is_valid().to_pylist()), pa.int64()))
+            table = table.set_column(table.schema.get_field_index(field), table.schema.field(field), held)
+        return table
+
+    return styles.groupBy(*keys).applyInArrow(run, styles.schema)
