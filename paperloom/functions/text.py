@@ -165,11 +165,13 @@ def print_number(value: Column) -> Column:
     return F.when(plain == "-0", F.lit("0")).otherwise(plain)
 
 
-def human_size(size: Column) -> Column:
-    """Binary units B, KiB to TiB; no decimals for bytes, one otherwise."""
+def human_size(size: Column, largest: str = "TiB") -> Column:
+    """Binary units B, KiB to the largest; no decimals for bytes, one otherwise."""
     out = F.concat(size.cast("long").cast("string"), F.lit(" B"))
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
         out = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", F.bround(size / float(1024**power), 1)), F.lit(f" {unit}"))).otherwise(out)
+        if unit == largest:
+            break
     return out
 
 

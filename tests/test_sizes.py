@@ -2,9 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from paperloom.functions import text
 from paperloom.operators import styles
 
 
+def test_human_size_stops_at_the_largest_unit_asked_for(spark):
+    row = spark.range(1).select(F.lit(5 << 40).alias("n")).select(text.human_size(F.col("n")).alias("a"), text.human_size(F.col("n"), largest="GiB").alias("b")).first()
+    assert (row.a, row.b) == ("5.0 TiB", "5120.0 GiB")
+
+
 def test_style_chains_of_any_length_need_one_shuffle(spark):
     n = 3000
     rows = spark.range(n).select(F.lit(1).alias("file_id"), F.col("id").cast("string").alias("style_name"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_name"), F.when(F.col("id") == 0, 7).alias("size"))
