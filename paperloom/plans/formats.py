@@ -177,7 +177,7 @@ def compound_entries(spark, sf_dir):
 
 def _tree_zip(no, name):
     deep = "/".join(f"d{i}" for i in range(no % 4))
-    return containers.write_zip([("/top.txt", name.encode(), 1), (f"/{deep + '/' if deep else ''}leaf.png", b"x" * no, None)])
+    return builders.zip_with_run("/top.txt", name.encode(), f"/{deep + '/' if deep else ''}leaf.png", no)
 
 
 @query("SELECT c_custkey, '/top.txt' AS entry_path, 0 AS depth, 'text/plain' AS mimetype FROM customer UNION ALL SELECT c_custkey, ['/', '/d0/', '/d0/d1/', '/d0/d1/d2/'][c_custkey % 4 + 1] || 'leaf.png', (c_custkey % 4)::INTEGER, 'image/png' FROM customer")
@@ -194,8 +194,8 @@ def archive_directories(spark, sf_dir):
 @query("SELECT c_custkey, sha256(c_name) AS top, c_custkey::BIGINT AS leaf_size FROM customer")
 def archive_bodies(spark, sf_dir):
     """Contents of entries read through the view of an archive."""
-    found = containers.entries(_files(spark, sf_dir, _tree_zip, "c_name"))
-    by_file = found.groupBy("file_id").agg(F.max(F.when(F.col("entry_path") == "/top.txt", F.sha2("content", 256))).alias("top"), F.max(F.when(F.col("mimetype") == "image/png", F.octet_length("content"))).cast("long").alias("leaf_size"))
+    found = containers.digests(_files(spark, sf_dir, _tree_zip, "c_name"), ("text/plain",))
+    by_file = found.groupBy("file_id").agg(F.max(F.when(F.col("entry_path") == "/top.txt", F.col("sha256"))).alias("top"), F.max(F.when(F.col("mimetype") == "image/png", F.col("length"))).alias("leaf_size"))
     return by_file.select(_key(), "top", "leaf_size")
 
 

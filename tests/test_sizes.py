@@ -1,9 +1,16 @@
 """What must hold as tables grow: units, lengths of chains, sizes of entries, even tasks."""
 
+import hashlib
+import io
+import zipfile
+
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.operators import styles
+from paperloom.plans import builders, formats, queries
+from paperloom.sources import containers
 
 
 def test_human_size_stops_at_the_largest_unit_asked_for(spark):
@@ -22,3 +29,41 @@ def test_style_chains_of_any_length_need_one_shuffle(spark):
 def test_style_cycles_end_where_they_close(spark):
     rows = spark.createDataFrame([(1, "a", "b", None), (1, "b", "c", 5), (1, "c", "a", None), (1, "d", "e", None), (1, "e", "d", None), (1, "f", "gone", None)], "file_id int, style_name string, parent_name string, size int")
     assert {r.style_name: r["size"] for r in styles.resolve(rows, ["size"]).collect()} == {"a": 5, "b": 5, "c": 5, "d": None, "e": None, "f": None}
+
+
+@pytest.mark.parametrize("n", [0, 1, 65_535, 65_536, 200_001])
+def test_archives_of_long_runs_are_whole_and_small(n):
+    made = builders.zip_with_run("/top.txt", b"top", "/d/leaf.png", n)
+    archive = zipfile.ZipFile(io.BytesIO(made))
+    assert archive.testzip() is None and archive.namelist() == ["top.txt", "d/leaf.png"]
+    assert archive.read("top.txt") == b"top" and archive.read("d/leaf.png") == b"x" * n and len(made) < 400 + n / 200
+
+
+def test_archives_of_a_large_key_are_small():
+    assert len(formats._tree_zip(5_000_000, "Customer")) < 50_000
+
+
+def test_digests_read_whole_bodies_in_pieces(spark):
+    broken = bytearray(containers.write_zip([("a.txt", b"abc" * 50, None), ("b.png", b"b", None)]))
+    broken[broken.index(b"abc")] ^= 1
+    files = [(1, bytearray(builders.zip_with_run("/t.txt", b"top", "/l.png", 700_000))), (2, broken), (3, bytearray(builders.compound({"A": b"a"}))), (4, bytearray(b"PK\3\4x"))]
+    df = spark.createDataFrame(files, "file_id long, content binary")
+    rows = {(r.file_id, r.entry_path): r for r in containers.digests(df).collect()}
+    assert rows[1, "/t.txt"].sha256 == hashlib.sha256(b"top").hexdigest()
+    assert (rows[1, "/l.png"].length, rows[1, "/l.png"].sha256) == (700_000, hashlib.sha256(b"x" * 700_000).hexdigest())
+    assert "CRC" in rows[2, "/a.txt"].error and rows[2, "/a.txt"].length is None and rows[2, "/b.png"].length == 1
+    assert rows[3, "/A"].length == 4096 and rows[4, None].error
+    texts = {(r.file_id, r.entry_path): r for r in containers.digests(df, ("text/plain",)).collect()}
+    assert texts[1, "/l.png"].sha256 is None and texts[1, "/l.png"].length == 700_000 and texts[1, "/t.txt"].sha256
+
+
+def test_files_made_from_rows_are_dealt_evenly(spark, tmp_path):
+    """A table in one row group, whatever its splits, decodes in tasks of equal size."""
+    spark.range(4000).select("id", F.lit("n").alias("name")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        made = queries.per_row(spark.read.parquet(str(tmp_path / "t")), lambda name: name.encode(), "name", key="id")
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / spark.sparkContext.defaultParallelism / queries.TASKS_A_CORE
