@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from . import crypto, csvdoc, detect, encoding, legacy, odf, ooxml, pdf
-from .tree import ELEMENT_SCHEMA, ELEMENTS, Tree, ref
+from .memory import lean
+from .tree import ELEMENTS, Tree, element_batch, ref
 
 
 @dataclass(frozen=True)
@@ -174,11 +175,16 @@ def _open_as(kind: str, data: bytes, options: Options):
     raise Unsupported(f"{kind} is named, not decoded")
 
 
-def _each(files: DataFrame, options: Options, schema: str, emit, on_error=None) -> DataFrame:
-    """mapInArrow over files: `emit(file_id, kind, document)` yields record batches."""
+#: Rows, and bytes of the files they come from, of one Arrow batch of results: small files share a batch.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 20
+
+
+def _each(files: DataFrame, options: Options, schema: str, rows, pack, on_error=None) -> DataFrame:
+    """mapInArrow over files: `rows(file_id, document)` yields rows, `pack` makes a record batch of many."""
 
     def run(batches):
         for batch in batches:
+            held, size = [], 0
             for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = content.as_py()
                 try:
@@ -186,23 +192,39 @@ def _each(files: DataFrame, options: Options, schema: str, emit, on_error=None)
                         raise Unsupported("no content")
                     if len(data) > options.max_file_bytes:
                         raise Unsupported("file too large")
-                    kind, document = open_document(data, options)
+                    document = open_document(data, options)[1]
                 except Exception as error:
                     if on_error is not None:
-                        yield on_error(file_id, error)
+                        held.append(on_error(file_id, error))
                     continue
-                yield from emit(file_id, kind, document)
+                for row in rows(file_id, document):
+                    held.append(row)
+                    if len(held) >= BATCH_ROWS:
+                        yield pack(held)
+                        held, size = [], 0
+                del document
+                size += len(data)
+                if size >= BATCH_BYTES and held:
+                    yield pack(held)
+                    held, size = [], 0
+            if held:
+                yield pack(held)
+
+    return files.select("file_id", "content").mapInArrow(lean(run), schema)
+
 
-    return files.select("file_id", "content").mapInArrow(run, schema)
+def _packed(schema: pa.Schema):
+    """Record batches of rows that are tuples."""
+    return lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def elements(files: DataFrame, options: Options = Options()) -> DataFrame:
     """The element trees of all documents."""
 
     def failed(file_id, error):
-        return pa.RecordBatch.from_pylist([{"file_id": file_id, "element_type": "error", "text": f"{type(error).__name__}: {error}"}], ELEMENT_SCHEMA)
+        return file_id, {"element_type": "error", "text": f"{type(error).__name__}: {error}"}
 
-    return _each(files, options, ELEMENTS, lambda i, _, d: d.tree.batches(i), failed)
+    return _each(files, options, ELEMENTS, lambda i, d: ((i, r) for r in d.tree.rows), element_batch, failed)
 
 
 def errors(files: DataFrame, options: Options = Options()) -> DataFrame:
@@ -211,10 +233,8 @@ def errors(files: DataFrame, options: Options = Options()) -> DataFrame:
     A file beyond `max_file_bytes` is among them.
     """
 
-    def failed(file_id, error):
-        return pa.RecordBatch.from_arrays([pa.array([file_id], pa.int64()), pa.array([f"{type(error).__name__}: {error}"], pa.string())], names=["file_id", "error"])
-
-    return _each(files, options, "file_id long, error string", lambda i, _, d: iter(()), failed)
+    schema = pa.schema([("file_id", pa.int64()), ("error", pa.string())])
+    return _each(files, options, "file_id long, error string", lambda i, d: (), _packed(schema), lambda i, error: (i, f"{type(error).__name__}: {error}"))
 
 
 CELLS = "file_id long, sheet_ix int, row_ix int, col_ix int, ref string, text string, value_type string, num double, row_span int, col_span int, is_covered boolean"
@@ -223,33 +243,25 @@ CELLS = "file_id long, sheet_ix int, row_ix int, col_ix int, ref string, text st
 def cells(files: DataFrame, options: Options = Options()) -> DataFrame:
     """Present cells of all sheets of all documents."""
     types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_())
-    names = [f.split()[0] for f in CELLS.split(", ")]
+    schema = pa.schema([(f.split()[0], t) for f, t in zip(CELLS.split(", "), types)])
 
-    def emit(file_id, _, document):
-        rows = [(file_id, s, r, c, ref(c, r), *rest) for s, r, c, *rest in document.cells if options.sheets is None or options.sheets[0] <= s < options.sheets[1]]
-        for at in range(0, len(rows), 20_000):
-            part = rows[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names)
+    def rows(file_id, document):
+        return ((file_id, s, r, c, ref(c, r), *rest) for s, r, c, *rest in document.cells if options.sheets is None or options.sheets[0] <= s < options.sheets[1])
 
-    return _each(files, options, CELLS, emit)
+    return _each(files, options, CELLS, rows, _packed(schema))
 
 
 def sheets(files: DataFrame, options: Options = Options()) -> DataFrame:
     schema = pa.schema([("file_id", pa.int64()), ("sheet_ix", pa.int32()), ("name", pa.string()), *[(c, pa.int32()) for c in ("n_rows", "n_cols", "used_rows", "used_cols")]])
 
-    def emit(file_id, _, document):
-        rows = [dict(zip(schema.names, (file_id, *s))) for s in document.sheets]
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return _each(files, options, "file_id long, sheet_ix int, name string, n_rows int, n_cols int, used_rows int, used_cols int", emit)
+    return _each(files, options, "file_id long, sheet_ix int, name string, n_rows int, n_cols int, used_rows int, used_cols int", lambda i, d: ((i, *s) for s in d.sheets), _packed(schema))
 
 
 def styles(files: DataFrame, options: Options = Options()) -> DataFrame:
     """Named styles with their resolved properties."""
     schema = pa.schema([("file_id", pa.int64()), ("style_name", pa.string()), ("family", pa.string()), ("parent_name", pa.string()), ("resolved", pa.map_(pa.string(), pa.string()))])
 
-    def emit(file_id, _, document):
+    def rows_of(file_id, document):
         if isinstance(document, odf.Reader):
             rows = document.style_rows()
         elif isinstance(document, ooxml.Text):
@@ -258,10 +270,9 @@ def styles(files: DataFrame, options: Options = Options()) -> DataFrame:
             rows = [(str(i), "cell", None, look) for i, look in enumerate(document.formats)]
         else:
             rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist([{"file_id": file_id, "style_name": n, "family": f, "parent_name": p, "resolved": list(r.items())} for n, f, p, r in rows], schema)
+        return ((file_id, n, f, p, list(r.items())) for n, f, p, r in rows)
 
-    return _each(files, options, "file_id long, style_name string, family string, parent_name string, resolved map<string,string>", emit)
+    return _each(files, options, "file_id long, style_name string, family string, parent_name string, resolved map<string,string>", rows_of, _packed(schema))
 
 
 META = ("title", "subject", "author", "creator", "keywords", "producer", "creation_date", "modification_date")
@@ -366,22 +377,26 @@ def pdf_links(files: DataFrame, password: str = "") -> DataFrame:
 def _pdf_rows(files: DataFrame, schema: pa.Schema, ddl: str, rows) -> DataFrame:
     def run(batches):
         for batch in batches:
+            held, size = [], 0
             for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held = []
                 try:
                     data = content.as_py()
                     if data and data.startswith(b"%PDF-"):
+                        size += len(data)
                         for row in rows(file_id, data):
                             held.append(row)
-                            if len(held) >= 5000:
+                            if len(held) >= BATCH_ROWS:
                                 yield pa.RecordBatch.from_pylist(held, schema)
-                                held = []
+                                held, size = [], 0
                 except Exception:  # a broken file ends with the rows read so far
                     pass
-                if held:
+                if held and size >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema)
 
-    return files.select("file_id", "content").mapInArrow(run, ddl)
+    return files.select("file_id", "content").mapInArrow(lean(run), ddl)
 
 
 def infer_spaces(segments: DataFrame) -> DataFrame:
