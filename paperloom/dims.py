@@ -151,6 +151,7 @@ def type_by_mimetype(mimetype: str) -> str:
     return by_mimetype().get(mimetype.lower(), "unknown")
 
 
+@lru_cache(maxsize=256)
 def normal_label(name: str) -> str:
     """Case, '-', '_' and spaces carry no meaning in an encoding's name."""
     return name.lower().translate({ord(c): None for c in "-_ "})

@@ -218,13 +218,14 @@ def _packed(schema: pa.Schema):
     return lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def elements(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """The element trees of all documents."""
+def elements(files: DataFrame, options: Options = Options(), types: tuple[str, ...] | None = None) -> DataFrame:
+    """The element trees of all documents; of `types` only, if given (`error` is one), so that the others need not leave their worker."""
 
     def failed(file_id, error):
         return file_id, {"element_type": "error", "text": f"{type(error).__name__}: {error}"}
 
-    return _each(files, options, ELEMENTS, lambda i, d: ((i, r) for r in d.tree.rows), element_batch, failed)
+    rows = lambda i, d: ((i, r) for r in d.tree.rows if types is None or r["element_type"] in types)
+    return _each(files, options, ELEMENTS, rows, element_batch, failed if types is None or "error" in types else None)
 
 
 def errors(files: DataFrame, options: Options = Options()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -20,3 +20,10 @@ def scratch_dir(spark: SparkSession) -> str:
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
     return f"{base.rstrip('/')}/paperloom/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df`, run now, as a table in a scratch folder."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

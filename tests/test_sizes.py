@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text
 from paperloom.operators import styles
 from paperloom.plans import builders, formats, queries
-from paperloom.sources import containers, crypto, decode, pdf
+from paperloom.sources import containers, crypto, csvdoc, decode, pdf
 
 
 def test_human_size_stops_at_the_largest_unit_asked_for(spark):
@@ -118,3 +118,27 @@ def test_cipher_works_on_words():
     sealed = crypto.Aes(key).encrypt(block)
     assert sealed.hex() == "8ea2b7ca516745bfeafc49904b496089" and crypto.Aes(key).decrypt(sealed) == block
     assert all(isinstance(w, int) and len(k) == 4 for k in crypto.Aes(key).keys for w in k)
+
+
+def test_sketch_and_count_share_no_group(spark):
+    """No sketch for each customer: the distinct rows come first."""
+    plan = formats.customers_approximately(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower().replace("approx_count_distinct", "") and plan.count("Aggregate") == 2
+
+
+def test_shown_elements_are_decoded_once(spark):
+    plan = formats.visible_elements(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_elements_of_given_types(spark):
+    df = spark.createDataFrame([(1, bytearray(b"a,b\n1,2\n")), (2, None)], "file_id long, content binary")
+    assert [(r.file_id, r.element_type) for r in decode.elements(df, types=("root",)).collect()] == [(1, "root")]
+    assert sorted((r.file_id, r.element_type) for r in decode.elements(df, types=("root", "error")).collect()) == [(1, "root"), (2, "error")]
+
+
+def test_separators_that_are_absent_are_not_tried(monkeypatch):
+    tried, read = [], csvdoc.records
+    monkeypatch.setattr(csvdoc, "records", lambda text, separator, quote: (tried.append(separator), read(text, separator, quote))[1])
+    assert csvdoc.probe("name;key\nabc;1\n").separator == ";" and tried == [";"]
+    assert csvdoc.probe("one\ntwo\n") is None
